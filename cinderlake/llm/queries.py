@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, token_counts
+from . import exact_dedup, line_dedup, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
