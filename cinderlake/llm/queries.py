@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, simhash, token_counts
+from . import exact_dedup, line_dedup, piece_bpe, quality_classifier, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_compression_quality": quality_classifier.op4_compression_quality,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_piece_dropout": piece_bpe.op8_piece_dropout,
         "op9_simhash": simhash.op9_simhash,
     }
 
