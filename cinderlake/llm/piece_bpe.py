@@ -30,8 +30,8 @@ from .common import read_table
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
-#: A task forgets its units beyond this number, and never keeps longer ones.
-KNOWN_UNITS, KNOWN_CHARS = 400_000, 32
+#: A task keeps two generations of so many units at most, and never longer ones.
+KNOWN_UNITS, KNOWN_CHARS = 250_000, 32
 #: Skips of a unit's first so many candidates are drawn for all units of a text at once.
 DRAWN = 32
 #: Longer units are merged with a heap.
@@ -145,11 +145,14 @@ class PieceCoder:
         if self.under:
             base = xxhash.xxh64_intdigest(f"{self.seed} {key}")
             bases = _mixed(np.uint64(base) + np.arange(1, len(units) + 1, dtype=np.uint64) * np.uint64(_ODD))
-            for i in self._touched(bases, np.fromiter((n for _, n in found), np.int64, len(found))):
-                out[i] = self._varied(units[i], int(bases[i]), found[i])
+            touched = self._touched(bases, np.fromiter((n for _, n in found), np.int64, len(found)))
+            draws = (np.arange(1, DRAWN + 1, dtype=np.uint64) * np.uint64(_ODD))[None, :]
+            skips = np.packbits(_mixed(bases[touched, None] + draws) < np.uint64(self.under), axis=1, bitorder="little").view(np.uint32)[:, 0]
+            for i, drawn in zip(touched.tolist(), skips.tolist(), strict=True):
+                out[i] = self._varied(units[i], int(bases[i]), drawn, found[i])
         return np.frombuffer(b"".join(out), np.int32)
 
-    def _touched(self, bases: np.ndarray, n: np.ndarray) -> list[int]:
+    def _touched(self, bases: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The units of which a candidate is skipped, or that have many candidates."""
         short = np.minimum(n, DRAWN)
         ends = np.cumsum(short)
@@ -157,21 +160,21 @@ class PieceCoder:
         skipped = _mixed(np.repeat(bases, short) + (k.astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD)) < np.uint64(self.under)
         any_skipped = np.zeros(len(n), bool)
         any_skipped[np.repeat(np.arange(len(n)), short)[skipped]] = True
-        return np.flatnonzero(any_skipped | (n > DRAWN)).tolist()
+        return np.flatnonzero(any_skipped | (n > DRAWN))
 
     def _skipped(self, base: int, k: int) -> bool:
         return _mixed(base + (k + 1) * _ODD) < self.under
 
-    def _varied(self, unit: str, base: int, found: tuple[bytes, int]) -> bytes:
-        if found[1] > DRAWN or len(unit) > KNOWN_CHARS:
-            return self._ids(self.merged(unit, lambda k: self._skipped(base, k))[0])
-        skips, k = 0, 0
-        while k < found[1]:  # one more skip can bring up other candidates
-            if self._skipped(base, k):
-                skips |= 1 << k
-                found = self.varied[unit, skips]
-            k += 1
-        return found[0]
+    def _varied(self, unit: str, base: int, drawn: int, found: tuple[bytes, int]) -> bytes:
+        """Ids of a unit, of which the bits of drawn say which of the first candidates are skipped."""
+        skips = 0
+        while found[1] <= DRAWN and len(unit) <= KNOWN_CHARS:
+            bit = drawn & -drawn
+            if not bit or bit >> found[1]:  # no candidate that comes up is skipped any more
+                return found[0]
+            drawn, skips = drawn ^ bit, skips | bit
+            found = self.varied[unit, skips]  # one more skip can bring up other candidates
+        return self._ids(self.merged(unit, lambda k: self._skipped(base, k))[0])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids. Bytes that are no UTF-8, which no encoded text has, become U+FFFD."""
@@ -182,15 +185,17 @@ _UNITS = regex.compile(r" *[^ \n]+| +|\n").findall
 
 
 class _Known(dict):
-    """Outcomes met so far, within bounds."""
+    """Outcomes met so far: two generations within bounds, so that what is met often stays."""
 
     def __init__(self, find: Callable) -> None:
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, key):
-        out = self.find(key)
+        if (out := self.older.get(key)) is None:
+            out = self.find(key)
         if len(key if isinstance(key, str) else key[0]) <= KNOWN_CHARS:
             if len(self) >= KNOWN_UNITS:
+                self.older = dict(self)
                 self.clear()
             self[key] = out
         return out
