@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, piece_bpe, quality_classifier, simhash, token_counts
+from . import exact_dedup, line_dedup, piece_bpe, quality_classifier, simhash, suffix_tree_lm, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_piece_dropout": piece_bpe.op8_piece_dropout,
         "op9_simhash": simhash.op9_simhash,
+        "op10_suffix_tree_score": suffix_tree_lm.op10_suffix_tree_score,
     }
 
 
