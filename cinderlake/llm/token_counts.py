@@ -12,6 +12,7 @@ Spark deals the texts out; a task keeps a bounded table of the pieces it has met
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ from .common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 1024
-#: A task forgets its pieces beyond this number, and never keeps longer ones.
-KNOWN_PIECES, KNOWN_CHARS = 300_000, 40
+#: A task keeps two generations of so many pieces at most, and never longer ones.
+KNOWN_PIECES, KNOWN_CHARS = 400_000, 40
 _SPLIT_CONTRACTION = ("'re", "'ve", "'ll")
 
 
@@ -91,26 +92,29 @@ class PrefixCounter:
                     return True
                 undone, right = right + 1, self.halves[right][0]  # of equal merges, the one further left comes first
 
-    def piece_counts(self, piece: str) -> np.ndarray:
-        """Tokens of piece[:1], piece[:2], ... as if each stood alone."""
-        data = piece.encode()
+    def piece_counts(self, piece: str) -> bytes:
+        """Tokens of piece[:1], piece[:2], ... as if each stood alone, as the bytes of an int32 array."""
+        data, backwards, joins = piece.encode(), self.backwards, self.joins
         last, count = [-1], [0]
-        for i in range(len(data)):
-            node, start, ending = self.backwards, i, []
-            while start >= 0 and (node := node.get(data[start])):
+        for end, byte in enumerate(data):
+            node, start, ending = backwards[byte], end, []
+            while node:
                 if None in node:
                     ending.append((start, node[None]))
+                if not start:
+                    break
                 start -= 1
+                node = node.get(data[start])
             for start, token in reversed(ending):
-                if not start or self.joins(last[start], token):
+                if not start or joins(last[start], token):
                     last.append(token)
                     count.append(count[start] + 1)
                     break
         if piece in _SPLIT_CONTRACTION:
             count[2] = 2  # without its last letter it is no contraction: an apostrophe and a letter
         if len(data) == len(piece):
-            return np.array(count[1:], np.int32)
-        return np.array([n for n, b in zip(count[1:], (*data[1:], 0), strict=True) if not 0x80 <= b < 0xC0], np.int32)
+            return array("i", count[1:]).tobytes()
+        return array("i", [n for n, b in zip(count[1:], (*data[1:], 0), strict=True) if not 0x80 <= b < 0xC0]).tobytes()
 
     def plain_prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of text[:1], text[:2], ... for a text without special tokens."""
@@ -146,15 +150,17 @@ _BLANK_RUN = regex.compile(r"\s{2,}(?=\S)")
 
 
 class _Known(dict):
-    """Counts of the pieces met so far, as the bytes of an int32 array, within bounds."""
+    """Counts of the pieces met so far: two generations within bounds, so that what is met often stays."""
 
     def __init__(self, counter: PrefixCounter) -> None:
-        self.counter = counter
+        self.counter, self.older = counter, {}
 
     def __missing__(self, piece: str) -> bytes:
-        counts = self.counter.piece_counts(piece).tobytes()
+        if (counts := self.older.get(piece)) is None:
+            counts = self.counter.piece_counts(piece)
         if len(piece) <= KNOWN_CHARS:
             if len(self) >= KNOWN_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = counts
         return counts
