@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, piece_bpe, quality_classifier, simhash, suffix_tree_lm, token_counts
+from . import exact_dedup, line_dedup, mixing, piece_bpe, quality_classifier, simhash, suffix_tree_lm, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_compression_quality": quality_classifier.op4_compression_quality,
+        "op5_poisson_mix": mixing.op5_poisson_mix,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_piece_dropout": piece_bpe.op8_piece_dropout,
@@ -24,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op5_poisson_mix": mixing.OP5_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
     }
