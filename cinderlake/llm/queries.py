@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, piece_bpe, quality_classifier, simhash, suffix_tree_lm, token_counts
+from . import exact_dedup, line_dedup, mixing, piece_bpe, quality_classifier, quality_rules, simhash, suffix_tree_lm, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_robust_outliers": quality_rules.op3_robust_outliers,
         "op4_compression_quality": quality_classifier.op4_compression_quality,
         "op5_poisson_mix": mixing.op5_poisson_mix,
         "op6_line_dedup": line_dedup.op6_line_dedup,
