@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, piece_bpe, quality_classifier, quality_rules, simhash, suffix_tree_lm, token_counts
+from . import exact_dedup, line_dedup, mixing, piece_bpe, preference_format, quality_classifier, quality_rules, simhash, suffix_tree_lm, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_preference_format": preference_format.op2_preference_format,
         "op3_robust_outliers": quality_rules.op3_robust_outliers,
         "op4_compression_quality": quality_classifier.op4_compression_quality,
         "op5_poisson_mix": mixing.op5_poisson_mix,
@@ -20,12 +22,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_dropout": piece_bpe.op8_piece_dropout,
         "op9_simhash": simhash.op9_simhash,
         "op10_suffix_tree_score": suffix_tree_lm.op10_suffix_tree_score,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op2_preference_format": preference_format.OP2_SQL,
         "op5_poisson_mix": mixing.OP5_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
     }
