@@ -207,7 +207,7 @@ def linked_classes(classes: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFr
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b): the smallest node it reaches.
+    """(node, root) for every node of links (a, b) that reaches a smaller one: the smallest it reaches.
 
     Large-star and small-star rounds: links move to ever smaller neighbours until every component is
     a star around its smallest node. A round's links are written to the shared folder. Minima are pre-aggregated, and
