@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, shared_dir
+
+__all__ = ["BLANKS", "WORD", "ascii_lower", "crc_mod", "materialize", "read_table", "shared_dir", "shuffle_partitions"]
+
 #: Word separators of every operator here: space and the controls tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,33 +31,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it. Where that is unset, a local session gets a temporary folder;
-    any other master is an error, since its executors could not see such a folder.
-    """
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base
-    sc = spark.sparkContext
-    if base := sc.getCheckpointDir():
-        return base
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage.
-
-    Unlike a local checkpoint, the files outlive the executor that wrote them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
