@@ -139,8 +139,24 @@ def percent_band(low: int, span: int, done: Column, total: Column) -> Column:
 
 
 def zoned_time(instant: Column, zone: str) -> Column:
-    """An instant as a weekday, date and time of a zone."""
-    return F.concat(F.date_format(F.from_utc_timestamp(instant, zone), "EEEE, yyyy-MM-dd HH:mm:ss"))
+    """An instant (in a session of UTC) as a weekday, date, time and offset of a zone."""
+    there = F.from_utc_timestamp(instant, zone)
+    minutes = ((F.unix_seconds(there) - F.unix_seconds(instant.cast("timestamp"))) / 60).cast("int")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    offset = F.concat(F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")), two(F.floor(F.abs(minutes) / 60)), two(F.abs(minutes) % 60))
+    return F.concat(F.date_format(there, "EEEE, yyyy-MM-dd HH:mm:ss "), offset)
+
+
+def chunk_label(filepath: Column, start: Column, end: Column) -> Column:
+    return F.concat(filepath, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def code_label(user: Column, is_used: Column) -> Column:
+    return F.concat(F.lit("OTP for "), user, F.when(is_used, F.lit(" (Used)")).otherwise(F.lit(" (Active)")))
+
+
+def profile_label(user: Column) -> Column:
+    return F.concat(F.lit("Profile for "), user)
 
 
 def hex_uuid() -> Column:

@@ -32,6 +32,25 @@ def verify(code: Column, now: Column) -> dict[str, Column]:
     }
 
 
+def replay(tries: DataFrame, token: str, at: str, order: str) -> DataFrame:
+    """tries (token, code, otp_code, expires_at, at) with the verdict on each, as if made one after the other.
+
+    Only what came before matters: whether a try has succeeded, and how many open ones were wrong. Both
+    are running counts, so no loop over a token's tries is needed.
+    """
+    before = Window.partitionBy(token).orderBy(at, order).rowsBetween(Window.unboundedPreceding, -1)
+    expired = F.col(at) > F.col("expires_at")
+    wrong = F.col("otp_code") != text.strip(F.col("code"))
+    n_wrong = F.coalesce(F.count_if(wrong & ~expired).over(before), F.lit(0))
+    counted = tries.withColumn("__wrong", n_wrong)
+    good = ~wrong & ~expired & (F.col("__wrong") < MAX_ATTEMPTS)
+    counted = counted.withColumn("__used", F.coalesce(F.max(good).over(before), F.lit(False)))
+    state = {"attempts": F.least("__wrong", F.lit(MAX_ATTEMPTS)).cast("int"), "is_used": F.col("__used")}
+    staged = counted.withColumns(state)
+    verdict = verify(F.col("code"), F.col(at))
+    return staged.withColumns({"success": verdict["success"], "message": verdict["message"]}).drop("__wrong", "__used", "attempts", "is_used")
+
+
 def well_formed(code: Column) -> Column:
     return text.strip(code).rlike("^[0-9]{6}$")
 

@@ -22,7 +22,7 @@ def events(tasks: DataFrame, user_id: Column) -> DataFrame:
         F.concat(F.coalesce(F.concat(F.lit("["), kind, F.lit("] ")), F.lit("")), "title").alias("summary"),
         F.col("due_date").alias("dtstart"),
         (F.col("due_date") + F.expr("interval 1 hour")).alias("dtend"),
-        F.concat_ws(",", kind, F.lit("TASK")).alias("categories"),
+        F.concat(F.upper(F.coalesce("ticket_type", F.lit(""))), F.lit(",TASK")).alias("categories"),
         F.lit("CONFIRMED").alias("status"),
         description(F.col("project_name"), F.col("description"), F.col("subtasks")).alias("description"),
     )

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 BATCH = 50
 DIMENSIONS = 768
 #: Vectors of texts, in their order.
@@ -46,11 +48,11 @@ def embed(rows: DataFrame, embedder: Embedder = hashing_embedder, text_col: str
 def batch_numbers(rows: DataFrame, order: str, batch: int = BATCH) -> DataFrame:
     """batch_no, size and last_id of batches in the order of a key.
 
-    Rows are counted by range of the key first; only those counts meet in one window.
+    Keys are dealt by range and kept with their partition's number, since a second run of the deal could
+    draw other borders; then only a count for each partition meets in one window.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.select(F.col(order).alias("key")).repartitionByRange(n, "key").withColumn("part", F.spark_partition_id())
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(rows.select(F.col(order).alias("key")).repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()), "batch-keys")
     within = F.row_number().over(Window.partitionBy("part").orderBy("key"))
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
     starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")

@@ -10,6 +10,11 @@ from ..functions import vectors
 TOP_K = 4
 
 
+def rounded(distance: Column) -> Column:
+    """To four places; no negative zero."""
+    return F.round(distance, 4) + F.lit(0.0)
+
+
 def with_distance(rows: DataFrame, query: Column, embedding_col: str = "embedding") -> DataFrame:
     """rows with the cosine distance of their vectors from query, in double precision."""
     return rows.withColumn("distance", vectors.cosine_distance(vectors.as_double(F.col(embedding_col)), query))
@@ -19,14 +24,14 @@ def top_k(rows: DataFrame, query: list[float], id_col: str, k: int = TOP_K, embe
     """The k nearest rows, ties by id: every partition brings its k, one merge picks among them."""
     literal = F.array(*(F.lit(float(x)) for x in query))
     nearest = with_distance(rows, literal, embedding_col).orderBy("distance", id_col).limit(k)
-    return nearest.withColumn("distance", F.round("distance", 4))
+    return nearest.withColumn("distance", rounded(F.col("distance")))
 
 
 def top_k_per_key(rows: DataFrame, queries: DataFrame, key: str, id_col: str, k: int = TOP_K, embedding_col: str = "embedding") -> DataFrame:
     """The k nearest rows of each key to that key's query vector (key, query)."""
     near = with_distance(rows.join(queries, key), vectors.as_double(F.col("query")), embedding_col)
     place = F.row_number().over(Window.partitionBy(key).orderBy("distance", id_col))  # limited in each partition before the shuffle
-    return near.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("distance", F.round("distance", 4)).drop("query")
+    return near.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("distance", rounded(F.col("distance"))).drop("query")
 
 
 def snippet(filepath: Column, start: Column, end: Column, code: Column) -> Column:

@@ -1,8 +1,11 @@
-"""Session factory."""
+"""Session factory, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cinderlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -13,3 +16,36 @@ def build_session(app: str = "cinderlake", master: str | None = None, **conf: st
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    ``spark.checkpoint.dir`` names it. Where that is unset, a local session gets a temporary folder;
+    any other master is an error, since its executors could not see such a folder.
+    """
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    sc = spark.sparkContext
+    if base := sc.getCheckpointDir():
+        return base
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts the lineage.
+
+    Unlike a local checkpoint, the files outlive the executor that wrote them.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
