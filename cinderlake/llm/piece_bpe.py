@@ -34,7 +34,7 @@ DROPOUT, SEED = 0.1, 42
 #: Units of up to so many characters share an array; longer ones have an agenda of their own.
 WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32)
 #: Rows of an array, and characters of the texts that are encoded together.
-ROWS, CHARS = 16_384, 1 << 20
+ROWS, CHARS = 16_384, 1 << 19
 _NEVER = np.int32(2**31 - 1)
 #: Fills a row; a character c without a piece is -1 - c.
 _FILL = np.int32(-1 - 0x110000)
