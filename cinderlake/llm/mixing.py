@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffle_partitions
+from .common import materialize, read_table, shuffle_partitions
 
 SEED = 42
 #: Target weights of the registered queries: a source that is not named has weight 1.
@@ -21,6 +21,8 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 EPOCHS = 1.0
 #: A larger mean is drawn in parts no larger than this, whose sum has the same distribution.
 MAX_MEAN = 16.0
+#: Tables of rates with more sources than this (700 bytes each) are not broadcast.
+BROADCAST_SOURCES = 20_000
 #: P(count > this) is below 1e-20 for a mean of MAX_MEAN.
 MAX_COUNT = 80
 
@@ -54,10 +56,14 @@ def draw_counts(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", sourc
     """docs with a column mix_count, the document's Poisson count at its source's rate.
 
     A count is a function of seed, id and rate: repeated rows get equal counts, null ids share a draw.
+    Up to BROADCAST_SOURCES sources go to the documents. More are joined by a shuffle on the source,
+    whose two sides come straight from files, so that adaptive execution can split a hot one.
     """
     parts = F.greatest(F.ceil(F.col("rate") / MAX_MEAN), F.lit(1))
     tables = rates.withColumn("parts", parts.cast("int")).withColumn("cdf", _cumulative(F.col("rate") / parts))
-    tables = tables.select(F.col("mix_source").alias("rate_source"), "parts", "cdf")
+    tables = materialize(tables.select(F.col("mix_source").alias("rate_source"), "parts", "cdf"), "rates")
+    if tables.count() <= BROADCAST_SOURCES:
+        tables = F.broadcast(tables)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     tagged = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     joined = tagged.join(tables, F.col("mix_source") == F.col("rate_source"), "left")

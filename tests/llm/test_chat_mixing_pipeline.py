@@ -101,8 +101,9 @@ def plain_mix(rows, weights, epochs, seed):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("weights", "epochs"), [({}, 1.0), ({"src0": 4.0, "src1": 0.0, "nowhere": 9.0}, 2.0), ({"src2": 900.0}, 40.0)])
-def test_mix_of_odd_rows(odd, weights, epochs):
+@pytest.mark.parametrize(("weights", "epochs", "broadcast"), [({}, 1.0, 9), ({"src0": 4.0, "src1": 0.0, "nowhere": 9.0}, 2.0, 0), ({"src2": 900.0}, 40.0, 9)])
+def test_mix_of_odd_rows(odd, weights, epochs, broadcast, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     out = mixing.mix(odd, weights, epochs)
     assert set(odd.columns) <= set(out.columns)
     assert Counter((r["doc_id"], r["mix_copy"]) for r in out.collect()) == plain_mix(odd_rows(), weights, epochs, 42)
