@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,25 +79,28 @@ def login_error(username: Column, found: Column, active: Column, email: Column)
 def throttle(hits: DataFrame, key: str, at: str, order: str, limit: int, seconds: int) -> DataFrame:
     """hits with allowed: whether fewer than limit allowed hits of the key fall in the seconds before.
 
-    Refused hits do not count, so a hit hangs on the verdicts before it. What can be told without them is
-    told first: hits are cut into runs where the key was silent for the whole span, and each run folds on
-    its own, with the last limit allowed times as its state.
+    Refused hits do not count, so a hit hangs on the verdicts before it. Keys are dealt to partitions and
+    sorted there; one pass holds the last limit allowed times of the key it is at, however many hits
+    that key has. Null keys count as one.
     """
-    in_order = Window.partitionBy(key).orderBy(at, order)
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    marked = hits.withColumn("__at", micros).withColumn("__before", F.lag("__at").over(in_order))
-    fresh = F.col("__before").isNull() | (F.col("__at") - F.col("__before") >= seconds * 1_000_000)
-    runs = marked.withColumn("__run", F.count_if(fresh).over(in_order))
+    span = seconds * 1_000_000
     schema = T.StructType([*hits.schema.fields, T.StructField("allowed", T.BooleanType())])
-
-    def fold(frame):
-        recent, verdicts = [], []
-        for t in frame.sort_values(["__at", order])["__at"]:
-            recent = [x for x in recent if x > t - seconds * 1_000_000]
-            verdicts.append(len(recent) < limit)
-            if verdicts[-1]:
-                recent.append(t)
-        out = frame.sort_values(["__at", order]).assign(allowed=verdicts)
-        return out[[f.name for f in schema]]
-
-    return runs.groupBy(key, "__run").applyInPandas(fold, schema)
+    names = [f.name for f in schema]
+
+    def fold(frames):
+        held, recent = object(), deque()
+        for frame in frames:
+            verdicts = []
+            for k, t in zip(frame[key].tolist(), frame["__at"].tolist(), strict=True):
+                k = None if k != k else k
+                if k != held:
+                    held, recent = k, deque()
+                while recent and recent[0] <= t - span:
+                    recent.popleft()
+                verdicts.append(len(recent) < limit)
+                if verdicts[-1]:
+                    recent.append(t)
+            yield frame.assign(allowed=verdicts)[names]
+
+    timed = hits.withColumn("__at", F.unix_micros(F.col(at).cast("timestamp")))
+    return timed.repartition(F.col(key)).sortWithinPartitions(key, "__at", order).mapInPandas(fold, schema)
