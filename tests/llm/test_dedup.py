@@ -207,3 +207,51 @@ def test_query_on_a_whole_table(spark, sf_dir):
     got = simhash.op9_simhash(spark, sf_dir).orderBy("doc_id").collect()
     want = sorted((i, f"{fp:016x}", c) for (i, fp), c in zip(nodes, plain_components(nodes), strict=True))
     assert [tuple(r) for r in got] == want
+
+
+# --- near-dedup by shingles --------------------------------------------------------------------
+
+
+def plain_similar(rows):
+    """The smallest id that each id reaches over pairs with a five-word Jaccard similarity of 0.8 or more."""
+    sets = []
+    for i, text in rows:
+        words = regex.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets.append((i, {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()))
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return {i: find(i) for i in root}
+
+
+def varied(text, seed, changes):
+    import random
+
+    r, words = random.Random(seed), text.split()
+    for at in r.sample(range(len(words)), changes):
+        words[at] = f"changed{seed}x{at}"
+    return " ".join(words)
+
+
+def test_pipeline_drops_every_near_copy(spark):
+    import corpus_pipeline
+
+    rows = [(k, prose(900 + k % 20, 150 + k % 7), k // 20) for k in range(160)]
+    rows = [(k, varied(text, k, changes)) for k, text, changes in rows]  # 0 to 7 changed words, about 0.8
+    rows += [(1000 + k, varied(prose(77, 120), k, 1 + k % 3)) for k in range(150)]  # one large group
+    rows += [(2000 + k, f"{prose(5, 30)} {prose(3000 + k, 60)}") for k in range(60)]  # one passage, other words
+    rows += [(3000, None), (3001, " \n"), (3002, "Two words"), (3003, "two  words"), (3004, "two other"), (3005, prose(1, 9).upper()), (3006, prose(1, 9))]
+    want = plain_similar(rows)
+    docs = spark.createDataFrame([(*r, "en", "src0", 5) for r in rows], SCHEMA).repartition(7)
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert left == {i for i, low in want.items() if i == low}
+    assert 0 < sum(want[k] != k for k in range(160)) < 140
