@@ -2,7 +2,8 @@
 
 Each text becomes a vector of transformed statistics. Per cell (language and source) the minimum
 covariance determinant estimate is found by concentration steps over all of the cell's rows: distances
-by the last estimate, then mean and covariance of the ALPHA share of rows that are nearest. Rows are
+by the last estimate, then mean and covariance of the ALPHA share of rows that are nearest. One of the
+starts is the shortest half of each statistic, which junk does not shape while it is the smaller part. Rows are
 counted into fine bins of distance with their moments, so one aggregation a step covers a cell of any
 size, and a cell is a few hundred bins wherever estimates are made. Rows whose Mahalanobis distance is
 beyond the chi-square limit are rejected.
@@ -27,10 +28,13 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: A cell with fewer rows is pooled with the other small ones of its language, and those with the rest of the table.
 MIN_CELL_ROWS = 100
-ALPHA, STEPS = 0.75, 5
+#: STEPS steps at least, then until no determinant moves by a thousandth, or MOST_STEPS.
+ALPHA, STEPS, MOST_STEPS = 0.55, 5, 40
 #: Share of a normal population that stays inside the limit.
 QUANTILE = 0.9999
 BINS_PER_OCTAVE = 16
+#: Bins of a statistic for each floor, where its shortest half is looked for.
+BINS_PER_FLOOR = 16
 #: The statistics, and the standard deviation that is granted to each beyond what a cell shows.
 FLOORS = {"word_length": 0.10, "symbols": 0.02, "dup_lines": 0.12, "repeats": 0.13, "capitals": 0.04, "marks": 0.03}
 #: Added to the words or lines a share is taken of, so that single ones in short texts weigh little.
@@ -154,6 +158,21 @@ def _started(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["cell", "start", "n", "m", "v", "log_det"])
 
 
+def _shortest_half(frame: pd.DataFrame) -> pd.DataFrame:
+    """A start for one cell: middle and spread of the shortest run of bins that holds half its rows, for each statistic."""
+    mean, spread = np.zeros(_P), np.zeros(_P)
+    for k, bins in frame.sort_values("bin").groupby("k"):
+        at, n = bins["bin"].to_numpy(float), bins["n"].to_numpy(np.int64)
+        ends = np.cumsum(n)
+        last = np.searchsorted(ends, ends - n + (ends[-1] + 1) // 2)
+        first = np.flatnonzero(last < len(at))
+        width = at[last[first]] + 1 - at[first]
+        best = first[np.argmin(width)]
+        mean[k] = (at[best] + width.min() / 2) / BINS_PER_FLOOR
+        spread[k] = width.min() / BINS_PER_FLOOR / 1.349  # half of a normal population lies within 1.349 deviations
+    return pd.DataFrame([_row(frame["cell"].iloc[0], 2, frame.loc[frame["k"] == 0, "n"].sum(), mean, np.diag(spread**2 + 1))])
+
+
 def _concentrated(frame: pd.DataFrame) -> pd.DataFrame:
     """The next estimate of one cell and start, from the moments of its bins of distance."""
     n, sums, products = _summed(frame.sort_values("bin"))
@@ -191,12 +210,19 @@ def _consistency(alpha: float) -> float:
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """cell, m (mean), v (inverse covariance) by minimum covariance determinant, of rows (cell, x0, x1, ...)."""
-    estimates = materialize(rows.groupBy("cell").agg(*_moments()).mapInPandas(_started, _ESTIMATE), "estimates")
-    for _ in range(STEPS):
+    each = rows.select("cell", F.posexplode(F.array(*(f"x{k}" for k in range(_P)))).alias("k", "x"))
+    halves = each.groupBy("cell", "k", F.floor(F.col("x") * BINS_PER_FLOOR).alias("bin")).agg(F.count("*").alias("n"))
+    starts = rows.groupBy("cell").agg(*_moments()).mapInPandas(_started, _ESTIMATE)
+    estimates = materialize(starts.unionByName(halves.groupBy("cell").applyInPandas(_shortest_half, _ESTIMATE)), "estimates")
+    for step in range(MOST_STEPS):
         placed = rows.join(estimates.select("cell", "start", "m", "v"), "cell")
         placed = placed.withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * BINS_PER_OCTAVE).cast("int"))
         bins = placed.groupBy("cell", "start", "bin").agg(*_moments())
+        before = estimates.select("cell", "start", F.col("log_det").alias("last"))
         estimates = materialize(bins.groupBy("cell", "start").applyInPandas(_concentrated, _ESTIMATE), "estimates")
+        moved = estimates.join(before, ["cell", "start"]).filter(F.abs(F.col("log_det") - F.col("last")) > 1e-3)
+        if step + 1 >= STEPS and moved.isEmpty():
+            break
     best = estimates.groupBy("cell").agg(F.min_by(F.struct("m", "v"), F.struct("log_det", "start")).alias("best"))
     return materialize(best.select("cell", "best.m", "best.v"), "estimates")
 

@@ -100,6 +100,14 @@ def test_junk_goes_and_prose_stays(spark):
     assert all(kept[k] for k in range(400)) and not any(kept[1_000 + k] for k in range(8))
 
 
+@pytest.mark.parametrize("n_junk", [180, 270])
+def test_junk_goes_from_a_cell_with_much_of_it(spark, n_junk):
+    rows = [(k, prose(k, 60), "en", "s", 1) for k in range(600 - n_junk)]
+    rows += [(1_000 + k, ("#$%" * (1 + k % 3) + " ").join(prose(k, 60).split()), "en", "s", 1) for k in range(n_junk)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(kept[k] for k in range(600 - n_junk)) and not any(kept[1_000 + k] for k in range(n_junk))
+
+
 def test_quality_rules_of_nothing(empty):
     assert quality_rules.judge(empty).count() == 0
 
