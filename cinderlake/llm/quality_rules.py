@@ -1,18 +1,24 @@
 """Quality rules: fixed limits, then robust multivariate outliers per language and source.
 
-Each text becomes a vector of transformed statistics. Per cell (language and source) the minimum
-covariance determinant estimate is found by concentration steps over all of the cell's rows: distances
-by the last estimate, then mean and covariance of the ALPHA share of rows that are nearest. One of the
-starts is the shortest half of each statistic, which junk does not shape while it is the smaller part. Rows are
-counted into fine bins of distance with their moments, so one aggregation a step covers a cell of any
-size, and a cell is a few hundred bins wherever estimates are made. Rows whose Mahalanobis distance is
-beyond the chi-square limit are rejected.
+Each text becomes a vector of transformed statistics. For each cell (language and source), each language
+and the whole table, the minimum covariance determinant estimate is searched for by concentration steps:
+distances by the last estimate, then mean and covariance of the ALPHA share of vectors that are nearest,
+until the determinant stops falling. Starts are the median with the median absolute deviation, and many
+small random subsets. A cell of more than BLOCK_ROWS vectors takes its starts from blocks of that size and
+its concentration steps from all its vectors, which are counted into fine bins of distance.
+
+A cell's estimate shrinks towards its language's as if that were SHRINK_ROWS rows of the cell, and a
+language's towards the table's, so small cells need no rule of their own. Rows are rejected whose
+Mahalanobis distance is beyond the chi-square limit, which is stretched where a cell's own distances
+spread more than those of a normal population do.
+
+Equal vectors are one observation: a text that is copied thousandfold does not shape its cell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, gamma
+from math import exp, gamma, log
 
 import numpy as np
 import pandas as pd
@@ -26,26 +32,33 @@ from .common import BLANKS, WORD, materialize, read_table
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A cell with fewer rows is pooled with the other small ones of its language, and those with the rest of the table.
-MIN_CELL_ROWS = 100
-#: STEPS steps at least, then until no determinant moves by a thousandth, or MOST_STEPS.
-ALPHA, STEPS, MOST_STEPS = 0.55, 5, 40
+ALPHA = 0.55
 #: Share of a normal population that stays inside the limit.
-QUANTILE = 0.9999
-BINS_PER_OCTAVE = 16
-#: Bins of a statistic for each floor, where its shortest half is looked for.
-BINS_PER_FLOOR = 16
-#: The statistics, and the standard deviation that is granted to each beyond what a cell shows.
-FLOORS = {"word_length": 0.10, "symbols": 0.02, "dup_lines": 0.12, "repeats": 0.13, "capitals": 0.04, "marks": 0.03}
-#: Added to the words or lines a share is taken of, so that single ones in short texts weigh little.
+QUANTILE = 1 - 1e-6
+#: Rows of the wider estimate that a cell's own estimate is mixed with.
+SHRINK_ROWS = 100
+#: Variance that is added so that a matrix has an inverse, as a share of the statistic's variance in the table.
+FLOOR = 1e-3
+#: Words of average text that are added before shares are taken, so that short texts scatter less.
 PRIOR = 20
-_P = len(FLOORS)
-
+#: Random starts, those of them that are followed to the end, and a guard on their steps.
+STARTS, FOLLOWED, MOST_STEPS = 20, 4, 200
+#: Vectors that are searched in one piece, and the blocks of a larger cell that give it starts.
+BLOCK_ROWS, START_BLOCKS = 20_000, 8
+#: Bins of distance in an octave, in concentration steps and for quantiles.
+BINS = 64
+#: Parts that the vectors of a cell are dealt to for joins.
+SALTS = 32
+SEED = 42
+STATISTICS = ("word_length", "capitals", "marks", "variety", "line_length", "short_words")
+
+_P = len(STATISTICS)
+_X = [f"x{k}" for k in range(_P)]
 _WORDS = regex.compile(WORD).findall
 _SYMBOLS = regex.compile(r"[#*$%&|<>]")
 _CAPITALS = regex.compile(r"\p{Lu}")
 _MARKS = regex.compile(r"[^\p{L}\p{N}\s]")
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_types", "n_short")
 
 
 def repeat_words(words: list[str], window: int = WINDOW) -> int:
@@ -74,7 +87,12 @@ def text_counts(text: str) -> tuple[int, ...]:
             filled += 1
             dup += line in seen
             seen.add(line)
-    return len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), dup, repeat_words(words), filled, len(_CAPITALS.findall(text)), len(_MARKS.findall(text))
+    sizes = list(map(len, words))
+    types, short = len(set(text.lower().translate(_TO_SPACE).split(" ")) - {""}), sum(n <= 3 for n in sizes)
+    return len(words), sum(sizes), len(_SYMBOLS.findall(text)), dup, repeat_words(words), filled, len(_CAPITALS.findall(text)), len(_MARKS.findall(text)), types, short
+
+
+_TO_SPACE = str.maketrans(dict.fromkeys(BLANKS, " "))
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -91,94 +109,161 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return rows.mapInArrow(count, schema)
 
 
-def _vector() -> list[Column]:
-    """The transformed statistics x0, x1, ..., each divided by its floor."""
-    chars = F.col("word_chars") + PRIOR
-    share = {
-        "word_length": F.log(chars / (F.col("n_words") + F.lit(PRIOR / 5))),
-        "symbols": F.sqrt(F.col("n_symbols") / chars),
-        "dup_lines": F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + PRIOR)),
-        "repeats": F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + PRIOR)),
-        "capitals": F.sqrt(F.col("n_capitals") / chars),
-        "marks": F.sqrt(F.col("n_marks") / chars),
+def vectors(counts: DataFrame, passed: str = "not base_failed") -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """counts with the transformed statistics x0, x1, ..., their means and their variances, over the rows that passed."""
+    sums = counts.filter(passed).agg(*(F.sum(c).cast("double").alias(c) for c in _COUNTS)).first()
+    rate = lambda a, b: (sums[a] or 0.0) / max(sums[b] or 0.0, 1.0)
+    n = F.col("n_words") + PRIOR
+    chars = PRIOR * rate("word_chars", "n_words")
+    shrunk = lambda c, base: F.col(c) + PRIOR * rate(c, base)
+    by_char = lambda c: F.sqrt((F.col(c) + chars * rate(c, "word_chars")) / (F.col("word_chars") + chars + 1e-9))
+    found = {
+        "word_length": F.log((F.col("word_chars") + chars + 1e-9) / n),
+        "capitals": by_char("n_capitals"),
+        "marks": by_char("n_marks"),
+        "variety": F.log((F.col("n_types") + PRIOR) / n) / F.log(n),
+        "line_length": F.log(n / (shrunk("n_lines", "n_words") + 1e-9)),
+        "short_words": F.sqrt(shrunk("n_short", "n_words") / n),
     }
-    return [(share[name] / floor).alias(f"x{k}") for k, (name, floor) in enumerate(FLOORS.items())]
+    rows = counts.select("*", *(found[name].alias(x) for name, x in zip(STATISTICS, _X, strict=True)))
+    row = rows.filter(passed).agg(*(f(x) for x in _X for f in (F.avg, F.var_pop))).first()
+    moments = np.array([v or 0.0 for v in row], float).reshape(_P, 2)
+    return rows, moments[:, 0], np.maximum(moments[:, 1], 1e-9)
 
 
-def _celled(rows: DataFrame) -> DataFrame:
-    """rows with a column cell: language and source, or what a small cell is pooled into."""
-    sizes = materialize(rows.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")), "cells")
-    pooled = sizes.withColumn("cell", F.when(F.col("n") >= MIN_CELL_ROWS, F.concat_ws("\n", F.lit("source"), "lang", "source")))
-    by_lang = pooled.filter("cell is null").groupBy("lang").agg(F.sum("n").alias("rest"))
-    pooled = pooled.join(by_lang, "lang", "left")
-    pooled = pooled.withColumn("cell", F.coalesce("cell", F.when(F.col("rest") >= MIN_CELL_ROWS, F.concat_ws("\n", F.lit("lang"), "lang")), F.lit("rest")))
-    return rows.join(materialize(pooled.select("lang", "source", "cell"), "cells"), ["lang", "source"], "left")
+# --- estimates in one piece --------------------------------------------------------------------
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of x from mean m by the inverse v, both columns of the row."""
-    z = [F.col(f"x{i}") - F.element_at("m", i + 1) for i in range(_P)]
-    terms = [z[i] * z[j] * F.element_at("v", i * _P + j + 1) * (1 if i == j else 2) for i in range(_P) for j in range(i, _P)]
-    return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
+def distances(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    z = x - mean
+    return np.einsum("ij,ij->i", z @ np.linalg.inv(cov), z)
+
+
+def minimum_determinant(x: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Mean and covariance of the ALPHA share of rows with the least determinant found, its logarithm, and the farthest of their distances.
+
+    floor is added to variances. The order of the rows does not matter.
+    """
+    x = x[np.lexsort(x.T)]
+    n, p = x.shape
+    h = max(1, int(np.ceil(ALPHA * n)))
+    added = np.diag(floor)
+
+    def step(mean: np.ndarray, cov: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+        d = distances(x, mean, cov)
+        near = np.argpartition(d, h - 1)[:h]
+        mean, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) + added
+        return float(np.linalg.slogdet(cov)[1]), mean, cov, float(d[near].max())
+
+    middle = np.median(x, axis=0)
+    spread = np.median(np.abs(x - middle), axis=0) * 1.4826
+    starts, rng = [(middle, np.diag(spread**2) + added)], np.random.default_rng(SEED)
+    for _ in range(STARTS):
+        some = x[rng.choice(n, min(n, p + 1), replace=False)]
+        starts.append((some.mean(axis=0), np.cov(some.T, bias=True) + added))
+    found = sorted((step(*step(*s)[1:3]) for s in starts), key=lambda f: f[0])
+    best = None
+    for at in found[:FOLLOWED]:
+        for _ in range(MOST_STEPS):
+            then = step(*at[1:3])
+            done, at = at[0] - then[0] < 1e-9, then
+            if done:
+                break
+        if best is None or at[0] < best[0]:
+            best = at
+    return best[1], best[2], best[0], best[3]
+
+
+_KEY = ["level", "lang", "source"]
+_FOUND = "level int, lang string, source string, start int, n long, m array<double>, c array<double>, log_det double, radius double"
+
+
+# --- estimates of any size ---------------------------------------------------------------------
 
 
 def _moments() -> list[Column]:
     pairs = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(_P) for j in range(i, _P)]
-    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)), *pairs]
+    return [F.count("*").alias("bin_n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)), *pairs]
 
 
-_ESTIMATE = "cell string, start int, n long, m array<double>, v array<double>, log_det double"
+def _distance() -> Column:
+    """Squared Mahalanobis distance of x from mean m by the inverse v, both columns of the row."""
+    z = [F.col(f"x{i}") - F.element_at("m", i + 1) for i in range(_P)]
+    terms = [z[i] * z[j] * F.element_at("v", i * _P + j + 1) * (1 if i == j else 2) for i in range(_P) for j in range(i, _P)]
+    return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
-def _estimate(n: float, sums: np.ndarray, products: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    mean = sums / n
-    return mean, (products / n - np.outer(mean, mean)) * factor + np.eye(_P)  # floors are 1 in these units
+def _inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield frame.assign(v=[np.linalg.inv(np.reshape(c, (_P, _P))).ravel().tolist() for c in frame["c"]])
+
+
+def _concentrated(floor: np.ndarray):
+    def concentrated(frame: pd.DataFrame) -> pd.DataFrame:
+        """The next estimate of one cell and start, from the moments of its bins of distance."""
+        frame = frame.sort_values("bin")
+        n = frame["bin_n"].to_numpy(np.int64)
+        inside = int(np.searchsorted(np.cumsum(n), int(np.ceil(ALPHA * n.sum())))) + 1
+        top, total = frame.iloc[:inside], n[:inside].sum()
+        mean = top[[f"s{i}" for i in range(_P)]].sum().to_numpy(float) / total
+        cov = np.diag(floor)
+        for i in range(_P):
+            for j in range(i, _P):
+                shared = top[f"s{i}_{j}"].sum() / total - mean[i] * mean[j]
+                cov[i, j] += shared
+                cov[j, i] += shared if i != j else 0.0
+        row = frame.iloc[0]
+        radius = float(row["radius"] * 2.0 ** ((top["bin"].iloc[-1] + 1) / BINS))
+        return pd.DataFrame([{**{k: row[k] for k in _KEY}, "start": row["start"], "n": int(n.sum()), "m": mean.tolist(), "c": cov.ravel().tolist(), "log_det": float(np.linalg.slogdet(cov)[1]), "radius": radius}])
+
+    return concentrated
+
+
+def _settled(rows: DataFrame, starts: DataFrame, floor: np.ndarray) -> DataFrame:
+    """Estimates of cells in several blocks, by concentration steps over all their vectors from each of their starts."""
+    estimates = starts
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    for _ in range(MOST_STEPS):
+        at = materialize(estimates.mapInPandas(_inverted, f"{_FOUND}, v array<double>"), "starts")
+        placed = rows.join(at.select(*_KEY, "start", "m", "v", "radius", salts), [*_KEY, "salt"])
+        octave = F.log2((_distance() + 1e-12) / F.col("radius"))
+        placed = placed.withColumn("bin", F.floor(F.greatest(F.least(octave, F.lit(2.0)), F.lit(-2.0)) * BINS).cast("int"))
+        bins = placed.groupBy(*_KEY, "start", "radius", "bin").agg(*_moments())
+        estimates = materialize(bins.groupBy(*_KEY, "start").applyInPandas(_concentrated(floor), _FOUND), "estimates")
+        before = at.select(*_KEY, "start", F.col("log_det").alias("last"))
+        if estimates.join(before, [*_KEY, "start"]).filter(F.abs(F.col("log_det") - F.col("last")) > 1e-3).isEmpty():
+            break
+    return estimates
 
 
-def _summed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    products = np.empty((len(frame), _P, _P))
-    for i in range(_P):
-        for j in range(i, _P):
-            products[:, i, j] = products[:, j, i] = frame[f"s{i}_{j}"]
-    return frame["n"].to_numpy(float), frame[[f"s{i}" for i in range(_P)]].to_numpy(float), products
+def robust_estimates(rows: DataFrame, floor: np.ndarray) -> DataFrame:
+    """Minimum covariance determinant estimates of cells: level, lang, source, n, m, c, from rows of those keys and x0, x1, ....
 
+    The rows of a cell are to be distinct. They are dealt to blocks by a hash.
+    """
+    sizes = materialize(rows.groupBy(*_KEY).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)), "cells")
+    row_hash = F.xxhash64(*_X)
+    salted = rows.withColumn("salt", F.pmod(row_hash, F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    dealt = salted.join(sizes.select(*_KEY, "blocks", salts), [*_KEY, "salt"])
+    dealt = materialize(dealt.withColumn("start", F.pmod(F.xxhash64(F.lit(SEED), row_hash), F.col("blocks")).cast("int")), "dealt")
 
-def _row(cell: str, start: int, n: int, mean: np.ndarray, cov: np.ndarray) -> dict:
-    return {"cell": cell, "start": start, "n": int(n), "m": mean.tolist(), "v": np.linalg.inv(cov).ravel().tolist(), "log_det": float(np.linalg.slogdet(cov)[1])}
+    def block(frame: pd.DataFrame) -> pd.DataFrame:
+        mean, cov, log_det, radius = minimum_determinant(frame[_X].to_numpy(float), floor)
+        row = frame.iloc[0]
+        return pd.DataFrame([{**{k: row[k] for k in _KEY}, "start": row["start"], "n": len(frame), "m": mean.tolist(), "c": cov.ravel().tolist(), "log_det": log_det, "radius": max(radius, 1e-12)}])
 
+    found = materialize(dealt.filter(F.col("start") < START_BLOCKS).groupBy(*_KEY, "start").applyInPandas(block, _FOUND), "blocks")
+    several = sizes.filter("blocks > 1").select(*_KEY)
+    if several.isEmpty():
+        return found.select(*_KEY, "n", "m", "c")
+    large = dealt.filter("blocks > 1").select(*_KEY, "salt", *_X)
+    last = _settled(large, found.join(several, _KEY, "left_semi"), floor)
+    best = last.groupBy(*_KEY).agg(F.first("n").alias("n"), F.min_by(F.struct("m", "c"), F.struct("log_det", "start")).alias("best"))
+    return found.join(several, _KEY, "left_anti").select(*_KEY, "n", "m", "c").union(best.select(*_KEY, "n", "best.m", "best.c"))
 
-def _started(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Two starts for each cell from the moments of all its rows: the covariance, and its diagonal."""
-    for frame in frames:
-        n, sums, products = _summed(frame)
-        out = []
-        for k, cell in enumerate(frame["cell"]):
-            mean, cov = _estimate(n[k], sums[k], products[k], 1.0)
-            out += [_row(cell, 0, n[k], mean, cov), _row(cell, 1, n[k], mean, np.diag(np.diag(cov)))]
-        yield pd.DataFrame(out, columns=["cell", "start", "n", "m", "v", "log_det"])
-
-
-def _shortest_half(frame: pd.DataFrame) -> pd.DataFrame:
-    """A start for one cell: middle and spread of the shortest run of bins that holds half its rows, for each statistic."""
-    mean, spread = np.zeros(_P), np.zeros(_P)
-    for k, bins in frame.sort_values("bin").groupby("k"):
-        at, n = bins["bin"].to_numpy(float), bins["n"].to_numpy(np.int64)
-        ends = np.cumsum(n)
-        last = np.searchsorted(ends, ends - n + (ends[-1] + 1) // 2)
-        first = np.flatnonzero(last < len(at))
-        width = at[last[first]] + 1 - at[first]
-        best = first[np.argmin(width)]
-        mean[k] = (at[best] + width.min() / 2) / BINS_PER_FLOOR
-        spread[k] = width.min() / BINS_PER_FLOOR / 1.349  # half of a normal population lies within 1.349 deviations
-    return pd.DataFrame([_row(frame["cell"].iloc[0], 2, frame.loc[frame["k"] == 0, "n"].sum(), mean, np.diag(spread**2 + 1))])
-
-
-def _concentrated(frame: pd.DataFrame) -> pd.DataFrame:
-    """The next estimate of one cell and start, from the moments of its bins of distance."""
-    n, sums, products = _summed(frame.sort_values("bin"))
-    inside = np.searchsorted(np.cumsum(n), ALPHA * n.sum()) + 1
-    mean, cov = _estimate(n[:inside].sum(), sums[:inside].sum(axis=0), products[:inside].sum(axis=0), _consistency(ALPHA))
-    return pd.DataFrame([_row(frame["cell"].iloc[0], int(frame["start"].iloc[0]), n.sum(), mean, cov)])
+
+# --- limits ------------------------------------------------------------------------------------
 
 
 def chi2_cdf(x: float, df: int) -> float:
@@ -203,51 +288,106 @@ def chi2_quantile(q: float, df: int) -> float:
     return high
 
 
-def _consistency(alpha: float) -> float:
-    """By how much the nearest alpha of a normal population understate its covariance."""
-    return alpha / chi2_cdf(chi2_quantile(alpha, _P), _P + 2)
-
-
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """cell, m (mean), v (inverse covariance) by minimum covariance determinant, of rows (cell, x0, x1, ...)."""
-    each = rows.select("cell", F.posexplode(F.array(*(f"x{k}" for k in range(_P)))).alias("k", "x"))
-    halves = each.groupBy("cell", "k", F.floor(F.col("x") * BINS_PER_FLOOR).alias("bin")).agg(F.count("*").alias("n"))
-    starts = rows.groupBy("cell").agg(*_moments()).mapInPandas(_started, _ESTIMATE)
-    estimates = materialize(starts.unionByName(halves.groupBy("cell").applyInPandas(_shortest_half, _ESTIMATE)), "estimates")
-    for step in range(MOST_STEPS):
-        placed = rows.join(estimates.select("cell", "start", "m", "v"), "cell")
-        placed = placed.withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * BINS_PER_OCTAVE).cast("int"))
-        bins = placed.groupBy("cell", "start", "bin").agg(*_moments())
-        before = estimates.select("cell", "start", F.col("log_det").alias("last"))
-        estimates = materialize(bins.groupBy("cell", "start").applyInPandas(_concentrated, _ESTIMATE), "estimates")
-        moved = estimates.join(before, ["cell", "start"]).filter(F.abs(F.col("log_det") - F.col("last")) > 1e-3)
-        if step + 1 >= STEPS and moved.isEmpty():
-            break
-    best = estimates.groupBy("cell").agg(F.min_by(F.struct("m", "v"), F.struct("log_det", "start")).alias("best"))
-    return materialize(best.select("cell", "best.m", "best.v"), "estimates")
+def consistency() -> float:
+    """By how much the nearest ALPHA of a normal population understate its covariance."""
+    return ALPHA / chi2_cdf(chi2_quantile(ALPHA, _P), _P + 2)
+
+
+def mixed(n: float, own: tuple[np.ndarray, np.ndarray], wide: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of n rows of own and SHRINK_ROWS of wide."""
+    w = n / (n + SHRINK_ROWS)
+    apart = own[0] - wide[0]
+    return w * own[0] + (1 - w) * wide[0], w * own[1] + (1 - w) * wide[1] + w * (1 - w) * np.outer(apart, apart)
+
+
+def _levels(lang: str = "lang", source: str = "source") -> Column:
+    """A row's cell, language and table."""
+    one = lambda level, *key: F.struct(F.lit(level).alias("level"), *(k.alias(c) for k, c in zip(key, ("lang", "source"), strict=True)))
+    return F.explode(F.array(one(0, F.col(lang), F.col(source)), one(1, F.col(lang), F.lit("")), one(2, F.lit(""), F.lit("")))).alias("cell")
+
+
+def _chained(found: DataFrame) -> DataFrame:
+    """Each cell beside its language and the table: lang, source, and own, of_lang, of_all with the other columns of found."""
+    rest = [c for c in found.columns if c not in _KEY]
+    cell = lambda level, name: found.filter(F.col("level") == level).select("lang", "source", F.struct(*rest).alias(name))
+    return cell(0, "own").join(cell(1, "of_lang").drop("source"), "lang").crossJoin(F.broadcast(cell(2, "of_all").select("of_all")))  # of_all is one row
+
+
+def _shrunk(pooled: tuple[np.ndarray, np.ndarray]):
+    def shrunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        factor = consistency()
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                at = pooled
+                for e in (row.of_all, row.of_lang, row.own):
+                    at = mixed(e["n"], (np.array(e["m"]), np.reshape(e["c"], (_P, _P)) * factor), at)
+                out.append((row.lang, row.source, at[0].tolist(), np.linalg.inv(at[1]).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["lang", "source", "m", "v"])
+
+    return shrunk
+
+
+def _quartile_and_median(frame: pd.DataFrame) -> pd.DataFrame:
+    """Logarithms of the lower quartile and the median of the distances of one cell, from its bins."""
+    frame = frame.sort_values("bin")
+    ends = np.cumsum(frame["bin_n"].to_numpy(np.int64))
+    at = [frame["bin"].iloc[int(np.searchsorted(ends, share * ends[-1]))] for share in (0.25, 0.5)]
+    low, middle = ((b + 0.5) / BINS * log(2) for b in at)
+    return pd.DataFrame([{**{k: frame[k].iloc[0] for k in _KEY}, "n": int(ends[-1]), "low": float(low), "middle": float(middle)}])
+
+
+def limit(chain: list[tuple[float, float, float]], quantile: float) -> float:
+    """The largest distance that is kept, from (rows, lower quartile, median) of the table, the language and the cell, as logarithms.
+
+    For a normal population it is the chi-square quantile; a wider spread below the median moves it out.
+    """
+    low, middle, top = (log(chi2_quantile(q, _P)) for q in (0.25, 0.5, quantile))
+    at, stretch = middle, 1.0
+    for n, own_low, own_middle in chain:
+        w = n / (n + SHRINK_ROWS)
+        at, stretch = w * own_middle + (1 - w) * at, w * (own_middle - own_low) / (middle - low) + (1 - w) * stretch
+    return exp(at + max(1.0, stretch) * (top - middle))
+
+
+def _limits(quantile: float):
+    def limits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(r.lang, r.source, limit([(e["n"], e["low"], e["middle"]) for e in (r.of_all, r.of_lang, r.own)], quantile)) for r in frame.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["lang", "source", "most"])
+
+    return limits
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", quantile: float = QUANTILE) -> DataFrame:
-    """One row per row of docs: id_col, the counts, base_failed, distance (squared), kept.
+    """One row per row of docs: id_col, the counts, base_failed, distance (squared), most, kept.
 
     Fixed limits come first: too few words, or too many in repeated windows. Rows that pass them shape
-    the estimates and are kept if their distance is within the chi-square quantile. Null languages and
-    sources count as ''. In a table of fewer than MIN_CELL_ROWS passing rows, small cells have no
-    estimate, and their rows are kept with distance null. Repeated rows count and are judged each;
-    other columns are ignored.
+    the estimates and are kept if their distance is at most ``most``, the limit of their cell. Null
+    texts count as empty, null languages and sources as ''. Repeated rows are judged each, and equal
+    vectors are one observation. A cell of which no row passes has distance and most null. An empty
+    table gives an empty table; other columns are ignored.
     """
     rows = counted(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = materialize(rows.withColumn("base_failed", failed), "counts")
-    rows = materialize(_celled(rows).select("id", *_COUNTS, "base_failed", "cell", *_vector()), "vectors")
-    passed = rows.filter("not base_failed").select("cell", *(f"x{i}" for i in range(_P)))
-    sizes = passed.filter("cell = 'rest'").count()
-    estimates = robust_estimates(passed if sizes >= MIN_CELL_ROWS else passed.filter("cell <> 'rest'"))
-    out = rows.join(estimates, "cell", "left").withColumn("distance", F.when(F.col("m").isNotNull(), _distance()))
-    inside = F.coalesce(F.col("distance") <= chi2_quantile(quantile, _P), F.lit(True))
-    return out.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "distance", (~F.col("base_failed") & inside).alias("kept"))
+    counts = materialize(rows.withColumn("base_failed", failed), "counts")
+    rows, means, variances = vectors(counts)
+    floor = FLOOR * variances
+    once = materialize(rows.filter("not base_failed").groupBy("lang", "source", *_X).agg(F.lit(1).alias("one")).drop("one"), "vectors")
+    wider = once.select(_levels(), *_X).select("cell.*", *_X).distinct()
+    found = materialize(robust_estimates(wider, floor), "estimates")
+    estimates = materialize(_chained(found).mapInPandas(_shrunk((means, np.diag(variances))), "lang string, source string, m array<double>, v array<double>"), "shrunk")
+    placed = once.join(estimates, ["lang", "source"]).withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * BINS).cast("int"))
+    bins = materialize(placed.groupBy("lang", "source", "bin").agg(F.count("*").alias("bin_n")), "bins")
+    wide_bins = bins.select(_levels(), "bin", "bin_n").select("cell.*", "bin", "bin_n").groupBy(*_KEY, "bin").agg(F.sum("bin_n").alias("bin_n"))
+    spreads = materialize(wide_bins.groupBy(*_KEY).applyInPandas(_quartile_and_median, "level int, lang string, source string, n long, low double, middle double"), "spreads")
+    limits = materialize(_chained(spreads).mapInPandas(_limits(quantile), "lang string, source string, most double"), "limits")
+    out = rows.join(materialize(estimates.join(limits, ["lang", "source"]), "cells"), ["lang", "source"], "left").withColumn("distance", F.when(F.col("m").isNotNull(), _distance()))
+    inside = F.coalesce(F.col("distance") <= F.col("most"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "distance", "most", (~F.col("base_failed") & inside).alias("kept"))
 
 
 def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of judge on documents. Null texts count as empty; see judge for the other cases."""
     out = judge(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
