@@ -202,18 +202,22 @@ def _concentrated(floor: np.ndarray):
     def concentrated(frame: pd.DataFrame) -> pd.DataFrame:
         """The next estimate of one cell and start, from the moments of its bins of distance."""
         frame = frame.sort_values("bin")
-        n = frame["bin_n"].to_numpy(np.int64)
-        inside = int(np.searchsorted(np.cumsum(n), int(np.ceil(ALPHA * n.sum())))) + 1
-        top, total = frame.iloc[:inside], n[:inside].sum()
-        mean = top[[f"s{i}" for i in range(_P)]].sum().to_numpy(float) / total
+        n = frame["bin_n"].to_numpy(float)
+        half, ends = np.ceil(ALPHA * n.sum()), np.cumsum(n)
+        last = int(np.searchsorted(ends, half))
+        part = (half - (ends[last] - n[last])) / n[last]  # of the bin where the share ends
+        share = np.where(np.arange(len(n)) < last, 1.0, 0.0)
+        share[last] = part
+        added = lambda c: float(share @ frame[c].to_numpy(float)) / half
+        mean = np.array([added(f"s{i}") for i in range(_P)])
         cov = np.diag(floor)
         for i in range(_P):
             for j in range(i, _P):
-                shared = top[f"s{i}_{j}"].sum() / total - mean[i] * mean[j]
+                shared = added(f"s{i}_{j}") - mean[i] * mean[j]
                 cov[i, j] += shared
                 cov[j, i] += shared if i != j else 0.0
         row = frame.iloc[0]
-        radius = float(row["radius"] * 2.0 ** ((top["bin"].iloc[-1] + 1) / BINS))
+        radius = float(row["radius"] * 2.0 ** ((frame["bin"].iloc[last] + part) / BINS))
         return pd.DataFrame([{**{k: row[k] for k in _KEY}, "start": row["start"], "n": int(n.sum()), "m": mean.tolist(), "c": cov.ravel().tolist(), "log_det": float(np.linalg.slogdet(cov)[1]), "radius": radius}])
 
     return concentrated
@@ -231,7 +235,7 @@ def _settled(rows: DataFrame, starts: DataFrame, floor: np.ndarray) -> DataFrame
         bins = placed.groupBy(*_KEY, "start", "radius", "bin").agg(*_moments())
         estimates = materialize(bins.groupBy(*_KEY, "start").applyInPandas(_concentrated(floor), _FOUND), "estimates")
         before = at.select(*_KEY, "start", F.col("log_det").alias("last"))
-        if estimates.join(before, [*_KEY, "start"]).filter(F.abs(F.col("log_det") - F.col("last")) > 1e-3).isEmpty():
+        if estimates.join(before, [*_KEY, "start"]).filter(F.col("last") - F.col("log_det") > 1e-3).isEmpty():
             break
     return estimates
 
