@@ -7,9 +7,9 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_dir
+from ..session import materialize, shared_path
 
-__all__ = ["BLANKS", "WORD", "ascii_lower", "crc_mod", "materialize", "read_table", "shared_dir", "shuffle_partitions"]
+__all__ = ["BLANKS", "WORD", "ascii_lower", "crc_mod", "materialize", "read_table", "shared_path", "shuffle_partitions"]
 
 #: Word separators of every operator here: space and the controls tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"

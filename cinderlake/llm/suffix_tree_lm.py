@@ -1,24 +1,27 @@
 """Language-model scores from a probabilistic suffix tree.
 
-Contexts are the sequences of up to MAX_DEPTH words whose share of the training tokens is at least
-MIN_SHARE, so no depth has more than 1 / MIN_SHARE of them, whatever the corpus. A context stays in the
-tree if the one it extends stays and if, by leave-one-out, its next-word distribution diverges from
-that one's by at least MIN_GAIN nats a token. Distributions are discounted and interpolated down the
-tree to add-one word frequencies. A token is scored in the longest context of the tree that ends
-before it.
+A context is a sequence of words that was read before. Contexts grow by a word to the left, one depth a
+round. One is tested if it occurs LEAST times in training, if the context it extends is in the tree and
+if its own words but the last were asked for; it stays if its next words diverge from those of the
+context it extends: if, leaving out each occurrence in turn, they are worth MIN_GAIN nats more in all.
+There is no limit on depth or number. Where a context predicts nearly as well as a longer one could,
+longer ones fail the test, so rounds end by themselves. A context's distribution is smoothed by that of
+the context it extends, which counts for STRENGTH words, down to add-one word frequencies. A token is
+scored in the longest context of the tree that ends before it.
 
 Texts are read once, into batches of about BATCH_TOKENS tokens: the batch's words as 64-bit hashes and
-each token's place among them. For each depth a batch asks for the corpus counts of its distinct
-(context, word) pairs, packed by ranges of their hashes; a range adds up what its batches bring and
-answers each in the order it asked. A frequent word or context brings one entry a batch, so no range is
-hot. The batches are bucketed by their number, so that answers come to them and they are not shuffled.
+each token's place among them. In each round a batch asks for the corpus counts of its distinct
+(context, word) pairs and brings what it knows of the last round's test, packed by ranges of hashes; a
+range adds up what its batches bring and answers each in the order it asked. A frequent word or context
+brings one entry a batch, so no range is hot, and no list of contexts exists anywhere but in pieces. The
+batches are bucketed by their number, so that answers come to them and they are not shuffled.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,16 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, ascii_lower, crc_mod, materialize, read_table, shared_dir, shuffle_partitions
+from .common import WORD, ascii_lower, crc_mod, materialize, read_table, shared_path, shuffle_partitions
 
-MAX_DEPTH = 3
-MIN_SHARE = 2e-4
-MIN_COUNT = 4
-MIN_GAIN = 0.01
-DISCOUNT = 0.75
+#: Nats that a context's next words must be worth beyond the context it extends, over all its occurrences.
+MIN_GAIN = 2.0
+#: Words that the shorter context's distribution counts for, by depth; the last holds for all depths below.
+STRENGTH = (300.0, 40.0, 3.0)
+#: A context that occurs once has nothing left to be tested by when it is left out.
+LEAST = 2
 BATCH_TOKENS = 2_000_000
 #: Tokens of the corpus for each range of hashes.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 8_000_000
 FOLDS, HELD_OUT = 7, 2
 #: No word holds a line end.
 END = "\n"
@@ -112,38 +116,47 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ARROW = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
 
+@dataclass
+class _Level:
+    """The tokens of a batch whose context of one depth is asked for."""
+
+    at: np.ndarray  # the tokens
+    context: np.ndarray  # their contexts, as numbers of keys one level above
+    keys: np.ndarray  # the distinct (context, word) keys in order
+    key: np.ndarray  # each token's key, as a number
+
+
 class _Batch:
-    """The tokens of one batch, and for each depth its distinct (context, word) keys."""
+    """The tokens of one batch."""
 
-    def __init__(self, row: dict, contexts: list[np.ndarray]) -> None:
+    def __init__(self, row: dict) -> None:
         self.ids = row["ids"]
         self.sizes = np.frombuffer(row["sizes"], np.int32)
         places = _unpack(row["places"])
         self.n = len(places)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(np.frombuffer(row["train"], np.uint8) > 0, self.sizes)
-        starts = np.cumsum(self.sizes) - self.sizes
-        offset = np.arange(self.n) - np.repeat(starts, self.sizes)
+        self.offset = np.arange(self.n, dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
         hashes = np.frombuffer(row["words"], np.uint64)
-        words = hashes[places]
-        #: For each depth: the tokens that have such a context, the context's number, the keys in order, and each token's key.
-        self.depths: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         order = np.argsort(hashes)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.depths.append((np.arange(self.n), np.zeros(self.n, np.int32), hashes[order], rank[places]))
-        ending = words  # the key of the words that end at each token
-        at = np.arange(self.n)
-        for depth, known in enumerate(contexts, 1):
-            # Where a context is common, so is the context without its first word; only those tokens are looked at.
-            at = at[offset[at] >= depth]
-            number = np.searchsorted(known, ending[at - 1]) if len(known) else np.zeros(len(at), np.int64)
-            hit = known[np.minimum(number, len(known) - 1)] == ending[at - 1] if len(known) else np.zeros(len(at), bool)
-            at, number = at[hit], number[hit]
-            keys, inverse = np.unique(_longer(ending[at - 1], words[at]), return_inverse=True)
-            self.depths.append((at, number.astype(np.int32), keys, inverse))
-            longer = np.zeros(self.n, np.uint64)
-            longer[1:] = _longer(ending[:-1], words[1:])
-            ending = longer
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        every = np.arange(self.n, dtype=np.int32)
+        self.levels = [_Level(every, np.zeros(self.n, np.int32), hashes[order], rank[places])]
+
+    def deepen(self, totals: np.ndarray, open_: np.ndarray) -> None:
+        """Adds the next level. totals: of the last level's keys; open_: whether a token's shorter contexts stayed."""
+        last, depth = self.levels[-1], len(self.levels)
+        index = np.full(self.n, -1, np.int32)
+        index[last.at] = np.arange(len(last.at), dtype=np.int32)
+        at = last.at[(self.offset[last.at] >= depth) & open_[last.at]]
+        before = index[at - 1]
+        at, before = at[before >= 0], before[before >= 0]
+        often = totals[last.key[before]] >= LEAST
+        at, context = at[often], last.key[before[often]]
+        word = self.levels[0]
+        keys, key = np.unique(_longer(last.keys[context], word.keys[word.key[at]]), return_inverse=True)
+        self.levels.append(_Level(at, context, keys, key.astype(np.int32)))
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -151,146 +164,183 @@ def _read(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {c: batch.column(c)[k].as_py() for c in ("batch", "ids", "sizes", "train", "words", "places")}
 
 
+class _Chain:
+    """Probabilities of a batch's tokens along the contexts that stayed, as far as the answers go.
+
+    p is each token's probability in its deepest context so far, q the same with the token left out of
+    the counts, deep the depth of that context.
+    """
+
+    def __init__(self, batch: _Batch, sizes: tuple[int, int], strength: tuple[float, ...], totals: list[np.ndarray]) -> None:
+        n, v = sizes
+        self.batch, self.strength, self.totals = batch, strength, totals
+        c = totals[0][batch.levels[0].key].astype(float)
+        self.base = (c + 1) / (n + v + 1)
+        self.known = c > 0
+        self.p, self.q, self.deep = self.base.copy(), np.maximum(c, 1) / max(n + v, 1), np.zeros(batch.n, np.int16)
+
+    def tested(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose context of this depth is to be tested, its number one level above, and p and q with it."""
+        level = self.batch.levels[depth]
+        mine = self.deep[level.at] >= depth - 1
+        at, context = level.at[mine], level.context[mine]
+        m = self.strength[min(depth, len(self.strength)) - 1]
+        c, n = self.totals[depth][level.key[mine]].astype(float), self.totals[depth - 1][context].astype(float)
+        p = (c + m * self.p[at]) / (n + m)
+        q = (np.maximum(c - 1, 0) + m * self.q[at]) / (n - 1 + m)
+        return at, context, p, q
+
+    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tested contexts of this depth, as numbers one level above, and what they gain in the batch's training tokens."""
+        at, context, _, q = self.tested(depth)
+        own = self.batch.train[at]
+        gain = np.bincount(context[own], np.log(q[own] / self.q[at[own]]), minlength=len(self.batch.levels[depth - 1].keys))
+        there = np.zeros(len(gain), bool)
+        there[context] = True
+        found = np.flatnonzero(there)
+        return found, gain[found].astype(np.float32)
+
+    def follow(self, depth: int, stays: np.ndarray) -> None:
+        """Moves tokens to their contexts of this depth; stays: of its tested contexts in order, whether they stay."""
+        at, context, p, q = self.tested(depth)
+        flags = np.zeros(len(self.batch.levels[depth - 1].keys), bool)
+        there = np.zeros(len(flags), bool)
+        there[context] = True
+        flags[np.flatnonzero(there)] = stays
+        here = flags[context]
+        at = at[here]
+        self.p[at], self.q[at], self.deep[at] = p[here], q[here], depth
+
+
+def _walk(batch: _Batch, sizes: tuple[int, int], strength: tuple[float, ...], totals: list[np.ndarray], stays: list[np.ndarray]) -> _Chain:
+    """The batch's levels and probabilities, from totals of depths 0, 1, ... and the verdicts on contexts of depths 1, 2, ...."""
+    chain = _Chain(batch, sizes, strength, totals)
+    for depth in range(1, len(totals)):
+        batch.deepen(totals[depth - 1], chain.deep >= depth - 2)
+        if depth <= len(stays):
+            chain.follow(depth, stays[depth - 1])
+    return chain
+
+
 # --- corpus counts -----------------------------------------------------------------------------
 
 
-def _ask(tokens: DataFrame, contexts: list[np.ndarray], n_ranges: int) -> DataFrame:
-    """Keys of the deepest contexts given, with their training counts here: a row for each batch and range."""
-    depth = len(contexts)
-    end = _hash(END)
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned integers as planes of as many bytes as the largest needs, with that number in front."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _integers(data: bytes) -> np.ndarray:
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_integers(data), dtype=np.uint64)
+
+
+_ASKED = "range int, batch long, keys binary, n binary, contexts binary, gains binary"
+_ANSWER = "range int, batch long, totals binary, stays binary, known long, contexts long"
+
+
+def _messages(number: int, batch: _Batch, level: _Level, context_keys: np.ndarray, gains: np.ndarray, n_ranges: int) -> pd.DataFrame:
+    """Keys of a level with their training counts, and tested contexts with their gains: a row for each range that has any."""
+    n = np.bincount(level.key[batch.train[level.at]], minlength=len(level.keys))
+    edges = np.array([-(-(k << 32) // n_ranges) for k in range(1, n_ranges)], np.uint64)
+    cut = lambda keys: np.concatenate([[0], np.searchsorted(keys >> np.uint64(32), edges), [len(keys)]])
+    a, b = cut(level.keys), cut(context_keys)
+    some = [k for k in range(n_ranges) if a[k] < a[k + 1] or b[k] < b[k + 1]]
+    rows = [(k, number, _steps(level.keys[a[k] : a[k + 1]]), _planes(n[a[k] : a[k + 1]]), _steps(context_keys[b[k] : b[k + 1]]), gains[b[k] : b[k + 1]].tobytes()) for k in some]
+    return pd.DataFrame(rows, columns=["range", "batch", "keys", "n", "contexts", "gains"])
+
+
+def _first_questions(tokens: DataFrame, n_ranges: int) -> DataFrame:
+    """The words of each batch."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _read(batch):
-                tokens = _Batch(row, contexts)
-                at, number, keys, inverse = tokens.depths[depth]
-                n = np.bincount(inverse[tokens.train[at]], minlength=len(keys)).astype(np.int32)
-                context = np.zeros(len(keys), np.int32)
-                context[inverse] = number
-                words = np.frombuffer(row["words"], np.uint64)
-                ends = np.zeros(len(keys), np.uint8)
-                last = words[_unpack(row["places"])[at]] == np.uint64(end)
-                ends[inverse[last]] = 1  # nothing follows an end, so it makes no context
-                cuts = np.searchsorted(keys >> np.uint64(32), np.array([-(-(k << 32) // n_ranges) for k in range(n_ranges)], np.uint64))
-                for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
-                    if a < b:
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["batch"]]), *(pa.array([x[a:b].tobytes()], pa.binary()) for x in (keys, n, context, ends))], names=["range", "batch", "keys", "n", "context", "ends"])
-
-    return tokens.mapInArrow(ask, "range int, batch long, keys binary, n binary, context binary, ends binary")
-
+                read = _Batch(row)
+                out = _messages(row["batch"], read, read.levels[0], np.zeros(0, np.uint64), np.zeros(0, np.float32), n_ranges)
+                yield pa.RecordBatch.from_pandas(out, pa.schema([("range", pa.int32()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("keys", "n", "contexts", "gains"))]), preserve_index=False)
 
-_ANSWER = "range int, batch long, totals binary, width int, known long, numbers binary, sums binary, types binary, common binary"
+    return tokens.mapInArrow(ask, _ASKED)
 
 
-def _answers(asked: DataFrame, least: float) -> DataFrame:
-    """For each row asked the corpus counts in its order; for each range a row with what its keys add to each context.
+def _answers(asked: DataFrame, min_gain: float) -> DataFrame:
+    """For each row asked the corpus counts of its keys and the verdicts on its contexts, in its order.
 
-    The latter has batch null, the number of keys that occur in training (known), of each context its
-    number, tokens and distinct next words, and the keys with a count of at least least (common).
+    Each range adds a row with batch null: how many of its keys occur in training, and how many contexts stay.
     """
 
+    def merged(parts: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Sums of the values by key, and each part's keys as numbers."""
+        distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        return np.bincount(inverse, np.concatenate(values), minlength=len(distinct)), np.split(inverse, np.cumsum([len(p) for p in parts])[:-1])
+
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, n, context, ends = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("keys", np.uint64), ("n", np.int32), ("context", np.int32), ("ends", np.uint8)))
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, n).astype(np.int64)
-        width = next(w for w in (1, 2, 4, 8) if total.max() < 1 << (8 * w - (w == 8)))
-        out, start = [], 0
-        for batch, blob in zip(frame["batch"], frame["keys"], strict=True):
-            size = len(blob) // 8
-            out.append((batch, total[inverse[start : start + size]].astype(f"<u{width}").tobytes(), width))
-            start += size
-        found = pd.DataFrame(out, columns=["batch", "totals", "width"])
-        numbers, place = np.unique(context[first], return_inverse=True)
-        sums, types = np.bincount(place, total).astype(np.int64), np.bincount(place, total > 0).astype(np.int64)
-        common = distinct[(total >= least) & (ends[first] == 0)]
-        summary = pd.DataFrame({"batch": [None], "known": [int((total > 0).sum())], "numbers": [numbers.tobytes()], "sums": [sums.tobytes()], "types": [types.tobytes()], "common": [common.tobytes()]})
-        both = pd.concat([found.astype({"batch": "Int64", "width": "Int32"}), summary.astype({"batch": "Int64", "known": "Int64"})], ignore_index=True)
-        both["range"] = int(frame["range"].iloc[0])
-        return both[["range", "batch", "totals", "width", "known", "numbers", "sums", "types", "common"]]
+        frame = frame.sort_values("batch")
+        total, places = merged([_keys(x) for x in frame["keys"]], [_integers(x) for x in frame["n"]])
+        gain, marks = merged([_keys(x) for x in frame["contexts"]], [np.frombuffer(x, np.float32) for x in frame["gains"]])
+        total, stays = total.astype(np.uint64), gain >= min_gain
+        rows = [(b, _planes(total[at]), stays[mark].tobytes(), None, None) for b, at, mark in zip(frame["batch"], places, marks, strict=True)]
+        rows.append((None, None, None, int((total > 0).sum()), int(stays.sum())))
+        out = pd.DataFrame(rows, columns=["batch", "totals", "stays", "known", "contexts"]).astype({"batch": "Int64", "known": "Int64", "contexts": "Int64"})
+        out.insert(0, "range", int(frame["range"].iloc[0]))
+        return out
 
     return asked.groupBy("range").applyInPandas(answer, _ANSWER)
 
 
-# --- the tree ----------------------------------------------------------------------------------
-
-
-@dataclass
-class SuffixTree:
-    """Numbers of the training corpus, and for each depth its contexts: at most 1 / MIN_SHARE of them."""
-
-    train_tokens: int = 0
-    train_words: int = 0
-    contexts: list[np.ndarray] = field(default_factory=list)
-    sums: list[np.ndarray] = field(default_factory=list)
-    types: list[np.ndarray] = field(default_factory=list)
-    kept: list[np.ndarray] = field(default_factory=list)
-
-    def probabilities(self, batch: _Batch, totals: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each depth from 1: tokens, context numbers, and with the context, without it, and left out themselves, the probabilities."""
-        p = (totals[0][batch.depths[0][3]] + 1) / (self.train_tokens + self.train_words + 1)
-        yield np.arange(batch.n), np.zeros(batch.n, np.int32), p.copy(), p.copy(), p
-        for depth in range(1, len(self.contexts) + 1):
-            at, number, _, inverse = batch.depths[depth]
-            c, n, t = totals[depth][inverse].astype(float), self.sums[depth - 1][number].astype(float), self.types[depth - 1][number].astype(float)
-            shorter = p[at]
-            whole = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * t * shorter) / np.maximum(n, 1)
-            t = t - (c == 1)
-            without = (np.maximum(c - 1 - DISCOUNT, 0) + DISCOUNT * t * shorter) / np.maximum(n - 1, 1)
-            yield at, number, whole, shorter, np.maximum(without, 1e-300)
-            p = p.copy()
-            p[at] = whole
-
-
-def _with_answers(tokens: DataFrame, answers: list[DataFrame], contexts: list[np.ndarray], use, schema: str) -> DataFrame:
-    """use(batch, totals of each depth) for each batch of tokens, with its answers."""
-    rows = [a.filter("batch is not null").select("batch", F.lit(depth).alias("depth"), "range", "totals", "width") for depth, a in enumerate(answers)]
+def _with_answers(tokens: DataFrame, answers: list[DataFrame], use, schema: str) -> DataFrame:
+    """use(batch number, batch, totals of each depth, verdicts on each depth) for each batch of tokens."""
+    rows = [a.filter("batch is not null").select("batch", F.lit(depth).alias("depth"), "range", "totals", "stays") for depth, a in enumerate(answers)]
     found = rows[0]
     for more in rows[1:]:
         found = found.unionByName(more)
-
     n_depths = len(answers)
 
     def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        batch = _Batch(left.iloc[0], contexts)
-        parts: list[list[np.ndarray]] = [[] for _ in range(n_depths)]
-        for depth, totals, width in right.sort_values(["depth", "range"])[["depth", "totals", "width"]].itertuples(index=False):
-            parts[depth].append(np.frombuffer(totals, f"<u{int(width)}").astype(np.int64))
-        return use(batch, [np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts])
+        totals: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(n_depths)]
+        stays: list[list[np.ndarray]] = [[np.zeros(0, bool)] for _ in range(n_depths)]
+        for depth, total, stay in right.sort_values(["depth", "range"])[["depth", "totals", "stays"]].itertuples(index=False):
+            totals[depth].append(_integers(total).astype(np.int64))
+            stays[depth].append(np.frombuffer(stay, bool))
+        return use(int(left["batch"].iloc[0]), _Batch(left.iloc[0]), [np.concatenate(x) for x in totals], [np.concatenate(x) for x in stays[2:]])
 
     return tokens.groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(together, schema)
 
 
-def _gains(tree: SuffixTree):
-    def gains(batch: _Batch, totals: list[np.ndarray]) -> pd.DataFrame:
-        out = []
-        for depth, (at, number, _, shorter, without) in enumerate(tree.probabilities(batch, totals)):
-            if depth and len(at):
-                mine = batch.train[at]
-                gain = np.bincount(number[mine], np.log(without[mine] / shorter[mine]), minlength=1)
-                some = np.flatnonzero(gain)
-                out.append(pd.DataFrame({"depth": np.full(len(some), depth, np.int32), "number": some.astype(np.int32), "gain": gain[some]}))
-        return pd.concat(out) if out else pd.DataFrame({"depth": [], "number": [], "gain": []})
-
-    return gains
-
-
-def _scores(tree: SuffixTree):
-    def scores(batch: _Batch, totals: list[np.ndarray]) -> pd.DataFrame:
-        log_p = known = base = None
-        inside = np.ones(batch.n, bool)  # tokens whose contexts so far are in the tree
-        for depth, (at, number, whole, _, _) in enumerate(tree.probabilities(batch, totals)):
-            if not depth:
-                base, known = np.log10(whole), totals[0][batch.depths[0][3]] > 0
-                log_p = base.copy()
-                continue
-            stays = inside[at] & tree.kept[depth - 1][number]
-            log_p[at[stays]] = np.log10(whole[stays])
-            inside = np.zeros(batch.n, bool)
-            inside[at[stays]] = True
-        starts = np.cumsum(batch.sizes) - batch.sizes
-        add = lambda x: np.add.reduceat(x, starts)
+# --- rounds ------------------------------------------------------------------------------------
+
+
+def _questions(depth: int, sizes: tuple[int, int], strength: tuple[float, ...], n_ranges: int):
+    """What a batch asks in the round of a depth, when the answers to all rounds before are there."""
+
+    def ask(number: int, batch: _Batch, totals: list[np.ndarray], stays: list[np.ndarray]) -> pd.DataFrame:
+        chain = _walk(batch, sizes, strength, totals, stays)
+        found, gains = chain.contexts(depth - 1) if depth > 1 else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+        context_keys = batch.levels[depth - 2].keys[found] if depth > 1 else np.zeros(0, np.uint64)
+        batch.deepen(totals[depth - 1], chain.deep >= depth - 2)
+        return _messages(number, batch, batch.levels[depth], context_keys, gains, n_ranges)
+
+    return ask
+
+
+def _scores(sizes: tuple[int, int], strength: tuple[float, ...]):
+    def scores(number: int, batch: _Batch, totals: list[np.ndarray], stays: list[np.ndarray]) -> pd.DataFrame:
+        chain = _walk(batch, sizes, strength, totals, stays)
+        add = lambda x: np.add.reduceat(x, batch.starts)
         ids = pd.array([None if x is None or x != x else int(x) for x in batch.ids], dtype="Int64")
-        return pd.DataFrame({"id": ids, "train": batch.train[starts], "n_tokens": batch.sizes.astype(np.int64), "n_known": add(known.astype(np.int64)), "base_score": add(base), "score": add(log_p)})
+        return pd.DataFrame({"id": ids, "train": batch.train[batch.starts], "n_tokens": batch.sizes.astype(np.int64), "n_known": add(chain.known.astype(np.int64)), "base_score": add(np.log10(chain.base)), "score": add(np.log10(chain.p))})
 
     return scores
 
@@ -298,64 +348,42 @@ def _scores(tree: SuffixTree):
 _SCORES = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", max_depth: int = MAX_DEPTH, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN) -> DataFrame:
+def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", min_gain: float = MIN_GAIN, strength: tuple[float, ...] = STRENGTH) -> DataFrame:
     """One row per row of docs: id_col, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` is a SQL condition on docs that picks the rows to learn from; a null verdict is false.
     A-Z are lower-cased, words are what stands between blanks, and an end follows the last word. A null
     or empty text is one end. Without training rows every probability is 1 in the base and the score.
     n_known counts tokens that occur in training. Scores are sums of log10 probabilities. Repeated rows
-    count and are scored each; other columns are ignored.
+    count and are scored each; an empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), ascii_lower(F.col(text_col)).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
-    name, n_buckets = f"tokens_{uuid.uuid4().hex}", shuffle_partitions(spark)
-    rows.mapInArrow(_tokenize, _TOKENS).write.bucketBy(n_buckets, "batch").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    tokens = spark.table(name)
-    counts = tokens.agg(F.sum("n_tokens").alias("all"), F.sum("n_train").alias("train")).first()
-    tree = SuffixTree(counts["train"] or 0)
-    n_ranges = max(n_buckets, -(-(counts["all"] or 0) // RANGE_TOKENS))
-    least = max(MIN_COUNT, min_share * tree.train_tokens)
-    answers: list[DataFrame] = []
-    for depth in range(max_depth + 1):
-        answers.append(materialize(_answers(_ask(tokens, tree.contexts, n_ranges), least), "answers"))
-        ranges = answers[-1].filter("batch is null")
-        if depth:
-            _add_contexts(tree, ranges, depth)
-        else:
-            tree.train_words = ranges.agg(F.sum("known")).first()[0] or 0
-        if depth < max_depth:
-            # At most 1 / min_share keys in all, as each takes min_share of the training tokens.
-            common = [np.frombuffer(r["common"], np.uint64) for r in ranges.select("common").collect()]
-            tree.contexts.append(np.sort(np.concatenate([np.zeros(0, np.uint64), *common])))
-            if not len(tree.contexts[-1]):
-                tree.contexts.pop()
+    path, n_buckets = shared_path(spark, "tokens"), shuffle_partitions(spark)
+    name = f"tokens_{uuid.uuid4().hex}"
+    rows.mapInArrow(_tokenize, _TOKENS).write.bucketBy(n_buckets, "batch").option("compression", "zstd").option("path", path).saveAsTable(name)
+    try:
+        tokens = spark.table(name)
+        counts = tokens.agg(F.sum("n_tokens").alias("all"), F.sum("n_train").alias("train")).first()
+        n_ranges = max(n_buckets, -(-(counts["all"] or 0) // RANGE_TOKENS))
+        answers = [materialize(_answers(_first_questions(tokens, n_ranges), min_gain), "answers")]
+        words = answers[0].filter("batch is null").agg(F.sum("known")).first()[0] or 0
+        sizes = (counts["train"] or 0, words)
+        while True:
+            depth = len(answers)
+            asked = _with_answers(tokens, answers, _questions(depth, sizes, strength, n_ranges), _ASKED)
+            answers.append(materialize(_answers(asked, min_gain), "answers"))
+            found = answers[-1].filter("batch is null").agg(F.sum("known").alias("keys"), F.sum("contexts").alias("stay")).first()
+            if not found["keys"] or (depth > 1 and not found["stay"]):
                 break
-    gains = _with_answers(tokens, answers, tree.contexts, _gains(tree), "depth int, number int, gain double").groupBy("depth", "number").agg(F.sum("gain").alias("gain"))
-    tree.kept = [np.zeros(len(c), bool) for c in tree.contexts]
-    for r in gains.collect():  # as many as contexts at most
-        tree.kept[r["depth"] - 1][r["number"]] = r["gain"] >= min_gain * tree.sums[r["depth"] - 1][r["number"]]
-    out = _with_answers(tokens, answers, tree.contexts, _scores(tree), _SCORES)
-    return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tree.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _add_contexts(tree: SuffixTree, ranges: DataFrame, depth: int) -> None:
-    """Tokens and distinct next words of each context of a depth, added up over the ranges."""
-
-    def unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for numbers, sums, types in zip(frame["numbers"], frame["sums"], frame["types"], strict=True):
-                yield pd.DataFrame({"number": np.frombuffer(numbers, np.int32), "n": np.frombuffer(sums, np.int64), "t": np.frombuffer(types, np.int64)})
-
-    sums, types = np.zeros(len(tree.contexts[depth - 1]), np.int64), np.zeros(len(tree.contexts[depth - 1]), np.int64)
-    added = ranges.select("numbers", "sums", "types").mapInPandas(unpacked, "number int, n long, t long").groupBy("number").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    for r in added.collect():  # as many as contexts at most
-        sums[r["number"]], types[r["number"]] = r["n"], r["t"]
-    tree.sums.append(sums)
-    tree.types.append(types)
+        scored = materialize(_with_answers(tokens, answers, _scores(sizes, strength), _SCORES), "scores")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return scored.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(sizes[0]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents, learned from those outside the held-out fold; a null id is in fold 0. See score_texts."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
     out = score_texts(docs, train="not held_out")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
