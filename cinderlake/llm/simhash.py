@@ -35,7 +35,7 @@ SEED = 42
 SPLIT_ABOVE = 2_000
 BLOCKS, LEVELS = 5, 3
 N_PIVOTS = 24
-#: Words of a text are hashed in slices of so many.
+#: Hashes of a text are counted in slices of so many.
 SLICE = 1 << 16
 
 
@@ -53,12 +53,16 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
         shingles: Iterator[str] = iter([" ".join(words)])
     else:
         shingles = map(" ".join, zip(*(words[k:] for k in range(shingle_words)), strict=False))
+    return majority(np.fromiter((_HASH(s, SEED) for s in shingles), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for start in range(0, n, SLICE):
-        take = min(SLICE, n - start)
-        hashes = np.fromiter((_HASH(next(shingles), SEED) for _ in range(take)), np.uint64, take)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    for start in range(0, len(hashes), SLICE):
+        some = np.ascontiguousarray(hashes[start : start + SLICE])
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 _WORDS = regex.compile(WORD).findall
@@ -111,7 +115,7 @@ def _deal(classes: DataFrame) -> DataFrame:
     return classes.mapInPandas(expand, "fp long, rep long, mask long, key long")
 
 
-def _pivots() -> np.ndarray:
+def pivots() -> np.ndarray:
     """Reference fingerprints: the words of a fixed random sequence."""
     return np.random.default_rng(SEED).integers(0, 1 << 64, N_PIVOTS, np.uint64, endpoint=False)
 
@@ -121,7 +125,7 @@ def _forest(bucket: np.ndarray, fps: np.ndarray, reps: np.ndarray) -> tuple[np.n
 
     bucket numbers the buckets of the rows.
     """
-    table = np.bitwise_count(fps[:, None] ^ _pivots()[None, :]).astype(np.int8)
+    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
     order = np.lexsort((table[:, 0], bucket))
     bucket, fps, reps, table = bucket[order], fps[order], reps[order], table[order]
     by_rep = np.argsort(reps, kind="stable")
@@ -239,15 +243,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: id_col, fp (long), component_id (the smallest id reachable, its own included).
 
     Fingerprints with MAX_BITS or fewer differing bits are linked. Null texts count as empty, and texts
-    without words share fingerprint 0, which links like any other. A null id takes part in its class
-    but never names it; a class of null ids only has component_id null. Repeated rows get equal results;
-    other columns are ignored.
+    without words share fingerprint 0, which links like any other. Rows with null ids link like any others
+    but never name a component; one of null ids only has component_id null. Repeated rows get equal
+    results; other columns are ignored.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    classes = materialize(marked.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    roots = materialize(components(linked_classes(classes.filter("rep is not null"))), "roots")
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "rep").alias("component_id"))
-    named = materialize(named, "named-classes")
+    classes = materialize(marked.groupBy("fp").agg(F.min("id").alias("lowest")), "classes")
+    roots = materialize(components(linked_classes(classes.select("fp", F.col("fp").alias("rep")))), "roots")
+    rooted = materialize(classes.join(roots, classes["fp"] == roots["node"], "left").select(F.col("fp").alias("class_fp"), "lowest", F.coalesce("root", "fp").alias("root")), "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    named = materialize(rooted.join(lowest, "root").select("class_fp", "component_id"), "named-classes")
     out = marked.join(named, marked["fp"] == named["class_fp"])
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
@@ -264,5 +269,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each row of documents. Null and empty texts have fingerprint zero; see near_copies."""
     out = near_copies(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
