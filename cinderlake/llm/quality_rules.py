@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +43,8 @@ FLOOR = 1e-3
 PRIOR = 20
 #: Random starts, those of them that are followed to the end, and a guard on their steps.
 STARTS, FOLLOWED, MOST_STEPS = 20, 4, 200
-#: Vectors that are searched in one piece, and the blocks of a larger cell that give it starts.
-BLOCK_ROWS, START_BLOCKS = 20_000, 8
+#: Vectors that are searched in one piece, the blocks of a larger cell that are searched for starts, and the starts it takes.
+BLOCK_ROWS, START_BLOCKS, BEST_STARTS = 10_000, 8, 2
 #: Bins of distance in an octave, in concentration steps and for quantiles.
 BINS = 64
 #: Parts that the vectors of a cell are dealt to for joins.
@@ -262,7 +262,9 @@ def robust_estimates(rows: DataFrame, floor: np.ndarray) -> DataFrame:
     if several.isEmpty():
         return found.select(*_KEY, "n", "m", "c")
     large = dealt.filter("blocks > 1").select(*_KEY, "salt", *_X)
-    last = _settled(large, found.join(several, _KEY, "left_semi"), floor)
+    by = Window.partitionBy(*_KEY).orderBy("log_det", "start")  # START_BLOCKS rows a cell at most
+    starts = found.join(several, _KEY, "left_semi").withColumn("place", F.row_number().over(by)).filter(F.col("place") <= BEST_STARTS)
+    last = _settled(large, starts.drop("place"), floor)
     best = last.groupBy(*_KEY).agg(F.first("n").alias("n"), F.min_by(F.struct("m", "c"), F.struct("log_det", "start")).alias("best"))
     return found.join(several, _KEY, "left_anti").select(*_KEY, "n", "m", "c").union(best.select(*_KEY, "n", "best.m", "best.c"))
 
