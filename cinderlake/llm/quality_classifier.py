@@ -2,16 +2,16 @@
 
 Two zstandard dictionaries are built, from labelled good and bad texts. A text is compressed in blocks
 with either; the difference of the two sizes, normalised by their sum and by the size of the text, is
-calibrated to a probability on labelled texts that the dictionaries have not seen. The calibration also
-sees how far the text shrinks at all: one that repeats itself leaves no difference to speak of. Blocks
-keep the dictionary in play to the end of a long text.
+calibrated to a probability on labelled texts that the dictionaries have not seen. Blocks keep the
+dictionary in play to the end of a long text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read_table
+from .common import crc_mod, materialize, read_table
 
-#: Bounds of the labelled sample: rows of each class, and bytes of a text that may be in it.
-SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 32_768
+#: Bounds of the labelled sample: rows of each class, and blocks of their texts that its dictionary is built from.
+SAMPLE_ROWS, SAMPLE_BLOCKS = 1_500, 6_000
 DICTIONARY_BYTES = 384 << 10
 BLOCK_BYTES = 2048
 LEVEL = 3
@@ -55,17 +55,14 @@ def blocks(text: str) -> list[bytes]:
     return [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
 
 
-def features(text: str, compressors: list[zstandard.ZstdCompressor]) -> tuple[float, float, float]:
-    """(bad - good) / (bad + good) and (bad - good) / bytes of the compressed sizes, and the log of what is left of a byte.
-
-    An empty text gives zeros.
-    """
+def features(text: str, compressors: list[zstandard.ZstdCompressor]) -> tuple[float, float]:
+    """(bad - good) / (bad + good) and (bad - good) / bytes of the compressed sizes. An empty text gives zeros."""
     parts = blocks(text)
     if not parts:
-        return 0.0, 0.0, 0.0
+        return 0.0, 0.0
     good, bad = (sum(len(c.compress(b)) for b in parts) for c in compressors)
     n = sum(map(len, parts))
-    return (bad - good) / (bad + good), (bad - good) / n, float(np.log((bad + good) / (2 * n)))
+    return (bad - good) / (bad + good), (bad - good) / n
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
@@ -85,28 +82,47 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return *map(float, slopes), float(beta[-1] - slopes @ mean)
 
 
-def _own_lines(texts: list[str], shared: Counter[str]) -> list[bytes]:
-    """Blocks of each text without the lines it shares with other texts, which would pass for a mark of the class."""
-    return [b for t in texts for b in blocks("\n".join(line for line in t.split("\n") if shared[line] < 2)) if len(b) >= 8]
+def own_lines(blocks_of: dict[int, list[tuple[int, bytes]]]) -> dict[int, list[bytes]]:
+    """Each class's blocks (id, bytes) without the lines that blocks of several ids share, which would pass for a mark of the class."""
+    ids: dict[bytes, set[int]] = defaultdict(set)
+    for i, block in chain.from_iterable(blocks_of.values()):
+        for line in block.split(b"\n"):
+            ids[line].add(i)
+    left = {y: [b"\n".join(line for line in block.split(b"\n") if len(ids[line]) < 2) for _, block in some] for y, some in blocks_of.items()}
+    return {y: [block for block in some if len(block) >= 8] for y, some in left.items()}
 
 
-def _dictionary(samples: list[bytes]) -> bytes:
+def dictionary(samples: list[bytes]) -> bytes:
+    """A trained dictionary, or the samples themselves where they are too few to choose from."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to choose from: all of them are the dictionary
-        return b"".join(samples)[-DICTIONARY_BYTES:] or b"\n" * 8
+    except zstandard.ZstdError:
+        return b"".join(samples) or b"\n" * 8
+
+
+def _blocks_of(texts: DataFrame) -> DataFrame:
+    """id, y, at, block: all blocks of each text."""
 
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(i, y, k, block) for i, y, text in zip(frame["id"], frame["y"], frame["text"], strict=True) for k, block in enumerate(blocks(text))]
+            yield pd.DataFrame(rows, columns=["id", "y", "at", "block"])
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> CompressionModel | None:
-    """Fits the model on a bounded sample of labelled rows.
+    return texts.select("id", "y", "text").mapInPandas(cut, "id long, y int, at long, block binary")
 
-    Takes up to sample_rows ids of each class, in the order of a hash, whose text has at most
-    SAMPLE_BYTES bytes; two thirds go to the dictionaries and one third to calibration, weighted by the
-    classes' shares among all labels. Null ids, labels and texts are left out; an id labelled twice
-    counts by its lower label. None if a class has fewer than three texts.
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_blocks: int = SAMPLE_BLOCKS) -> CompressionModel | None:
+    """Fits the model on a bounded sample of labelled rows, of whatever length.
+
+    Takes up to sample_rows ids of each class, in the order of a hash. Two thirds go to the dictionaries,
+    with up to sample_blocks of the blocks of their texts a class, again in the order of a hash, without
+    lines that texts share; one third goes to calibration, each text whole, weighted by the classes'
+    shares among all labels. Null ids, labels and texts and empty texts are left out; an id labelled
+    twice counts by its lower label, and one with several texts by the least of them. None if a class
+    has fewer than three texts.
     """
     spark = docs.sparkSession
-    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     labels = labels.groupBy("id").agg(F.min("y").alias("y"))
     share = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}
     picked = [labels.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for y in (0, 1)]
@@ -114,18 +130,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not picked_rows:
         return None
     ids = F.broadcast(spark.createDataFrame(picked_rows, labels.schema))  # at most 2 * sample_rows
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
-    texts = texts.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).dropDuplicates(["id"])
-    rows = sorted((r["id"], r["y"], r["text"]) for r in texts.collect())
-    of = {y: [t for _, label, t in rows if label == y] for y in (0, 1)}
-    if min(len(of[0]), len(of[1])) < 3:
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id")
+    texts = texts.filter(F.octet_length("text") > 0).groupBy("id", "y").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "labelled")
+    of: dict[int, list[int]] = {0: [], 1: []}
+    for r in texts.select("id", "y").orderBy("id").collect():  # at most 2 * sample_rows
+        of[r["y"]].append(r["id"])
+    if min(map(len, of.values())) < 3:
         return None
-    shared = Counter(line for texts in of.values() for t in texts for line in set(t.split("\n")))
-    model = CompressionModel(*(_dictionary(_own_lines([t for k, t in enumerate(of[y]) if k % 3], shared)) for y in (1, 0)))
-    compressors = model.compressors()
-    rest = [(features(t, compressors), y, share[y] / len(of[y])) for y in (0, 1) for t in of[y][::3]]
-    x, y, weight = map(np.array, zip(*rest, strict=True))
-    model.weights = _calibrate(x, y.astype(float), weight / weight.mean())
+    parts = [(i, k % 3 == 0) for y in (0, 1) for k, i in enumerate(of[y])]
+    texts = texts.join(F.broadcast(spark.createDataFrame(parts, "id long, calibrates boolean")), "id")
+    every = _blocks_of(texts.filter("not calibrates"))
+    some = {y: every.filter(F.col("y") == y).orderBy(F.xxhash64("id", "at"), "id", "at").limit(sample_blocks).collect() for y in (0, 1)}
+    own = own_lines({y: sorted((r["id"], bytes(r["block"])) for r in rows) for y, rows in some.items()})
+    model = CompressionModel(dictionary(own[1]), dictionary(own[0]))
+
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compressors = model.compressors()
+        for frame in frames:
+            found = np.array([features(t, compressors) for t in frame["text"]], float).reshape(-1, 2)
+            yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "by_sum": found[:, 0], "by_size": found[:, 1]})
+
+    rest = texts.filter("calibrates").select("id", "y", "text").mapInPandas(measured, "id long, y int, by_sum double, by_size double").orderBy("id").collect()
+    y, weight = np.array([r["y"] for r in rest]), np.array([share[r["y"]] / len(of[r["y"]]) for r in rest])
+    model.weights = _calibrate(np.array([(r["by_sum"], r["by_size"]) for r in rest]), y.astype(float), weight / weight.mean())
     return model
 
 
@@ -143,7 +171,7 @@ def score(docs: DataFrame, model: CompressionModel | None, id_col: str = "doc_id
     def scored(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compressors = model.compressors()
         for texts in frames:
-            yield pd.Series(model.score(np.array([features(t or "", compressors) for t in texts], dtype=float).reshape(-1, 3)))
+            yield pd.Series(model.score(np.array([features(t or "", compressors) for t in texts], dtype=float).reshape(-1, 2)))
 
     return docs.withColumn("quality_score", scored(F.col(text_col).cast("string")))
 
@@ -160,5 +188,6 @@ def trained(spark: SparkSession, sf_dir: str) -> CompressionModel | None:
 
 
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents. A null id is in the held-out fold; null and empty texts are scored as zeros are; see fit and score."""
     out = score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), trained(spark, sf_dir))
     return out.select("doc_id", (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
