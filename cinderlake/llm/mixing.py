@@ -52,10 +52,17 @@ def uniform(*key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def draw_counts(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def _identity(id_col: str, text_col: str) -> Column:
+    """What draws and places hang on: the id, or for a null id the whole text."""
+    by_text = F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return F.when(F.col(id_col).isNull(), by_text).otherwise(F.col(id_col).cast("string"))
+
+
+def draw_counts(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """docs with a column mix_count, the document's Poisson count at its source's rate.
 
-    A count is a function of seed, id and rate: repeated rows get equal counts, null ids share a draw.
+    A count is a function of seed, id and rate, for a null id of seed, text and rate: repeated rows get
+    equal counts.
     Up to BROADCAST_SOURCES sources go to the documents. More are joined by a shuffle on the source,
     whose two sides come straight from files, so that adaptive execution can split a hot one.
     """
@@ -64,7 +71,7 @@ def draw_counts(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", sourc
     tables = materialize(tables.select(F.col("mix_source").alias("rate_source"), "parts", "cdf"), "rates")
     if tables.count() <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = _identity(id_col, text_col)
     tagged = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     joined = tagged.join(tables, F.col("mix_source") == F.col("rate_source"), "left")
     draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: uniform(F.lit(str(seed)), key, k.cast("string")))
@@ -73,16 +80,16 @@ def draw_counts(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", sourc
     return joined.withColumn("mix_count", F.coalesce(count, F.lit(0))).drop("mix_source", "rate_source", "parts", "cdf")
 
 
-def replicate(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def replicate(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """Rows of docs, each as often as it was drawn, shuffled globally, with columns mix_copy (from 1) and mix_order.
 
     mix_order is the hash that orders the shuffle: rows are dealt to partitions by it and sorted by it
     there. A document drawn 0 times goes. Columns of docs with the names of those added are replaced.
     """
     docs = docs.drop("mix_copy", "mix_order", "mix_count", "mix_source", "rate_source", "parts", "cdf")
-    drawn = draw_counts(docs, rates, id_col, source_col, seed).filter("mix_count > 0")
+    drawn = draw_counts(docs, rates, id_col, source_col, text_col, seed).filter("mix_count > 0")
     copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count")))).drop("mix_count")
-    key = F.concat_ws(" ", F.lit(f"order {seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string"))
+    key = F.concat_ws(" ", F.lit(f"order {seed}"), _identity(id_col, text_col), F.col("mix_copy").cast("string"))
     ordered = copies.withColumn("mix_order", F.md5(key))
     return ordered.repartition(shuffle_partitions(docs.sparkSession), "mix_order").sortWithinPartitions("mix_order")
 
@@ -94,10 +101,11 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = EP
     source without characters is left out. See replicate for the columns and the order. An empty table
     gives an empty table.
     """
-    return replicate(docs, source_rates(docs, weights, epochs, source_col, text_col), id_col, source_col, seed)
+    return replicate(docs, source_rates(docs, weights, epochs, source_col, text_col), id_col, source_col, text_col, seed)
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents mixed to WEIGHTS, one row a copy. A null source counts as ''; see mix and draw_counts for the other cases."""
     docs = read_table(spark, sf_dir, "documents")
     out = mix(docs)
     return out.select("doc_id", F.col("mix_copy").cast("long").alias("copy"), F.col("mix_order").alias("order_key"), "source", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))

@@ -20,13 +20,16 @@ LEARNED_ROLE = "assistant"
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """id_col, turns array<struct<role, text>> in the order of turn, then role and text; nulls come first.
 
-    A null role or text is empty. Repeated turns are kept. Rows with a null id form one conversation.
-    Other columns are ignored.
+    A null role or text is empty. Repeated turns are kept. Rows with a null id belong to no conversation
+    that could be told: each is one of its own. Other columns are ignored.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     one = F.struct(F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
     whole = F.sort_array(F.collect_list(one))
-    return turns.groupBy(F.col(id_col)).agg(F.transform(whole, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    plain = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+    told = turns.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col)).agg(F.transform(whole, plain).alias("turns"))
+    alone = turns.filter(F.col(id_col).isNull()).select(F.col(id_col), F.array(plain(one)).alias("turns"))
+    return told.unionByName(alone)
 
 
 def with_stale_reply(convs: DataFrame) -> DataFrame:
@@ -95,6 +98,7 @@ def format_preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_co
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the whole table conversations. Null ids, roles and texts as in conversations; see format_preferences."""
     out = format_preferences(with_stale_reply(conversations(read_table(spark, sf_dir, "conversations"))))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("conv_id", "n_prompt_turns", "prompt", "chosen_completion", "rejected_completion", spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))
