@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shared_path
 
-__all__ = ["BLANKS", "WORD", "ascii_lower", "crc_mod", "materialize", "read_table", "shared_path", "shuffle_partitions"]
+__all__ = ["BLANKS", "WORD", "ascii_lower", "bound_batches", "crc_mod", "materialize", "read_table", "shared_path", "shuffle_partitions"]
 
 #: Word separators of every operator here: space and the controls tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,3 +33,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bound of the Arrow batches that go to Python. Texts differ too much in length for a bound on rows alone, and workers keep what their largest batch took.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From here on the session bounds its Arrow batches by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

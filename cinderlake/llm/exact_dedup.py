@@ -185,6 +185,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents, the largest id of each group staying. Null texts count as empty; see label_copies."""
     return label_copies(read_table(spark, sf_dir, "documents"), keep="largest")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import bound_batches, read_table
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
@@ -281,6 +281,8 @@ def decode_pieces(rows: DataFrame, ids_col: str = "piece_ids", model: str | None
 
 
 def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents and whether they decode to the text. Null and empty texts have none; see encode_pieces."""
+    bound_batches(spark)
     out = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents")))
     return out.select(
         "doc_id",

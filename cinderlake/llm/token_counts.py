@@ -209,6 +209,7 @@ def tokens_within(prefix_tokens: str | Column, chars: int | Column) -> Column:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of documents. A null text counts as empty, with no tokens; see prefix_token_counts."""
     out = prefix_token_counts(read_table(spark, sf_dir, "documents"))
     n_tokens = F.element_at("prefix_tokens", -1).cast("long")
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
