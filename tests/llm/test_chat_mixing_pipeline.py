@@ -13,7 +13,7 @@ import corpus_pipeline
 from cinderlake.llm import mixing, piece_bpe, preference_format, quality_classifier, queries
 
 from .conftest import SCHEMA, odd_rows, prose
-from .test_dedup import plain_components, plain_copies, plain_fingerprint
+from .test_dedup import plain_copies, plain_similar
 
 TURNS = "conv_id long, turn long, role string, text string"
 NONE = [("user", "hi"), ("assistant", "a")]
@@ -67,11 +67,24 @@ def test_odd_turns(spark):
     rows = [(1, 2, "assistant", "late"), (1, 1, "user", None), (1, None, None, "first"), (1, 2, "assistant", "late"), (None, 1, "user", "x"), (None, 2, "user", "y"), (2, 1, "assistant", "only")]
     convs = preference_format.conversations(spark.createDataFrame(rows, TURNS).selectExpr("*", "1 as turns", "2 as chosen", "3 as replies"))
     got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in convs.collect()}
-    assert got == {1: [("", "first"), ("user", ""), ("assistant", "late"), ("assistant", "late")], None: [("user", "x"), ("user", "y")], 2: [("assistant", "only")]}
+    assert {k: t for k, t in got.items() if k} == {1: [("", "first"), ("user", ""), ("assistant", "late"), ("assistant", "late")], 2: [("assistant", "only")]}
+    same = lambda rows: sorted(map(repr, rows))
+    assert same([tuple(t) for t in r["turns"]] for r in convs.filter("conv_id is null").collect()) == same([[("user", "x")], [("user", "y")]])
     out = {r["conv_id"]: r for r in preference_format.format_preferences(preference_format.with_stale_reply(convs)).collect()}
     assert out[2]["rejected_completion"] == "<|im_start|>assistant\n<|im_end|>\n" and out[2]["n_prompt_turns"] == 0
     assert out[1]["n_prompt_turns"] == 4 and out[None]["chosen_completion"] == ""
-    assert preference_format.conversations(spark.createDataFrame([], TURNS)).count() == 0
+    none = preference_format.conversations(spark.createDataFrame([], TURNS))
+    assert none.count() == 0 and preference_format.format_preferences(preference_format.with_stale_reply(none)).count() == 0
+
+
+def test_very_long_and_empty_turns(spark, tmp_path):
+    long = prose(1, 60_000)
+    rows = [(1, 1, "user", long), (1, 2, "assistant", long), (1, 3, "assistant", ""), (2, 1, "user", "")]
+    spark.createDataFrame(rows, TURNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in preference_format.op2_preference_format(spark, str(tmp_path)).collect()}
+    assert got[1]["prompt"] == f"<|im_start|>user\n{long}<|im_end|>\n<|im_start|>assistant\n{long}<|im_end|>\n"
+    assert got[1]["rejected_completion"] == f"<|im_start|>assistant\n{long}<|im_end|>\n" and got[1]["chosen_mask"] == "22-33"
+    assert got[2]["n_prompt_turns"] == 1 and got[2]["chosen_completion"] == got[2]["rejected_mask"] == ""
 
 
 # --- mixing -----------------------------------------------------------------------------------
@@ -83,13 +96,14 @@ def plain_mix(rows, weights, epochs, seed):
         mass[source or ""] += len(text or "")
     total, weight = sum(mass.values()), sum(weights.get(s, 1.0) for s, m in mass.items() if m)
     out = []
-    for doc_id, _, _, source, _ in rows:
+    for doc_id, text, _, source, _ in rows:
         s = source or ""
         rate = epochs * weights.get(s, 1.0) / weight * total / mass[s] if mass[s] else 0.0
         parts = max(1, -(-rate // 16))
         n = 0
         for k in range(1, int(parts) + 1):
-            u = int(hashlib.md5(f"{seed} {'' if doc_id is None else doc_id} {k}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            key = doc_id if doc_id is not None else "text " + hashlib.md5((text or "").encode()).hexdigest()
+            u = int(hashlib.md5(f"{seed} {key} {k}".encode()).hexdigest()[:13], 16) / (1 << 52)
             p = cdf = exp(-rate / parts)
             j = 0
             while cdf <= u and j < 80:
@@ -121,6 +135,15 @@ def test_shares_come_near_their_targets(spark):
     assert Counter(r["doc_id"] for r in again.collect()) == Counter(r["doc_id"] for r in mixing.mix(docs, weights).collect())
 
 
+def test_rows_without_ids_are_drawn_apart(spark):
+    rows = [(None, prose(k, 20), "en", "src0", 1) for k in range(2_000)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA), {}, 1.0)
+    got = Counter(r["text"] for r in out.collect())
+    assert len(got) == pytest.approx(2_000 * (1 - exp(-1)), rel=0.1) and max(got.values()) > 2
+    per_partition = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(per_partition) < 1.3 * sum(per_partition) / len(per_partition)
+
+
 def test_mix_of_nothing(empty):
     assert mixing.mix(empty).count() == 0
 
@@ -144,8 +167,8 @@ def plain_run(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if scores[r["doc_id"]] >= quality_classifier.THRESHOLD]
     stays = {i for i, _, _, kept, _ in plain_copies(rows, "smallest") if kept}
     rows = [r for r in rows if r[0] in stays]
-    comps = plain_components([(r[0], plain_fingerprint(r[1])) for r in rows])
-    rows = [r for r, c in zip(rows, comps, strict=True) if r[0] == c]
+    low = plain_similar([r[:2] for r in rows])
+    rows = [r for r in rows if low[r[0]] == r[0]]
     return rows, plain_mix(rows, mixing.WEIGHTS, mixing.EPOCHS, mixing.SEED)
 
 
@@ -163,9 +186,21 @@ def test_pipeline_on_a_whole_table(spark, sf_dir):
 
 
 def test_stages_take_odd_rows_and_nothing(spark, odd, empty, sf_dir):
-    for docs in (odd, empty):
-        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-            left = stage(spark, docs, sf_dir)
-            if k + 1 < len(corpus_pipeline.STAGES):
-                assert left.columns == docs.columns, name
-            assert left.count() >= 0
+    rows = odd_rows()
+    known = [r for r in rows if r[0] is not None]
+    low = plain_similar([r[:2] for r in known])
+    scores = quality_classifier.score(odd, quality_classifier.trained(spark, sf_dir)).collect()
+    want = {
+        "quality classifier": Counter(r["doc_id"] for r in scores if r["quality_score"] >= quality_classifier.THRESHOLD),
+        "exact dedup": Counter(i for i, _, _, kept, _ in plain_copies(rows, "smallest") if kept),
+        "SimHash near-dedup": Counter(i for i, *_ in rows if i is None or low[i] == i),
+        "mixing sources": Counter(i for i, _ in plain_mix(rows, mixing.WEIGHTS, mixing.EPOCHS, mixing.SEED).elements()),
+        "sentencepiece encoding": Counter(i for i, *_ in rows),
+    }
+    assert list(want) == [name for name, _ in corpus_pipeline.STAGES]
+    for name, stage in corpus_pipeline.STAGES:
+        left, none = stage(spark, odd, sf_dir), stage(spark, empty, sf_dir)
+        if name != "sentencepiece encoding":
+            assert left.columns == odd.columns and none.columns == empty.columns
+        assert Counter(r["doc_id"] for r in left.select("doc_id").collect()) == want[name], name
+        assert none.count() == 0

@@ -190,6 +190,15 @@ def test_near_dedup_keeps_one_of_each_group_whole(odd):
     same(left.select("doc_id").collect(), want)
 
 
+def test_a_row_without_an_id_links_those_beside_it(spark, monkeypatch):
+    fps = {"a": 0, "bridge": 0b111, "b": 0b111111, "far": (1 << 40) - 1}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id as id", "n_chars as fp"))
+    rows = [(1, "", "en", "s", fps["a"]), (None, "", "en", "s", fps["bridge"]), (3, "", "en", "s", fps["b"]), (4, "", "en", "s", fps["far"]), (None, "", "en", "s", fps["far"] ^ 1 << 50), (None, "", "en", "s", 0b1 << 60 | 0b11111 << 50)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    same([(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_copies(docs).collect()], [(i, fp, c) for (i, _, _, _, fp), c in zip(rows, plain_components([(r[0], r[4]) for r in rows]), strict=True)])
+    same(simhash.drop_near_copies(docs).select("doc_id").collect(), [(1,), (None,), (4,), (None,), (None,)])
+
+
 def test_near_dedup_of_nothing(empty):
     assert simhash.near_copies(empty).count() == 0
     assert simhash.drop_near_copies(empty).count() == 0
@@ -255,3 +264,27 @@ def test_pipeline_drops_every_near_copy(spark):
     left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert left == {i for i, low in want.items() if i == low}
     assert 0 < sum(want[k] != k for k in range(160)) < 140
+
+
+@pytest.mark.parametrize("broadcast", [0, 10])
+def test_near_copies_by_a_shuffle_and_rows_that_repeat(spark, broadcast, monkeypatch):
+    from cinderlake.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "BROADCAST_IDS", broadcast)
+    rows = [(k, varied(prose(k // 6, 100), k, k % 3)) for k in range(60)] + [(3, varied(prose(0, 100), 3, 0)), (60, prose(0, 100)), (60, prose(0, 100))]
+    docs = spark.createDataFrame([(*r, "en", "src0", 5) for r in rows] + [(None, prose(0, 100), "en", "s", 5)], SCHEMA)
+    want = plain_similar(rows)
+    left = [r["doc_id"] for r in shingle_join.drop_similar(docs).collect()]
+    assert sorted(i for i in left if i is not None) == sorted(i for i, _ in rows if want[i] == i) and left.count(None) == 1
+    assert shingle_join.drop_similar(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_of_pairs_at_the_similarity_stay_within_the_radius():
+    from cinderlake.llm import shingle_join
+
+    rng = np.random.default_rng(2)
+    for n in (32, 60, 300):
+        for _ in range(400):
+            keys = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+            other = np.concatenate([keys[: -(-8 * n // 9)], rng.integers(0, 1 << 64, n // 9, np.uint64, endpoint=False)])
+            assert (simhash.majority(keys) ^ simhash.majority(other)).bit_count() <= shingle_join.RADIUS
