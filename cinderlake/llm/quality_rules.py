@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, WORD, materialize, read_table
+from .common import BLANKS, WORD, bound_batches, materialize, read_table
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -47,7 +47,7 @@ STARTS, FOLLOWED, MOST_STEPS = 20, 4, 200
 BLOCK_ROWS, START_BLOCKS, BEST_STARTS = 10_000, 8, 2
 #: Bins of distance in an octave, in concentration steps and for quantiles.
 BINS = 64
-#: Parts that the vectors of a cell are dealt to for joins.
+#: Parts that a cell is dealt to for joins.
 SALTS = 32
 SEED = 42
 STATISTICS = ("word_length", "capitals", "marks", "variety", "line_length", "short_words")
@@ -175,17 +175,13 @@ def minimum_determinant(x: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, n
 
 
 _KEY = ["level", "lang", "source"]
-_FOUND = "level int, lang string, source string, start int, n long, m array<double>, c array<double>, log_det double, radius double"
+_CELL = "level int, lang string, source string"
+_FOUND = f"{_CELL}, start int, n long, m array<double>, c array<double>, log_det double, radius double"
 
 
 # --- estimates of any size ---------------------------------------------------------------------
 
 
-def _moments() -> list[Column]:
-    pairs = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(_P) for j in range(i, _P)]
-    return [F.count("*").alias("bin_n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)), *pairs]
-
-
 def _distance() -> Column:
     """Squared Mahalanobis distance of x from mean m by the inverse v, both columns of the row."""
     z = [F.col(f"x{i}") - F.element_at("m", i + 1) for i in range(_P)]
@@ -193,9 +189,49 @@ def _distance() -> Column:
     return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
-def _inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(frame: pd.DataFrame) -> pd.DataFrame:
+    """The vectors of a block as one row."""
+    return frame[[*_KEY, "block", "blocks"]].iloc[:1].assign(x=[np.ascontiguousarray(frame[_X].to_numpy(float)).tobytes()])
+
+
+def _vectors_of(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, float).reshape(-1, _P)
+
+
+def _searched(floor: np.ndarray):
+    def searched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The estimate of each block alone."""
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                x = _vectors_of(row.x)
+                mean, cov, log_det, radius = minimum_determinant(x, floor)
+                out.append((row.level, row.lang, row.source, row.block, len(x), mean.tolist(), cov.ravel().tolist(), log_det, max(radius, 1e-12)))
+            yield pd.DataFrame(out, columns=[*_KEY, "start", "n", "m", "c", "log_det", "radius"])
+
+    return searched
+
+
+_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
+_SUMS = [*(f"s{i}" for i in range(_P)), *(f"s{i}_{j}" for i, j in _PAIRS)]
+
+
+def _binned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The vectors of each block, counted into bins of distance from an estimate, with their moments."""
     for frame in frames:
-        yield frame.assign(v=[np.linalg.inv(np.reshape(c, (_P, _P))).ravel().tolist() for c in frame["c"]])
+        out = []
+        for row in frame.itertuples(index=False):
+            x = _vectors_of(row.x)
+            d = distances(x, np.array(row.m), np.reshape(row.c, (_P, _P)))
+            at = np.floor(np.clip(np.log2((d + 1e-12) / row.radius), -2, 2) * BINS).astype(int)
+            low = at.min()
+            moments = np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i, j in _PAIRS)])
+            sums = np.column_stack([np.bincount(at - low, moments[:, k]) for k in range(moments.shape[1])])
+            some = np.flatnonzero(sums[:, 0])
+            found = pd.DataFrame(sums[some], columns=["bin_n", *_SUMS]).astype({"bin_n": "int64"})
+            out.append(found.assign(**{k: getattr(row, k) for k in (*_KEY, "start", "radius")}, bin=(some + low).astype("int32")))
+        if out:
+            yield pd.concat(out, ignore_index=True)[[*_KEY, "start", "radius", "bin", "bin_n", *_SUMS]]
 
 
 def _concentrated(floor: np.ndarray):
@@ -211,11 +247,10 @@ def _concentrated(floor: np.ndarray):
         added = lambda c: float(share @ frame[c].to_numpy(float)) / half
         mean = np.array([added(f"s{i}") for i in range(_P)])
         cov = np.diag(floor)
-        for i in range(_P):
-            for j in range(i, _P):
-                shared = added(f"s{i}_{j}") - mean[i] * mean[j]
-                cov[i, j] += shared
-                cov[j, i] += shared if i != j else 0.0
+        for i, j in _PAIRS:
+            shared = added(f"s{i}_{j}") - mean[i] * mean[j]
+            cov[i, j] += shared
+            cov[j, i] += shared if i != j else 0.0
         row = frame.iloc[0]
         radius = float(row["radius"] * 2.0 ** ((frame["bin"].iloc[last] + part) / BINS))
         return pd.DataFrame([{**{k: row[k] for k in _KEY}, "start": row["start"], "n": int(n.sum()), "m": mean.tolist(), "c": cov.ravel().tolist(), "log_det": float(np.linalg.slogdet(cov)[1]), "radius": radius}])
@@ -223,19 +258,19 @@ def _concentrated(floor: np.ndarray):
     return concentrated
 
 
-def _settled(rows: DataFrame, starts: DataFrame, floor: np.ndarray) -> DataFrame:
+def _settled(blocks: DataFrame, starts: DataFrame, floor: np.ndarray) -> DataFrame:
     """Estimates of cells in several blocks, by concentration steps over all their vectors from each of their starts."""
     estimates = starts
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    for _ in range(MOST_STEPS):
-        at = materialize(estimates.mapInPandas(_inverted, f"{_FOUND}, v array<double>"), "starts")
-        placed = rows.join(at.select(*_KEY, "start", "m", "v", "radius", salts), [*_KEY, "salt"])
-        octave = F.log2((_distance() + 1e-12) / F.col("radius"))
-        placed = placed.withColumn("bin", F.floor(F.greatest(F.least(octave, F.lit(2.0)), F.lit(-2.0)) * BINS).cast("int"))
-        bins = placed.groupBy(*_KEY, "start", "radius", "bin").agg(*_moments())
+    blocks = blocks.withColumn("salt", F.col("block") % SALTS)
+    schema = f"{_CELL}, start int, radius double, bin int, bin_n long, {', '.join(f'{c} double' for c in _SUMS)}"
+    for step in range(MOST_STEPS):
+        placed = blocks.join(estimates.select(*_KEY, "start", "m", "c", "radius", salts), [*_KEY, "salt"])
+        bins = placed.mapInPandas(_binned, schema).groupBy(*_KEY, "start", "radius", "bin").agg(*(F.sum(c).alias(c) for c in ("bin_n", *_SUMS)))
+        before = estimates.select(*_KEY, "start", F.col("log_det").alias("last"))
         estimates = materialize(bins.groupBy(*_KEY, "start").applyInPandas(_concentrated(floor), _FOUND), "estimates")
-        before = at.select(*_KEY, "start", F.col("log_det").alias("last"))
-        if estimates.join(before, [*_KEY, "start"]).filter(F.col("last") - F.col("log_det") > 1e-3).isEmpty():
+        falling = estimates.join(before, [*_KEY, "start"]).filter(F.col("last") - F.col("log_det") > 1e-3)
+        if step and falling.isEmpty():  # the first determinants are those of blocks
             break
     return estimates
 
@@ -245,26 +280,21 @@ def robust_estimates(rows: DataFrame, floor: np.ndarray) -> DataFrame:
 
     The rows of a cell are to be distinct. They are dealt to blocks by a hash.
     """
+    bound_batches(rows.sparkSession)
     sizes = materialize(rows.groupBy(*_KEY).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)), "cells")
     row_hash = F.xxhash64(*_X)
     salted = rows.withColumn("salt", F.pmod(row_hash, F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     dealt = salted.join(sizes.select(*_KEY, "blocks", salts), [*_KEY, "salt"])
-    dealt = materialize(dealt.withColumn("start", F.pmod(F.xxhash64(F.lit(SEED), row_hash), F.col("blocks")).cast("int")), "dealt")
-
-    def block(frame: pd.DataFrame) -> pd.DataFrame:
-        mean, cov, log_det, radius = minimum_determinant(frame[_X].to_numpy(float), floor)
-        row = frame.iloc[0]
-        return pd.DataFrame([{**{k: row[k] for k in _KEY}, "start": row["start"], "n": len(frame), "m": mean.tolist(), "c": cov.ravel().tolist(), "log_det": log_det, "radius": max(radius, 1e-12)}])
-
-    found = materialize(dealt.filter(F.col("start") < START_BLOCKS).groupBy(*_KEY, "start").applyInPandas(block, _FOUND), "blocks")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), row_hash), F.col("blocks")).cast("int"))
+    blocks = materialize(dealt.groupBy(*_KEY, "block").applyInPandas(_packed, f"{_CELL}, block int, blocks long, x binary"), "blocks")
+    found = materialize(blocks.filter(F.col("block") < START_BLOCKS).mapInPandas(_searched(floor), _FOUND), "found")
     several = sizes.filter("blocks > 1").select(*_KEY)
     if several.isEmpty():
         return found.select(*_KEY, "n", "m", "c")
-    large = dealt.filter("blocks > 1").select(*_KEY, "salt", *_X)
     by = Window.partitionBy(*_KEY).orderBy("log_det", "start")  # START_BLOCKS rows a cell at most
     starts = found.join(several, _KEY, "left_semi").withColumn("place", F.row_number().over(by)).filter(F.col("place") <= BEST_STARTS)
-    last = _settled(large, starts.drop("place"), floor)
+    last = _settled(blocks.filter("blocks > 1"), materialize(starts.drop("place"), "starts"), floor)
     best = last.groupBy(*_KEY).agg(F.first("n").alias("n"), F.min_by(F.struct("m", "c"), F.struct("log_det", "start")).alias("best"))
     return found.join(several, _KEY, "left_anti").select(*_KEY, "n", "m", "c").union(best.select(*_KEY, "n", "best.m", "best.c"))
 
