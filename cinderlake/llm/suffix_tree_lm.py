@@ -9,12 +9,14 @@ longer ones fail the test, so rounds end by themselves. A context's distribution
 the context it extends, which counts for STRENGTH words, down to add-one word frequencies. A token is
 scored in the longest context of the tree that ends before it.
 
-Texts are read once, into batches of about BATCH_TOKENS tokens: the batch's words as 64-bit hashes and
-each token's place among them. In each round a batch asks for the corpus counts of its distinct
-(context, word) pairs and brings what it knows of the last round's test, packed by ranges of hashes; a
-range adds up what its batches bring and answers each in the order it asked. A frequent word or context
-brings one entry a batch, so no range is hot, and no list of contexts exists anywhere but in pieces. The
-batches are bucketed by their number, so that answers come to them and they are not shuffled.
+Texts are read once, into batches of tokens: the batch's words as 64-bit hashes and each token's place
+among them. In each round a batch asks for the corpus counts of its distinct (context, word) pairs and
+brings what it knows of the last round's test, packed by ranges of hashes; a range adds up what its
+batches bring and answers each in the order it asked. A frequent word or context brings one entry a
+batch, so no range is hot, and no list of contexts exists anywhere but in pieces. The batches are
+bucketed by their number, so that answers come to them and they are not shuffled. Batches and ranges
+both grow with the square root of a large corpus, so messages between them grow in number with it and
+not with its square.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,20 +39,21 @@ from pyspark.sql import types as T
 from .common import WORD, ascii_lower, crc_mod, materialize, read_table, shared_path, shuffle_partitions
 
 #: Nats that a context's next words must be worth beyond the context it extends, over all its occurrences.
-MIN_GAIN = 2.0
+MIN_GAIN = 4.0
 #: Words that the shorter context's distribution counts for, by depth; the last holds for all depths below.
 STRENGTH = (300.0, 40.0, 3.0)
 #: A context that occurs once has nothing left to be tested by when it is left out.
 LEAST = 2
-BATCH_TOKENS = 2_000_000
-#: Tokens of the corpus for each range of hashes.
-RANGE_TOKENS = 8_000_000
+#: Tokens of a batch, and of the corpus for each range of hashes; of a corpus beyond LINEAR_TOKENS both are more.
+BATCH_TOKENS, RANGE_TOKENS, LINEAR_TOKENS = 600_000, 8_000_000, 8_000_000_000
+#: Code points that a token takes, for a guess at the size of the corpus.
+TOKEN_CHARS = 6
 FOLDS, HELD_OUT = 7, 2
 #: No word holds a line end.
 END = "\n"
 
 _WORDS = regex.compile(WORD).findall
-_TOKENS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("sizes", T.BinaryType()), T.StructField("train", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_train", T.LongType())])
+_TOKENS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("flags", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_train", T.LongType())])
 
 
 def _hash(word: str) -> int:
@@ -83,37 +87,44 @@ class _Places(dict):
         return n
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n_batches = TaskContext.get().partitionId(), 0
-    words, ids, train, texts, n = _Places(), [], [], [], 0
+#: Flags of a text: it is learned from, it has no id.
+_TRAIN, _NAMELESS = 1, 2
 
-    def packed() -> pa.RecordBatch:
-        nonlocal words, ids, train, texts, n, n_batches
-        places, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
-        order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order))
-        hashes = np.fromiter(map(_hash, words), np.uint64, len(words))[order]
-        flags = np.array(train, np.uint8)
-        row = [(part << 32) + n_batches, ids, sizes.astype(np.int32).tobytes(), flags.tobytes(), hashes.tobytes(), _pack(rank[places]), len(places), int(sizes[flags > 0].sum())]
-        words, ids, train, texts, n, n_batches = _Places(), [], [], [], 0, n_batches + 1
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ARROW, strict=True)], names=_TOKENS.names)
-
-    for batch in batches:
-        for doc_id, text, use in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "train")), strict=True):
-            found = _WORDS(text or "")
-            found.append(END)
-            texts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-            ids.append(doc_id)
-            train.append(use)
-            n += len(found)
-            if n >= BATCH_TOKENS:
-                yield packed()
-    if texts:
-        yield packed()
-
-
-_ARROW = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+def _tokenize(batch_tokens: int):
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n_batches = TaskContext.get().partitionId(), 0
+        words, ids, flags, texts, n = _Places(), [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal words, ids, flags, texts, n, n_batches
+            places, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+            order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            hashes = np.fromiter(map(_hash, words), np.uint64, len(words))[order]
+            marks = np.array(flags, np.uint8)
+            row = [(part << 32) + n_batches, np.array(ids, np.int64).tobytes(), sizes.astype(np.int32).tobytes(), marks.tobytes(), hashes.tobytes(), _pack(rank[places]), len(places), int(sizes[marks & _TRAIN > 0].sum())]
+            words, ids, flags, texts, n, n_batches = _Places(), [], [], [], 0, n_batches + 1
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ARROW, strict=True)], names=_TOKENS.names)
+
+        for batch in batches:
+            for doc_id, text, use in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "train")), strict=True):
+                found = _WORDS(text or "")
+                found.append(END)
+                texts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+                ids.append(doc_id or 0)
+                flags.append(_TRAIN * use + _NAMELESS * (doc_id is None))
+                n += len(found)
+                if n >= batch_tokens:
+                    yield packed()
+        if texts:
+            yield packed()
+
+    return tokenize
+
+
+_ARROW = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
 
 @dataclass
@@ -130,12 +141,12 @@ class _Batch:
     """The tokens of one batch."""
 
     def __init__(self, row: dict) -> None:
-        self.ids = row["ids"]
+        self.ids, self.flags = row["ids"], row["flags"]
         self.sizes = np.frombuffer(row["sizes"], np.int32)
         places = _unpack(row["places"])
         self.n = len(places)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.train = np.repeat(np.frombuffer(row["train"], np.uint8) > 0, self.sizes)
+        self.train = np.repeat(np.frombuffer(self.flags, np.uint8) & _TRAIN > 0, self.sizes)
         self.offset = np.arange(self.n, dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
         hashes = np.frombuffer(row["words"], np.uint64)
         order = np.argsort(hashes)
@@ -161,7 +172,7 @@ class _Batch:
 
 def _read(batch: pa.RecordBatch) -> Iterator[dict]:
     for k in range(len(batch)):
-        yield {c: batch.column(c)[k].as_py() for c in ("batch", "ids", "sizes", "train", "words", "places")}
+        yield {c: batch.column(c)[k].as_py() for c in ("batch", "ids", "sizes", "flags", "words", "places")}
 
 
 class _Chain:
@@ -226,16 +237,18 @@ def _walk(batch: _Batch, sizes: tuple[int, int], strength: tuple[float, ...], to
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Unsigned integers as planes of as many bytes as the largest needs, with that number in front."""
+    """Unsigned integers as compressed planes of as many bytes as the largest needs, with that number in front."""
     width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
 
 
 def _integers(data: bytes) -> np.ndarray:
-    width = data[0]
-    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
-    return out.view("<u8").ravel()
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = planes[0].astype(np.uint64)
+    for k in range(1, len(planes)):
+        out |= planes[k].astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
 def _steps(keys: np.ndarray) -> bytes:
@@ -247,8 +260,10 @@ def _keys(data: bytes) -> np.ndarray:
     return np.cumsum(_integers(data), dtype=np.uint64)
 
 
-_ASKED = "range int, batch long, keys binary, n binary, contexts binary, gains binary"
-_ANSWER = "range int, batch long, totals binary, stays binary, known long, contexts long"
+#: Rows with a range below 0 hold a batch's scores by the verdicts so far.
+_ASKED = "range long, batch long, keys binary, n binary, contexts binary, gains binary, ids binary, flags binary, sizes binary, scores binary"
+_SCORED = ["ids", "flags", "sizes", "scores"]
+_ANSWER = "range long, batch long, totals binary, stays binary, known long, contexts long, ids binary, flags binary, sizes binary, scores binary"
 
 
 def _messages(number: int, batch: _Batch, level: _Level, context_keys: np.ndarray, gains: np.ndarray, n_ranges: int) -> pd.DataFrame:
@@ -257,20 +272,21 @@ def _messages(number: int, batch: _Batch, level: _Level, context_keys: np.ndarra
     edges = np.array([-(-(k << 32) // n_ranges) for k in range(1, n_ranges)], np.uint64)
     cut = lambda keys: np.concatenate([[0], np.searchsorted(keys >> np.uint64(32), edges), [len(keys)]])
     a, b = cut(level.keys), cut(context_keys)
-    some = [k for k in range(n_ranges) if a[k] < a[k + 1] or b[k] < b[k + 1]]
+    some = np.flatnonzero((a[:-1] < a[1:]) | (b[:-1] < b[1:])).tolist()
     rows = [(k, number, _steps(level.keys[a[k] : a[k + 1]]), _planes(n[a[k] : a[k + 1]]), _steps(context_keys[b[k] : b[k + 1]]), gains[b[k] : b[k + 1]].tobytes()) for k in some]
-    return pd.DataFrame(rows, columns=["range", "batch", "keys", "n", "contexts", "gains"])
+    return pd.DataFrame(rows, columns=["range", "batch", "keys", "n", "contexts", "gains"]).assign(**dict.fromkeys(_SCORED))
 
 
 def _first_questions(tokens: DataFrame, n_ranges: int) -> DataFrame:
     """The words of each batch."""
+    schema = pa.schema([("range", pa.int64()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("keys", "n", "contexts", "gains", *_SCORED))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _read(batch):
                 read = _Batch(row)
                 out = _messages(row["batch"], read, read.levels[0], np.zeros(0, np.uint64), np.zeros(0, np.float32), n_ranges)
-                yield pa.RecordBatch.from_pandas(out, pa.schema([("range", pa.int32()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("keys", "n", "contexts", "gains"))]), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
 
     return tokens.mapInArrow(ask, _ASKED)
 
@@ -286,7 +302,11 @@ def _answers(asked: DataFrame, min_gain: float) -> DataFrame:
         distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         return np.bincount(inverse, np.concatenate(values), minlength=len(distinct)), np.split(inverse, np.cumsum([len(p) for p in parts])[:-1])
 
+    columns = ["range", "batch", "totals", "stays", "known", "contexts", *_SCORED]
+
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["range"].iloc[0] < 0:
+            return frame.assign(totals=None, stays=None, known=None, contexts=None)[columns]
         frame = frame.sort_values("batch")
         total, places = merged([_keys(x) for x in frame["keys"]], [_integers(x) for x in frame["n"]])
         gain, marks = merged([_keys(x) for x in frame["contexts"]], [np.frombuffer(x, np.float32) for x in frame["gains"]])
@@ -295,14 +315,14 @@ def _answers(asked: DataFrame, min_gain: float) -> DataFrame:
         rows.append((None, None, None, int((total > 0).sum()), int(stays.sum())))
         out = pd.DataFrame(rows, columns=["batch", "totals", "stays", "known", "contexts"]).astype({"batch": "Int64", "known": "Int64", "contexts": "Int64"})
         out.insert(0, "range", int(frame["range"].iloc[0]))
-        return out
+        return out.assign(**dict.fromkeys(_SCORED))[columns]
 
     return asked.groupBy("range").applyInPandas(answer, _ANSWER)
 
 
 def _with_answers(tokens: DataFrame, answers: list[DataFrame], use, schema: str) -> DataFrame:
     """use(batch number, batch, totals of each depth, verdicts on each depth) for each batch of tokens."""
-    rows = [a.filter("batch is not null").select("batch", F.lit(depth).alias("depth"), "range", "totals", "stays") for depth, a in enumerate(answers)]
+    rows = [a.filter("batch is not null and range >= 0").select("batch", F.lit(depth).alias("depth"), "range", "totals", "stays") for depth, a in enumerate(answers)]
     found = rows[0]
     for more in rows[1:]:
         found = found.unionByName(more)
@@ -323,26 +343,31 @@ def _with_answers(tokens: DataFrame, answers: list[DataFrame], use, schema: str)
 
 
 def _questions(depth: int, sizes: tuple[int, int], strength: tuple[float, ...], n_ranges: int):
-    """What a batch asks in the round of a depth, when the answers to all rounds before are there."""
+    """What a batch asks in the round of a depth, when the answers to all rounds before are there, and its scores by them."""
 
     def ask(number: int, batch: _Batch, totals: list[np.ndarray], stays: list[np.ndarray]) -> pd.DataFrame:
         chain = _walk(batch, sizes, strength, totals, stays)
         found, gains = chain.contexts(depth - 1) if depth > 1 else (np.zeros(0, np.int64), np.zeros(0, np.float32))
         context_keys = batch.levels[depth - 2].keys[found] if depth > 1 else np.zeros(0, np.uint64)
         batch.deepen(totals[depth - 1], chain.deep >= depth - 2)
-        return _messages(number, batch, batch.levels[depth], context_keys, gains, n_ranges)
+        out = _messages(number, batch, batch.levels[depth], context_keys, gains, n_ranges)
+        add = lambda x: np.add.reduceat(x.astype(float), batch.starts)
+        scores = np.stack([add(chain.known), add(np.log10(chain.base)), add(np.log10(chain.p))]).tobytes()
+        own = {"range": -1 - number, "batch": number, "ids": batch.ids, "flags": batch.flags, "sizes": batch.sizes.tobytes(), "scores": scores}
+        return pd.concat([out, pd.DataFrame([own])], ignore_index=True)[out.columns]
 
     return ask
 
 
-def _scores(sizes: tuple[int, int], strength: tuple[float, ...]):
-    def scores(number: int, batch: _Batch, totals: list[np.ndarray], stays: list[np.ndarray]) -> pd.DataFrame:
-        chain = _walk(batch, sizes, strength, totals, stays)
-        add = lambda x: np.add.reduceat(x, batch.starts)
-        ids = pd.array([None if x is None or x != x else int(x) for x in batch.ids], dtype="Int64")
-        return pd.DataFrame({"id": ids, "train": batch.train[batch.starts], "n_tokens": batch.sizes.astype(np.int64), "n_known": add(chain.known.astype(np.int64)), "base_score": add(np.log10(chain.base)), "score": add(np.log10(chain.p))})
-
-    return scores
+def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each text from the scores of batches."""
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            flags = np.frombuffer(row.flags, np.uint8)
+            ids = pd.array(np.frombuffer(row.ids, np.int64), "Int64")
+            ids[flags & _NAMELESS > 0] = pd.NA
+            known, base, score = np.frombuffer(row.scores, float).reshape(3, -1)
+            yield pd.DataFrame({"id": ids, "train": flags & _TRAIN > 0, "n_tokens": np.frombuffer(row.sizes, np.int32).astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": score})
 
 
 _SCORES = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
@@ -359,26 +384,27 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), ascii_lower(F.col(text_col)).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
-    path, n_buckets = shared_path(spark, "tokens"), shuffle_partitions(spark)
-    name = f"tokens_{uuid.uuid4().hex}"
-    rows.mapInArrow(_tokenize, _TOKENS).write.bucketBy(n_buckets, "batch").option("compression", "zstd").option("path", path).saveAsTable(name)
+    guess = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) / TOKEN_CHARS
+    growth = max(1.0, (guess / LINEAR_TOKENS) ** 0.5)
+    name, n_buckets = f"tokens_{uuid.uuid4().hex}", shuffle_partitions(spark)
+    tokens = rows.mapInArrow(_tokenize(int(BATCH_TOKENS * growth)), _TOKENS)
+    tokens.write.bucketBy(n_buckets, "batch").option("compression", "zstd").option("path", shared_path(spark, "tokens")).saveAsTable(name)
     try:
         tokens = spark.table(name)
         counts = tokens.agg(F.sum("n_tokens").alias("all"), F.sum("n_train").alias("train")).first()
-        n_ranges = max(n_buckets, -(-(counts["all"] or 0) // RANGE_TOKENS))
+        n_ranges = max(n_buckets, int(-(-(counts["all"] or 0) // (RANGE_TOKENS * growth))))
         answers = [materialize(_answers(_first_questions(tokens, n_ranges), min_gain), "answers")]
         words = answers[0].filter("batch is null").agg(F.sum("known")).first()[0] or 0
-        sizes = (counts["train"] or 0, words)
-        while True:
+        sizes, stay = (counts["train"] or 0, words), 1
+        while stay:
             depth = len(answers)
             asked = _with_answers(tokens, answers, _questions(depth, sizes, strength, n_ranges), _ASKED)
             answers.append(materialize(_answers(asked, min_gain), "answers"))
-            found = answers[-1].filter("batch is null").agg(F.sum("known").alias("keys"), F.sum("contexts").alias("stay")).first()
-            if not found["keys"] or (depth > 1 and not found["stay"]):
-                break
-        scored = materialize(_with_answers(tokens, answers, _scores(sizes, strength), _SCORES), "scores")
+            if depth > 1:  # contexts of one word less than is asked for were tested; if none stays, the scores stand
+                stay = answers[-1].filter("batch is null").agg(F.sum("contexts")).first()[0]
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+    scored = answers[-1].filter("range < 0").select(*_SCORED).mapInPandas(_unpacked, _SCORES)
     return scored.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(sizes[0]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
