@@ -19,7 +19,6 @@ class ChunkingConfig:
     oversized_tokens: int = 750
     slice_tokens: int = 512
     slice_overlap: int = 64
-    model_limit: int = 2048
     floor_tokens: int = 15
 
     @property
@@ -39,6 +38,11 @@ class ChunkingConfig:
         total = current + block
         return (total <= self.soft_max) | ((current < self.soft_min) & (total <= self.ceiling))
 
+    def absorbs(self, current: int, block: int) -> bool:
+        """can_absorb, for plain numbers."""
+        total = current + block
+        return total <= self.soft_max or (current < self.soft_min and total <= self.ceiling)
+
     def can_stitch(self, previous: Column, leftover: Column) -> Column:
         return previous + leftover <= self.ceiling
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +33,9 @@ CLASS_PREFIXES = ("class ", "public class ", "protected class ", "private class
 
 def split_lines(text: Column) -> Column:
     """Lines of text without their ends; no empty line after a last end."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK, -1))
+    without_last = lambda parts: F.slice(parts, 1, F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0))
+    # Inside a function of arrays the text is split once, however often the parts are asked for.
+    return F.get(F.transform(F.array(F.split(text, LINE_BREAK, -1)), without_last), F.lit(0))
 
 
 def strip(text: Column) -> Column:
@@ -160,4 +165,24 @@ def profile_label(user: Column) -> Column:
 
 
 def hex_uuid() -> Column:
+    """A random token of 32 hex digits."""
     return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
+def iso_time(instant: Column) -> Column:
+    """An instant (in a session of UTC) in ISO 8601, with microseconds where there are any and the offset of UTC."""
+    micros = F.date_format(instant, "SSSSSS")
+    return F.concat(F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
+
+
+@dataclass(frozen=True)
+class Tokenizer:
+    """How texts are cut to tokens and put together again, as expressions."""
+
+    tokens: Callable[[Column], Column]
+    count: Callable[[Column], Column]
+    join: Callable[[Column], Column]
+
+
+#: What white space separates, joined by single blanks.
+WORDS = Tokenizer(word_tokens, word_count, lambda tokens: F.array_join(tokens, " "))

@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -81,15 +81,24 @@ def extract_blocks(files: DataFrame, path_col: str = "filepath", code_col: str =
     return chosen.mapInPandas(extract, "filepath string, symbol_type string, start_line int, end_line int, code string, name string, pos int")
 
 
+def file_classes(blocks: DataFrame, signature: Column) -> DataFrame:
+    """__file, classes: for each file its classes with a signature, outermost first (the smallest start, then the largest end)."""
+    one = F.struct("start_line", (-F.col("end_line")).alias("back"), signature.alias("signature"))
+    named = blocks.filter("symbol_type = 'Class'").select(F.col("filepath").alias("__file"), one.alias("c")).filter("c.signature is not null")
+    return named.groupBy("__file").agg(F.sort_array(F.collect_list("c")).alias("classes"))
+
+
+def outermost(classes: Column, start: Column, end: Column) -> Column:
+    """The signature of the first of a file's classes around lines, '' for none."""
+    around = F.filter(classes, lambda c: (c["start_line"] <= start) & (-c["back"] >= end))
+    return F.coalesce(F.get(around, F.lit(0))["signature"], F.lit(""))
+
+
 def enclosing_classes(blocks: DataFrame) -> DataFrame:
     """blocks with enclosing: the signature of the outermost class around each block, '' for none.
 
-    Equal paths meet in a hash join with the range as a residual filter; of the classes around a block
-    the smallest start and then the largest end wins, as an aggregate.
+    A file's classes are one array, which its blocks meet in one join and search in place.
     """
-    keyed = blocks.withColumn("block_key", F.struct("filepath", "start_line", "end_line", "pos"))
-    classes = blocks.filter("symbol_type = 'Class'").select(F.col("filepath").alias("class_path"), F.col("start_line").alias("class_start"), F.col("end_line").alias("class_end"), text.enclosing_signature(F.col("code")).alias("signature"))
-    around = (F.col("filepath") == F.col("class_path")) & (F.col("class_start") <= F.col("start_line")) & (F.col("class_end") >= F.col("end_line"))
-    named = classes.filter("signature is not null")
-    best = keyed.select("filepath", "start_line", "end_line", "block_key").join(named, around).groupBy("block_key").agg(F.min_by("signature", F.struct("class_start", -F.col("class_end"))).alias("enclosing"))
-    return keyed.join(best, "block_key", "left").withColumn("enclosing", F.coalesce("enclosing", F.lit(""))).drop("block_key")
+    classes = file_classes(blocks, text.enclosing_signature(F.col("code")))
+    joined = blocks.join(classes, blocks["filepath"] == classes["__file"], "left")
+    return joined.withColumn("enclosing", outermost(F.col("classes"), F.col("start_line"), F.col("end_line"))).drop("__file", "classes")

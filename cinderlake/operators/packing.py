@@ -1,15 +1,21 @@
 """Token-bounded chunks: slices of long texts, guardrails for one block, and elastic packs of blocks.
 
-Token counts come in as a column, and slices through arrays of tokens, so any tokenizer fits.
+Token counts and arrays of tokens come in as columns, or through a text.Tokenizer, so any tokenizer fits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import ChunkingConfig
 from ..functions import text
+from ..session import materialize
+from .blocks import file_classes, outermost
 
 DEFAULT = ChunkingConfig()
 
@@ -32,26 +38,34 @@ def guardrails(blocks: DataFrame, tokens_col: str = "tokens", config: ChunkingCo
     return whole.unionByName(parts)
 
 
-def _pack_numbers(tokens: Column, config: ChunkingConfig) -> Column:
-    """For an array of token counts in order: the pack each belongs to, an oversized one alone."""
-    start = F.struct(F.lit(-1).alias("pack"), F.lit(0).alias("current"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("packs"))
-
-    def step(acc: Column, n: Column) -> Column:
-        large = config.is_oversized(n)
-        joins = acc["open"] & ~large & config.can_absorb(acc["current"], n)
-        pack = F.when(joins, acc["pack"]).otherwise(acc["pack"] + 1)
-        current = F.when(joins, acc["current"] + n).otherwise(n)
-        return F.struct(pack.alias("pack"), current.alias("current"), (~large).alias("open"), F.concat(acc["packs"], F.array(pack)).alias("packs"))
-
-    return F.aggregate(tokens, start, step, lambda acc: acc["packs"])
+def _folded(frames: Iterator[pd.DataFrame], config: ChunkingConfig) -> Iterator[pd.DataFrame]:
+    """place and pack of blocks that come sorted by file and place in it; an oversized block is a pack alone."""
+    held, place, pack, current, is_open = object(), 0, -1, 0, False
+    for frame in frames:
+        places, packs = [], []
+        for path, n in zip(frame["__file"], frame["n_tokens"].tolist(), strict=True):
+            if path != held:
+                held, place, pack, current, is_open = path, 0, -1, 0, False
+            else:
+                place += 1
+            large = n > config.oversized_tokens
+            if is_open and not large and config.absorbs(current, n):
+                current += n
+            else:
+                pack, current = pack + 1, n
+            is_open = not large
+            places.append(place)
+            packs.append(pack)
+        yield frame.assign(place=places, pack=packs)
 
 
 def assign_packs(blocks: DataFrame, config: ChunkingConfig = DEFAULT, file_col: str = "filepath") -> DataFrame:
-    """blocks (file_col, symbol_type, start_line, end_line, pos, n_tokens) with place in the file, pack and oversized.
+    """blocks (file_col, symbol_type, start_line, end_line, pos, n_tokens, ...) with place in the file, pack and oversized.
 
     A file with one class among several blocks, and that class within the ceiling, keeps the class
     only. Else classes go unless there is nothing else. Blocks fold in the order of start, then the
-    larger end. A file's blocks are one row while they fold; the rest of the work stays spread.
+    larger end: files are dealt to partitions and sorted there, and one pass holds a few numbers of the
+    file it is at. Blocks without their code are cheaper to move.
     """
     is_class = F.col("symbol_type") == "Class"
     per_file = Window.partitionBy(file_col)
@@ -59,30 +73,33 @@ def assign_packs(blocks: DataFrame, config: ChunkingConfig = DEFAULT, file_col:
     class_tokens = F.max(F.when(is_class, F.col("n_tokens"))).over(per_file)
     single = (n_class == 1) & (n_all > 1) & config.keeps_class_whole(class_tokens)
     chosen = blocks.withColumns({"single_class": F.coalesce(single, F.lit(False)), "only_classes": n_class == n_all})
-    chosen = chosen.filter(F.when(F.col("single_class"), is_class).otherwise(~is_class | F.col("only_classes")))
-    order = F.sort_array(F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("back"), "pos", "n_tokens")))
-    folded = chosen.groupBy(file_col).agg(order.alias("ordered"))
-    folded = folded.withColumn("packs", _pack_numbers(F.transform("ordered", lambda b: b["n_tokens"]), config))
-    placed = folded.select(F.col(file_col).alias("__file"), F.posexplode(F.arrays_zip("ordered", "packs")).alias("place", "z")).select("__file", "place", F.col("z.ordered.pos").alias("__pos"), F.col("z.packs").alias("pack"))
-    joined = chosen.join(placed, (chosen[file_col] == placed["__file"]) & (chosen["pos"] == placed["__pos"])).drop("__file", "__pos", "only_classes")
-    oversized = config.is_oversized(F.col("n_tokens")) & ~F.col("single_class")
-    return joined.withColumn("oversized", oversized)
+    chosen = chosen.filter(F.when(F.col("single_class"), is_class).otherwise(~is_class | F.col("only_classes"))).drop("only_classes")
+    chosen = chosen.withColumn("__file", F.coalesce(F.col(file_col), F.lit("")))
+    ordered = chosen.repartition("__file").sortWithinPartitions("__file", "start_line", F.desc("end_line"), "pos")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("place", T.IntegerType()), T.StructField("pack", T.IntegerType())])
+    placed = ordered.mapInPandas(lambda frames: _folded(frames, config), schema).drop("__file")
+    return placed.withColumn("oversized", config.is_oversized(F.col("n_tokens")) & ~F.col("single_class"))
 
 
-def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT) -> DataFrame:
+def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT, tokenizer: text.Tokenizer = text.WORDS) -> DataFrame:
     """Chunks of blocks (filepath, symbol_type, start_line, end_line, code, pos): filepath, chunk_no, start_line, end_line, symbol_type, text, token_count.
 
-    Tokens are what white space separates. A pack's code is joined by empty lines under one header, its
-    types are named in the order they appear, and its lines reach from its first block's first to its
-    last block's last. What is left at the end of a file is stitched to the chunk before if both fit
-    the ceiling; that chunk's header and type stay as they were.
+    A pack's code is joined by empty lines under one header, its types are named in the order they
+    appear, and its lines reach from its first block's first to its last block's last. What is left at
+    the end of a file is stitched to the chunk before if both fit the ceiling; that chunk's header and
+    type stay as they were. pos tells a file's blocks apart; a null code counts as empty. Blocks are
+    counted once, folded without their code, and meet it again in one join.
     """
-    from .blocks import enclosing_classes
-
-    named = enclosing_classes(blocks).withColumn("n_tokens", text.word_count(F.col("code")))
-    packed = assign_packs(named, config)
+    code = F.coalesce("code", F.lit(""))
+    signature = F.when(F.col("symbol_type") == "Class", text.enclosing_signature(code))
+    narrow = materialize(blocks.select("filepath", "pos", "symbol_type", "start_line", "end_line", tokenizer.count(code).alias("n_tokens"), signature.alias("signature")), "blocks")
+    packed = assign_packs(narrow.drop("signature"), config)
+    classes = file_classes(narrow, F.col("signature"))
+    packed = packed.join(classes, packed["filepath"] == classes["__file"], "left")
+    packed = packed.withColumn("enclosing", outermost(F.col("classes"), F.col("start_line"), F.col("end_line"))).drop("__file", "classes")
+    coded = materialize(packed, "packs").join(blocks.select("filepath", "pos", code.alias("code")), ["filepath", "pos"])
     one = F.struct("place", "symbol_type", "start_line", "end_line", "code", "enclosing", "n_tokens", "oversized", "single_class")
-    packs = packed.groupBy("filepath", "pack").agg(F.sort_array(F.collect_list(one)).alias("b"))
+    packs = coded.groupBy("filepath", "pack").agg(F.sort_array(F.collect_list(one)).alias("b"))  # code of a pack is bounded, or one block
     first, last = F.col("b")[0], F.element_at("b", -1)
     types = F.array_join(F.array_distinct(F.transform("b", lambda x: x["symbol_type"])), " & ")
     packs = packs.select(
@@ -92,11 +109,18 @@ def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT) -> DataFram
         F.array_join(F.transform("b", lambda x: x["code"]), "\n\n").alias("code"),
     )
     head = lambda kind: text.chunk_header(F.col("filepath"), F.col(kind), F.col("start_line"), F.col("end_line"), F.col("enclosing"))
-    whole = packs.filter("not oversized").select("filepath", "pack", F.lit(1).alias("part"), "start_line", "end_line", "symbol_type", head("symbol_type").alias("header"), "code", text.word_count(F.col("code")).alias("token_count"), F.lit(True).alias("foldable"))
-    parts = token_slices(packs.filter("oversized").withColumn("tokens", text.word_tokens(F.col("code"))), "tokens", config)
-    part_type = F.concat("base_type", F.lit(" (Part "), F.col("slice_no").cast("string"), F.lit(")"))
-    parts = parts.select("filepath", "pack", F.col("slice_no").alias("part"), "start_line", "end_line", part_type.alias("symbol_type"), head("base_type").alias("header"), F.array_join("slice", " ").alias("code"), F.size("slice").alias("token_count"), F.lit(False).alias("foldable"))
-    chunks = whole.unionByName(parts)
+    tokens = tokenizer.tokens(F.col("code"))
+    n_parts = F.when(F.col("oversized"), config.slices(F.size(tokens))).otherwise(F.lit(1))
+    sliced = packs.withColumn("tokens", F.when(F.col("oversized"), tokens)).withColumn("part", F.explode(F.sequence(F.lit(1), F.greatest(n_parts, F.lit(1)))))
+    step = config.slice_tokens - config.slice_overlap
+    piece = F.slice("tokens", (F.col("part") - 1) * step + 1, F.lit(config.slice_tokens))
+    chunks = sliced.select(
+        "filepath", "pack", "part", "start_line", "end_line", (~F.col("oversized")).alias("foldable"),
+        F.when(F.col("oversized"), F.concat("base_type", F.lit(" (Part "), F.col("part").cast("string"), F.lit(")"))).otherwise(F.col("symbol_type")).alias("symbol_type"),
+        F.when(F.col("oversized"), head("base_type")).otherwise(head("symbol_type")).alias("header"),
+        F.when(F.col("oversized"), tokenizer.join(piece)).otherwise(F.col("code")).alias("code"),
+        F.when(F.col("oversized"), F.size(piece)).otherwise(tokenizer.count(F.col("code"))).alias("token_count"),
+    )
     return _stitched(chunks, config)
 
 

@@ -1,7 +1,9 @@
 """Incremental index runs: two versions of documents as stored and incoming chunks.
 
-Stored are two thirds of the documents. Of the documents, a seventh no longer comes, every eleventh has
-a changed text, and every fifth has moved by ten lines.
+Every document is in both versions. Those of every third id are stored under project 2, those of every
+eighth under project 3, the rest under project 1. Of the incoming ones a seventh has another path, every
+eleventh a changed text, and every fifth has moved by ten lines; what was in project 3 comes to project 1,
+so nothing comes to project 3. A null text is an empty one.
 """
 
 from __future__ import annotations
@@ -11,19 +13,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import index
+from ..session import materialize
 from ..sources.tables import table
 from .chunks import sql_hash
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
-    docs = docs.select(F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("project_id"), F.col("source").alias("filepath"), "text")
-    lines = {"start_line": F.lit(1), "end_line": F.size(text.split_lines(F.col("text")))}
-    stored = index.fingerprinted(docs.filter("id % 3 <> 0")).withColumns(lines)
-    moved = F.when(F.col("id") % 5 == 0, F.lit(10)).otherwise(F.lit(0))
-    now = docs.filter("id % 7 <> 0").withColumns(lines).withColumns({"start_line": F.lit(1) + moved, "end_line": F.col("end_line") + moved})
-    now = now.withColumn("text", F.when(F.col("id") % 11 == 0, F.concat("text", F.lit("\nchanged"))).otherwise(F.col("text")))
-    return stored, index.fingerprinted(now).withColumnRenamed("id", "pos")
+    """Stored and incoming chunks without their texts, from one pass over the documents."""
+    k, body = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    project = F.when(k % 8 == 0, F.lit(3)).when(k % 3 == 0, F.lit(2)).otherwise(F.lit(1)).cast("long")
+    docs = table(spark, sf_dir, "documents").select(k.alias("id"), project.alias("project_id"), F.col("source").alias("filepath"), body.alias("text"), F.size(text.split_lines(body)).alias("n_lines"))
+    k, moved = F.col("id"), F.when(F.col("id") % 5 == 0, F.lit(10)).otherwise(F.lit(0))
+    path = F.when(k % 7 == 0, F.concat("filepath", F.lit("/moved"))).otherwise(F.col("filepath"))
+    changed = F.when(k % 11 == 0, F.concat("text", F.lit("\nchanged"))).otherwise(F.col("text"))
+    now_in = F.when(F.col("project_id") == 3, F.lit(1)).otherwise(F.col("project_id")).cast("long")
+    both = docs.select("id", "project_id", "n_lines", moved.alias("moved"), now_in.alias("now_in"), text.content_hash(F.col("filepath"), F.col("text")).alias("was"), text.content_hash(path, changed).alias("now"))
+    both = materialize(both, "versions")
+    row = lambda n, where, digest, by: both.select(F.col("id").alias(n), F.col(where).alias("project_id"), text.chunk_id(F.col(where), F.col(digest)).alias("chunk_id"), (F.lit(1) + by).alias("start_line"), (F.col("n_lines") + by).alias("end_line"))
+    return row("id", "project_id", "was", F.lit(0)), row("pos", "now_in", "now", F.col("moved"))
 
 
 def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +47,15 @@ def diff_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.diff(*_versions(spark, sf_dir)).pruned.select("id", "chunk_id")
+    return index.diff(*_versions(spark, sf_dir)).pruned.select("project_id", "id", "chunk_id")
 
 
 def diff_nothing_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run without chunks leaves the table alone."""
     stored, now = _versions(spark, sf_dir)
-    return index.diff(stored, now.limit(0)).stats()
+    found = index.diff(stored, now.limit(0))
+    left = found.stored.groupBy("project_id").agg(F.count("*").alias("stored"), F.sum("id").alias("ids"))
+    return found.stats().join(left, "project_id")
 
 
 def index_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,22 +65,26 @@ def index_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.percent_band(15, 30, F.col("doc_id"), total).alias("parsing"), text.percent_band(50, 40, F.col("doc_id") + 1, total).alias("embedding"), text.collection_name(F.col("doc_id")).alias("collection"))
 
 
-_VERSIONS = rf"""docs AS (SELECT doc_id AS id, source AS filepath, text, CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(regexp_replace(text, '(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}])$', ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')) END AS n FROM documents WHERE text IS NOT NULL),
-stored AS (SELECT id, 'chunk_1_' || {sql_hash("filepath", "text")} AS chunk_id, 1 AS s, n AS e FROM docs WHERE id % 3 <> 0),
-changed AS (SELECT id, filepath, CASE WHEN id % 11 = 0 THEN text || chr(10) || 'changed' ELSE text END AS text, n, CASE WHEN id % 5 = 0 THEN 10 ELSE 0 END AS m FROM docs WHERE id % 7 <> 0),
-incoming AS (SELECT id AS pos, 'chunk_1_' || {sql_hash("filepath", "text")} AS chunk_id, 1 + m AS s, n + m AS e FROM changed),
+_N_LINES = r"CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(regexp_replace(text, '(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])$', ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')) END"
+_VERSIONS = rf"""docs AS (SELECT id, project, filepath, text, {_N_LINES} AS n FROM (SELECT doc_id AS id, CASE WHEN doc_id % 8 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS project, source AS filepath, coalesce(text, '') AS text FROM documents)),
+stored AS (SELECT id, project, 'chunk_' || project || '_' || {sql_hash("filepath", "text")} AS chunk_id, 1 AS s, n AS e FROM docs),
+changed AS (SELECT id, CASE WHEN project = 3 THEN 1 ELSE project END AS project, CASE WHEN id % 7 = 0 THEN filepath || '/moved' ELSE filepath END AS filepath,
+                   CASE WHEN id % 11 = 0 THEN text || chr(10) || 'changed' ELSE text END AS text, n, CASE WHEN id % 5 = 0 THEN 10 ELSE 0 END AS m FROM docs),
+incoming AS (SELECT id AS pos, project, 'chunk_' || project || '_' || {sql_hash("filepath", "text")} AS chunk_id, 1 + m AS s, n + m AS e FROM changed),
 latest AS (SELECT chunk_id, max(id) AS id, arg_max(s, id) AS s, arg_max(e, id) AS e FROM stored GROUP BY chunk_id),
 matched AS (
   SELECT i.*, l.id AS hit, coalesce(lag(i.s) OVER w, l.s) AS bs, coalesce(lag(i.e) OVER w, l.e) AS be
   FROM incoming i LEFT JOIN latest l ON i.chunk_id = l.chunk_id WINDOW w AS (PARTITION BY i.chunk_id ORDER BY i.pos)),
-pruned AS (SELECT * FROM stored WHERE chunk_id NOT IN (SELECT chunk_id FROM incoming) AND EXISTS (SELECT 1 FROM incoming))"""
+pruned AS (SELECT * FROM stored WHERE chunk_id NOT IN (SELECT chunk_id FROM incoming) AND project IN (SELECT project FROM incoming))"""
 
 QUERIES = {
     "diff_stats": (
         diff_stats,
         f"""WITH {_VERSIONS}, x AS (
-SELECT count(*) FILTER (WHERE hit IS NOT NULL) AS cached, count(*) FILTER (WHERE hit IS NULL) AS new, (SELECT count(*) FROM pruned) AS deleted,
-       count(*) FILTER (WHERE hit IS NOT NULL AND (s <> bs OR e <> be)) AS updated_lines, count(DISTINCT chunk_id) AS active FROM matched)
+SELECT p.project::BIGINT AS project_id, (SELECT count(*) FROM matched m WHERE m.project = p.project AND hit IS NOT NULL) AS cached, (SELECT count(*) FROM matched m WHERE m.project = p.project AND hit IS NULL) AS new,
+       (SELECT count(*) FROM pruned m WHERE m.project = p.project) AS deleted, (SELECT count(*) FROM matched m WHERE m.project = p.project AND hit IS NOT NULL AND (s <> bs OR e <> be)) AS updated_lines,
+       (SELECT count(DISTINCT chunk_id) FROM matched m WHERE m.project = p.project) AS active
+FROM (SELECT DISTINCT project FROM stored) p)
 SELECT *, cached || ' cached, ' || new || ' embedded, ' || deleted || ' pruned' AS summary FROM x""",
     ),
     "diff_upsert": (
@@ -81,8 +94,11 @@ SELECT 'kept' AS origin, id, chunk_id, coalesce(l.s, k.s)::INT AS start_line, co
 FROM (SELECT * FROM stored WHERE id NOT IN (SELECT id FROM pruned)) k LEFT JOIN last l ON l.hit = k.id
 UNION ALL SELECT 'new', pos, chunk_id, s::INT, e::INT FROM matched WHERE hit IS NULL""",
     ),
-    "diff_prune": (diff_prune, f"WITH {_VERSIONS} SELECT id, chunk_id FROM pruned"),
-    "diff_nothing_incoming": (diff_nothing_incoming, "SELECT 0::BIGINT AS cached, 0::BIGINT AS new, 0::BIGINT AS deleted, 0::BIGINT AS updated_lines, 0::BIGINT AS active"),
+    "diff_prune": (diff_prune, f"WITH {_VERSIONS} SELECT project::BIGINT AS project_id, id, chunk_id FROM pruned"),
+    "diff_nothing_incoming": (
+        diff_nothing_incoming,
+        f"WITH {_VERSIONS} SELECT project::BIGINT AS project_id, 0::BIGINT AS cached, 0::BIGINT AS new, 0::BIGINT AS deleted, 0::BIGINT AS updated_lines, 0::BIGINT AS active, count(*) AS stored, sum(id)::BIGINT AS ids FROM stored GROUP BY project",
+    ),
     "index_progress": (
         index_progress,
         """SELECT doc_id, (15 + trunc(doc_id::DOUBLE / n * 30))::INT AS parsing, (50 + trunc((doc_id + 1)::DOUBLE / n * 40))::INT AS embedding, 'project_' || doc_id AS collection

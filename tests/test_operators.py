@@ -133,17 +133,18 @@ def test_blocks_of_several_languages(spark):
 
 # --- index ------------------------------------------------------------------------------------
 
-STORED, INCOMING = "id long, chunk_id string, start_line int, end_line int, text string", "pos long, chunk_id string, start_line int, end_line int"
+STORED, INCOMING = "project_id long, id long, chunk_id string, start_line int, end_line int, text string", "project_id long, pos long, chunk_id string, start_line int, end_line int"
 
 
-def test_partial_diff_with_duplicates(spark):
-    stored = spark.createDataFrame([(1, "a", 1, 5, "old"), (2, "a", 1, 6, "old"), (3, "gone", 1, 2, "x"), (4, "gone", 1, 2, "x")], STORED)
-    now = spark.createDataFrame([(0, "a", 1, 6), (1, "a", 3, 8), (2, "a", 3, 8), (3, "b", 1, 1), (4, "b", 1, 1)], INCOMING)
+def test_partial_diff_with_duplicates_in_two_projects(spark):
+    stored = spark.createDataFrame([(1, 1, "a", 1, 5, "old"), (1, 2, "a", 1, 6, "old"), (1, 3, "gone", 1, 2, "x"), (1, 4, "gone", 1, 2, "x"), (2, 5, "gone", 1, 2, "x"), (2, 6, "a", 7, 8, "x")], STORED)
+    now = spark.createDataFrame([(1, 0, "a", 1, 6), (1, 1, "a", 3, 8), (1, 2, "a", 3, 8), (1, 3, "b", 1, 1), (1, 4, "b", 1, 1)], INCOMING)
     found = index.diff(stored, now)
-    assert found.stats().first().asDict() == {"cached": 3, "new": 2, "deleted": 2, "updated_lines": 1, "active": 2}
-    assert sorted(map(tuple, found.stored.collect())) == [(1, "a", 1, 5, "old"), (2, "a", 3, 8, "old")]
+    assert {r["project_id"]: tuple(r)[1:] for r in found.stats().select("project_id", "cached", "new", "deleted", "updated_lines", "active").collect()} == {1: (3, 2, 2, 1, 2), 2: (0, 0, 0, 0, 0)}
+    assert sorted(r["id"] for r in found.pruned.collect()) == [3, 4]
+    assert sorted(map(tuple, found.stored.collect())) == [(1, 1, "a", 1, 5, "old"), (1, 2, "a", 3, 8, "old"), (2, 5, "gone", 1, 2, "x"), (2, 6, "a", 7, 8, "x")]
     nothing = index.diff(stored, now.limit(0))
-    assert nothing.pruned.count() == 0 and nothing.stored.count() == 4
+    assert nothing.pruned.count() == 0 and nothing.stored.count() == 6
 
 
 # --- tasks, codes, progress -------------------------------------------------------------------
