@@ -12,6 +12,7 @@ from ..functions import text
 
 MAX_ATTEMPTS = 5
 VALID_MINUTES = 5
+#: What a check says.
 USED = "This code has already been used."
 TOO_MANY = "Too many failed attempts. Please request a new code."
 EXPIRED = "This code has expired. Please request a new code."

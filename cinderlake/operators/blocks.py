@@ -1,8 +1,9 @@
 """Class and function blocks of source files.
 
 Parsing sits behind a small extractor for each language; Spark deals the files out. Python files go
-through the standard library's parser, others through a scan of braces. Both are stand-ins for a
-grammar-based parser, so block borders may differ where code is broken or unusual.
+through the standard library's parser, or by indentation where they are broken, others through a scan of braces
+outside comments and quoted text. Both are stand-ins for a grammar-based parser, so block borders may
+differ where code is broken or unusual.
 """
 
 from __future__ import annotations
@@ -31,30 +32,62 @@ _BRACE_HEADS = re.compile(
 
 
 def python_blocks(code: str) -> list[Found]:
+    """Classes and functions by the standard library's parser, or by indentation where the code does not parse."""
     try:
         tree = ast.parse(code)
-    except (SyntaxError, ValueError):
-        return []
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return indented_blocks(code)
     kinds = {ast.ClassDef: "Class", ast.FunctionDef: "Function", ast.AsyncFunctionDef: "Function"}
     found = [(kinds[type(n)], n.name, n.lineno, n.end_lineno) for n in ast.walk(tree) if type(n) in kinds]
     return sorted(found, key=lambda f: (f[2], -f[3]))
 
 
-def brace_blocks(code: str) -> list[Found]:
-    """Blocks whose head a pattern finds, up to the brace that closes them."""
+_HEAD = re.compile(r"([ \t]*)(class|(?:async[ \t]+)?def)[ \t]+(\w+)")
+
+
+def indented_blocks(code: str) -> list[Found]:
+    """Heads of classes and functions, each up to the last line with text before one that is not indented further."""
+    lines = code.splitlines()
+    depths = [len(x) - len(x.lstrip()) if x.strip() else None for x in lines]
     out = []
+    for at, line in enumerate(lines):
+        if m := _HEAD.match(line):
+            end = at
+            for k in range(at + 1, len(lines)):
+                if depths[k] is not None:
+                    if depths[k] <= len(m[1]):
+                        break
+                    end = k
+            out.append(("Class" if m[2] == "class" else "Function", m[3], at + 1, end + 1))
+    return out
+
+
+_QUIET = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?", re.S)
+
+
+def quiet(code: str) -> str:
+    """code of the same lines and length, with blanks for comments and for what stands in quotes."""
+    return _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+
+
+def brace_blocks(code: str) -> list[Found]:
+    """Blocks whose head a pattern finds, up to the brace that closes them; comments and quoted text count for nothing.
+
+    A block that is never closed ends with the code.
+    """
+    code = quiet(code)
+    closes, opened = {}, []
+    for m in re.finditer(r"[{}]", code):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            closes[opened.pop()] = m.start()
+    last, out = max(len(code.rstrip()) - 1, 0), []
     for m in _BRACE_HEADS.finditer(code):
         at = code.find("{", m.end() - 1)
-        if at < 0 or "\n\n" in code[m.end() : at]:
-            continue
-        depth, end = 0, at
-        for end in range(at, len(code)):
-            depth += (code[end] == "{") - (code[end] == "}")
-            if not depth:
-                break
-        else:
+        if at < 0 or ";" in code[m.end() : at] or "\n\n" in code[m.end() : at]:
             continue
-        start = m.end(0) - len(m[0].lstrip())
+        start, end = m.end(0) - len(m[0].lstrip()), closes.get(at, last)
         name = m["cname"] or m["fname"] or m["aname"] or m["mname"]
         out.append(("Class" if m["cls"] else "Function", name, code.count("\n", 0, start) + 1, code.count("\n", 0, end) + 1))
     return out

@@ -9,6 +9,7 @@ from .. import schemas
 from ..functions import text
 
 FILE_LIMIT = 30
+#: What a sync says.
 NO_FILES, NO_SYMBOLS, SUCCESS = "Failed to fetch files or repository is empty.", "No functions or classes found in the repository.", "Sync successful"
 
 

@@ -45,6 +45,13 @@ def embed(rows: DataFrame, embedder: Embedder = hashing_embedder, text_col: str
     return rows.mapInPandas(run, schema)
 
 
+def embed_query(query: str, embedder: Embedder = hashing_embedder) -> list[float]:
+    """The unit vector of one query text."""
+    found = np.asarray(embedder([query])[0], float)
+    length = float(np.linalg.norm(found))
+    return (found / length if length else found).tolist()
+
+
 def batch_numbers(rows: DataFrame, order: str, batch: int = BATCH) -> DataFrame:
     """batch_no, size and last_id of batches in the order of a key.
 

@@ -33,10 +33,26 @@ def log_tail(lines: DataFrame, key: str, order: str, keep: int = LOG_LINES) -> D
 
 
 def with_defaults(projects: DataFrame, states: DataFrame, key: str) -> DataFrame:
-    """projects (key, is_indexed) with the live state, or what follows from is_indexed where there is none."""
-    live = states.select(F.col(key).alias("__key"), "status", "progress", "stage", "current_step")
+    """projects (key, is_indexed, embedding_model) with the live state, or what follows from is_indexed where there is none.
+
+    The model is that of the live state; a project that is indexed falls back to the one it was indexed with.
+    """
+    live = states.select(F.col(key).alias("__key"), "status", "progress", "stage", "current_step", F.nullif("model", F.lit("")).alias("model"))
     joined = projects.join(live, F.col(key) == F.col("__key"), "left")
     done = F.col("is_indexed")
     pick = lambda yes, no: F.when(done, F.lit(yes)).otherwise(F.lit(no))
-    defaults = {"status": pick("completed", "idle"), "progress": pick(100, 0), "stage": pick("completed", "idle"), "current_step": pick("Ready", "Not indexed yet")}
+    defaults = {"status": pick("completed", "idle"), "progress": pick(100, 0), "stage": pick("completed", "idle"), "current_step": pick("Ready", "Not indexed yet"), "model": F.when(done, F.col("embedding_model"))}
     return joined.withColumns({c: F.coalesce(c, d) for c, d in defaults.items()}).drop("__key")
+
+
+#: The step that a run ends at when there is nothing to go on with.
+NO_PROJECT, NO_REPOSITORY, NO_FILES, NO_BLOCKS, NO_CHUNKS = "Project not found", "No GitHub repo configured", "No code files found", "No AST blocks found", "No valid chunks remaining"
+
+
+def run_outcome(found: Column, repository: Column, n_files: Column, n_blocks: Column, n_chunks: Column, summary: Column) -> Column:
+    """How a run ends: progress, stage and current_step; the first thing that is missing fails it."""
+    failed = F.when(~F.coalesce(found, F.lit(False)), NO_PROJECT).when(F.coalesce(repository, F.lit("")) == "", NO_REPOSITORY)
+    failed = failed.when(n_files == 0, NO_FILES).when(n_blocks == 0, NO_BLOCKS).when(n_chunks == 0, NO_CHUNKS)
+    done = failed.isNull()
+    step = F.coalesce(failed, F.concat(F.lit("Indexing complete! ("), summary, F.lit(")")))
+    return F.struct(F.when(done, 100).otherwise(0).alias("progress"), F.when(done, "completed").otherwise("failed").alias("stage"), step.alias("current_step"))

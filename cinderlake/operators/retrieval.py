@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..session import materialize
+from .embedding import Embedder, embed_query
 
 TOP_K = 4
+#: Queries that go to all rows at once.
+QUERY_BLOCK = 1_024
 
 
 def rounded(distance: Column) -> Column:
@@ -34,6 +42,67 @@ def top_k_per_key(rows: DataFrame, queries: DataFrame, key: str, id_col: str, k:
     return near.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("distance", rounded(F.col("distance"))).drop("query")
 
 
+def search_many(rows: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = TOP_K, embedding_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """query_col, rank, id_col, distance: the k nearest rows to each of queries (query_col, embedding_col), ties by id.
+
+    Queries go to all rows in blocks of a fixed size, which bounds what is sent. A partition brings the
+    k best for each query of a block, and what the partitions bring is ranked by query.
+    """
+    found: DataFrame | None = None
+    numbered = materialize(queries.select(F.col(query_col).cast("long").alias("query"), vectors.as_double(F.col(embedding_col)).alias("e"), F.pmod(F.xxhash64(query_col), F.lit(max(1, -(-queries.count() // block)))).alias("block")), "queries")
+    source = rows.select(F.col(id_col).cast("long").alias("id"), vectors.as_double(F.col(embedding_col)).alias("e")).filter("e is not null")
+    for number in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
+        held = numbered.filter(F.col("block") == number).orderBy("query").collect()  # about block rows
+        ids, matrix = np.array([r["query"] for r in held], np.int64), _unit(np.array([r["e"] for r in held], float))
+
+        def nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                at = batch.column("id").to_numpy()
+                e = np.array(batch.column("e").flatten()).reshape(len(batch), -1)
+                for a in range(0, len(at), 1024):
+                    near, own = 1.0 - _unit(e[a : a + 1024]) @ matrix.T, at[a : a + 1024]
+                    d = np.concatenate([best_d, near.T], axis=1)
+                    i = np.concatenate([best_i, np.broadcast_to(own, near.T.shape)], axis=1)
+                    order = np.lexsort((i, np.round(d, 12)))[:, :k]
+                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            there = np.isfinite(best_d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], there.shape)[there]), pa.array(best_i[there]), pa.array(best_d[there])], names=["query", "id", "distance"])
+
+        part = source.mapInArrow(nearest, "query long, id long, distance double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = source.sparkSession.createDataFrame([], "query long, id long, distance double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 12), "id"))
+    ranked = found.withColumn("rank", place).filter(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(query_col), "rank", F.col("id").alias(id_col), rounded(F.col("distance")).alias("distance"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; a row of zeros stays, and is at distance 1 from everything."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=x.copy(), where=length > 0)
+
+
+def retrieve(chunks: DataFrame, project: int, query: str, embedder: Embedder, k: int = TOP_K) -> DataFrame:
+    """The k chunks of a project (project_id, chunk_key, filepath, start_line, end_line, symbol_type, text, embedding) nearest to a query text.
+
+    A project without chunks gives no rows, and its query is not embedded.
+    """
+    own = chunks.filter(F.col("project_id") == project)
+    columns = ("filepath", "start_line", "end_line", "symbol_type", F.col("text").alias("code"), "chunk_key")
+    if own.isEmpty():
+        return own.limit(0).select(*columns, F.lit(0.0).alias("distance"))
+    return top_k(own, embed_query(query, embedder), "chunk_key", k).select(*columns, "distance")
+
+
+def retrieve_text(chunks: DataFrame, project: int, query: str, embedder: Embedder, k: int = TOP_K) -> str:
+    """What retrieve finds, as one text; '' for nothing."""
+    found = retrieve(chunks, project, query, embedder, k)
+    made = found.withColumn("snippet", snippet(F.col("filepath"), F.col("start_line"), F.col("end_line"), F.col("code")))
+    return render_context(made).first()["context"]
+
+
 def snippet(filepath: Column, start: Column, end: Column, code: Column) -> Column:
     """One retrieved chunk as text; lines only where both are known."""
     lines = F.when((start != 0) & (end != 0), F.concat(F.lit(" (Lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(")"))).otherwise(F.lit(""))

@@ -39,7 +39,7 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = F.concat(F.lit('{"tree":['), entry(F.lit("src/a.py"), "tree"), F.lit(","), entry(F.col("path"), "blob"), F.lit("]}"))
     trees = _paths(spark, sf_dir).select("host", "page_id", json.alias("json")).drop("path")
     found = discovery.source_files(discovery.tree_entries(trees)).withColumn("pos", F.col("page_id") * 2 + F.col("pos"))
-    return discovery.first_files(found, "host", 3).select("host", "pos", "path")
+    return discovery.first_files(found, "host").select("host", "pos", "path")
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +118,31 @@ def block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extract_blocks(files).select("filepath", "symbol_type", "name", "start_line", "end_line", F.md5("code").alias("code_md5"))
 
 
+def _repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python and a JavaScript file for each part, of one class and its methods, with braces and heads in comments and strings; brands stand for repositories."""
+    key, n = F.col("p_partkey").cast("string"), F.col("p_size") % 4
+    each = lambda make: F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), make), "")).otherwise(F.lit(""))
+    py = F.concat(F.lit("class P"), key, F.lit(':\n    text = "def no(): {"\n'), each(lambda k: F.concat(F.lit("    def m"), k.cast("string"), F.lit("(self):\n        return 1\n"))))
+    js = F.concat(F.lit("// class Not {\nclass J"), key, F.lit(" {\n"), each(lambda k: F.concat(F.lit("  m"), k.cast("string"), F.lit('(x) {\n    return "}";\n  }\n'))), F.lit("}\n"))
+    one = lambda name, code, pos: F.struct(F.concat(F.lit("src/"), name).alias("filepath"), code.alias("code"), pos.alias("pos"))
+    files = F.array(one(F.concat(F.lit("p"), key, F.lit(".py")), py, F.col("p_partkey") * 2), one(F.concat(F.lit("j"), key, F.lit(".js")), js, F.col("p_partkey") * 2 + 1))
+    return table(spark, sf_dir, "part").select("p_brand", F.explode(files).alias("f")).select("p_brand", "f.*")
+
+
+def repository_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to chunks: extraction, then packs."""
+    out = packing.pack_chunks(blocks.extract_blocks(_repositories(spark, sf_dir)))
+    return out.select("filepath", "start_line", "end_line", "symbol_type", "token_count", F.md5("text").alias("text_md5"))
+
+
+def repository_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to outlines: extraction, then the first files of each repository, symbol by symbol."""
+    files = discovery.first_files(_repositories(spark, sf_dir).withColumn("path", F.col("filepath")), "p_brand")
+    found = blocks.extract_blocks(files).select("filepath", F.col("pos").alias("symbol_pos"), F.lower("symbol_type").alias("kind"), "name")
+    symbols = files.select("p_brand", "path", "pos").join(found, F.col("path") == F.col("filepath"))
+    return discovery.outline(symbols, "p_brand").select("p_brand", F.md5("ast_outline").alias("outline_md5"))
+
+
 def _first_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("pos"), "text")
     return discovery.first_files(files, "source")
@@ -128,8 +153,11 @@ def outline_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("symbol_pos") % 3 == 0, F.lit("class")).otherwise(F.lit("function"))
     symbols = lines.select("source", "path", "pos", "symbol_pos", kind.alias("kind"), F.get(text.word_tokens(F.col("line")), F.lit(0)).alias("name")).filter("name is not null")
     out = discovery.outline(symbols, "source")
-    message = discovery.sync_message(F.lit(30), F.col("ast_outline"))
-    return out.select("source", "ast_outline", F.substring("ast_outline", 1, 500).alias("preview"), message.alias("message"), discovery.sync_failed(message).alias("failed"))
+    # One source more has no files, and one has files without symbols.
+    more = spark.createDataFrame([("no files", 0), ("no symbols", 3)], "source string, n_files long")
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.least(F.count("*"), F.lit(discovery.FILE_LIMIT)).alias("n_files")).unionByName(more)
+    message = discovery.sync_message(F.col("n_files"), F.col("ast_outline"))
+    return counts.join(out, "source", "left").select("source", "ast_outline", F.substring("ast_outline", 1, 500).alias("preview"), message.alias("message"), discovery.sync_failed(message).alias("failed"))
 
 
 # --- SQL ---------------------------------------------------------------------------------------
@@ -201,6 +229,14 @@ ordered AS (
   JOIN ordered o ON o.filepath = f.filepath AND o.k = f.k + 1
 ), packed AS (SELECT o.*, f.pack, o.n > 750 AND NOT o.single AS oversized FROM ordered o JOIN fold f ON o.filepath = f.filepath AND o.k = f.k)"""
 
+_SQL_REPOSITORIES = """raw AS (SELECT p_brand, p_partkey AS key, p_size % 4 AS n FROM part),
+files AS (
+  SELECT p_brand, 'src/p' || key || '.py' AS filepath, key * 2 AS pos, n, 'P' || key AS name, 'class P' || key || ':' AS head, 1 AS first, (2 + 2 * n)::INT AS n_lines,
+         'class P' || key || ':' || chr(10) || '    text = "def no(): {"' || coalesce((SELECT string_agg(chr(10) || '    def m' || i || '(self):' || chr(10) || '        return 1', '' ORDER BY i) FROM unnest(range(1, n + 1)) AS u(i)), '') AS code FROM raw
+  UNION ALL
+  SELECT p_brand, 'src/j' || key || '.js', key * 2 + 1, n, 'J' || key, 'class J' || key || ' {', 2, (2 + 3 * n)::INT,
+         'class J' || key || ' {' || chr(10) || coalesce((SELECT string_agg('  m' || i || '(x) {' || chr(10) || '    return "}";' || chr(10) || '  }' || chr(10), '' ORDER BY i) FROM unnest(range(1, n + 1)) AS u(i)), '') || '}' FROM raw)"""
+
 QUERIES = {
     "path_filter": (path_filter, f"WITH {_SQL_PATHS} SELECT page_id, path, {_KEPT} AS kept FROM paths"),
     "language_map": (
@@ -213,7 +249,7 @@ SELECT page_id, extension, CASE extension {" ".join(f"WHEN '{k}' THEN '{v}'" for
         f"""WITH {_SQL_PATHS}
 SELECT host, pos, path FROM (
   SELECT host, page_id * 2 + 1 AS pos, path, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k FROM paths WHERE {_KEPT})
-WHERE k <= 3""",
+WHERE k <= 30""",
     ),
     "content_hash": (content_hash, f"SELECT doc_id, {sql_hash('source', 'text')} AS content_hash, 'chunk_1_' || {sql_hash('source', 'text')} AS chunk_id FROM documents"),
     "hash_line_shift_invariant": (
@@ -277,6 +313,23 @@ classes AS (SELECT p.filepath, 'Class', 'P' || key, 1, (CASE WHEN n = 0 THEN 2 E
 functions AS (SELECT filepath, 'Function', 'last', (CASE WHEN n = 0 THEN 4 ELSE 2 * n + 3 END)::INT, (CASE WHEN n = 0 THEN 5 ELSE 2 * n + 4 END)::INT, 'def last():' || chr(10) || '    return 0' FROM p)
 SELECT filepath, symbol_type, name, start_line, end_line, md5(code) AS code_md5
 FROM (SELECT * FROM methods UNION ALL SELECT * FROM classes UNION ALL SELECT * FROM functions)""",
+    ),
+    "repository_chunks": (
+        repository_chunks,
+        f"""WITH {_SQL_REPOSITORIES}
+SELECT filepath, first AS start_line, (first + n_lines - 1)::INT AS end_line, 'Class' AS symbol_type, len({_sql_words("code")})::INT AS token_count,
+       md5('File: ' || filepath || chr(10) || 'Type: Class' || chr(10) || 'Lines: ' || first || '-' || (first + n_lines - 1) || chr(10) || repeat('-', 40) || chr(10) || code) AS text_md5
+FROM files WHERE n > 0
+UNION ALL
+SELECT filepath, first, (first + n_lines - 1)::INT, 'Class', len({_sql_words("code")})::INT,
+       md5('File: ' || filepath || chr(10) || 'Class: ' || head || chr(10) || 'Type: Class' || chr(10) || 'Lines: ' || first || '-' || (first + n_lines - 1) || chr(10) || repeat('-', 40) || chr(10) || code)
+FROM files WHERE n = 0""",
+    ),
+    "repository_outline": (
+        repository_outline,
+        f"""WITH {_SQL_REPOSITORIES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY pos) AS k FROM files),
+parts AS (SELECT p_brand, pos, 'File: ' || filepath || chr(10) || '  class ' || name || chr(10) || coalesce((SELECT string_agg('  function m' || i || '()' || chr(10), '' ORDER BY i) FROM unnest(range(1, n + 1)) AS u(i)), '') AS part FROM ranked WHERE k <= 30)
+SELECT p_brand, md5(string_agg(part, chr(10) ORDER BY pos)) AS outline_md5 FROM parts GROUP BY p_brand""",
     ),
     "outline_agg": (
         outline_agg,
@@ -284,7 +337,8 @@ FROM (SELECT * FROM methods UNION ALL SELECT * FROM classes UNION ALL SELECT * F
 symbols AS (SELECT source, doc_id, i, {_sql_words("ls[i]")}[1] AS name FROM (SELECT source, doc_id, {_sql_lines("text")} AS ls FROM files WHERE k <= 30 AND text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)),
 parts AS (SELECT source, doc_id, 'File: doc_' || doc_id || chr(10) || string_agg(CASE WHEN i % 3 = 1 THEN '  class ' || name ELSE '  function ' || name || '()' END, chr(10) ORDER BY i) || chr(10) AS part
           FROM symbols WHERE name IS NOT NULL GROUP BY source, doc_id)
-SELECT source, ast_outline, substr(ast_outline, 1, 500) AS preview, 'Sync successful' AS message, false AS failed
-FROM (SELECT source, string_agg(part, chr(10) ORDER BY doc_id) AS ast_outline FROM parts GROUP BY source)""",
+SELECT s.source, ast_outline, substr(ast_outline, 1, 500) AS preview, CASE WHEN n = 0 THEN 'Failed to fetch files or repository is empty.' WHEN coalesce(ast_outline, '') = '' THEN 'No functions or classes found in the repository.' ELSE 'Sync successful' END AS message, n = 0 AS failed
+FROM (SELECT source, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'no files', 0 UNION ALL SELECT 'no symbols', 3) s
+LEFT JOIN (SELECT source, string_agg(part, chr(10) ORDER BY doc_id) AS ast_outline FROM parts GROUP BY source) o ON o.source = s.source""",
     ),
 }

@@ -26,6 +26,25 @@ def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k_per_key(rows, firsts, "label", "vec_id").select("label", "rank", "vec_id", "distance")
 
 
+def vector_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors whose id is divisible by 50, each against all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.search_many(rows, queries, "vec_id", "query_id")
+
+
+def retrieve_in_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for projects: the context of each of the first labels, and of one that has no chunks."""
+    rows, query = table(spark, sf_dir, "embeddings"), _query(spark, sf_dir)
+    out = None
+    for label in (0, 1, -1):
+        found = retrieval.top_k(rows.filter(F.col("label") == label), query, "vec_id")
+        made = found.select("distance", F.col("vec_id").alias("chunk_key"), retrieval.snippet(F.concat(F.lit("v"), F.col("vec_id").cast("string")), F.lit(1), F.lit(2), F.col("label").cast("string")).alias("snippet"))
+        one = retrieval.render_context(made).withColumn("label", F.lit(label))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = vectors.normalize(vectors.as_double(F.col("embedding")))
     rows = table(spark, sf_dir, "embeddings").withColumn("unit", unit)
@@ -72,6 +91,24 @@ SELECT label, "rank", vec_id, round(d, 4) + 0.0::DOUBLE AS distance FROM (
         FROM (SELECT x.label, x.vec_id, x.embedding::DOUBLE[] AS e, f.q FROM embeddings x
               JOIN (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label) f ON x.label = f.label)))
 WHERE "rank" <= 4""",
+    ),
+    "vector_search_many": (
+        vector_search_many,
+        f"""
+SELECT query_id, "rank", vec_id, round(d, 4) + 0.0::DOUBLE AS distance FROM (
+  SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 12), vec_id)::INT AS "rank"
+  FROM (SELECT query_id, vec_id, {_DISTANCE} AS d
+        FROM (SELECT f.vec_id AS query_id, x.vec_id, x.embedding::DOUBLE[] AS e, f.embedding::DOUBLE[] AS q FROM embeddings x, embeddings f WHERE f.vec_id % 50 = 0)))
+WHERE "rank" <= 4""",
+    ),
+    "retrieve_in_project": (
+        retrieve_in_project,
+        f"""
+WITH near AS (
+  SELECT label, vec_id, d, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS k
+  FROM (SELECT vec_id, label, {_DISTANCE} AS d FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, (SELECT arg_min(embedding, vec_id)::DOUBLE[] FROM embeddings) AS q FROM embeddings)))
+SELECT l.label, coalesce(string_agg('--- Code Snippet from v' || vec_id || ' (Lines 1-2) ---' || chr(10) || near.label || chr(10), chr(10) || chr(10) ORDER BY round(d, 4), vec_id), '') AS context
+FROM (VALUES (0), (1), (-1)) AS l(label) LEFT JOIN near ON near.label = l.label AND k <= 4 GROUP BY l.label""",
     ),
     "vector_normalize": (
         vector_normalize,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import auth, progress
+from ..functions import text
+from ..operators import auth, progress, relational
 from ..session import shared_path
 from ..sources.tables import table
 from ..streaming.progress import live_progress
@@ -85,10 +86,34 @@ def log_tail50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), (F.col("c_acctbal") > 0).alias("is_indexed"))
+    projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), (F.col("c_acctbal") > 0).alias("is_indexed"), F.concat(F.lit("model-"), F.lower("c_mktsegment")).alias("embedding_model"))
     return progress.with_defaults(projects, progress_latest(spark, sf_dir), "project_id")
 
 
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How runs end, with something missing for most of them."""
+    k = F.col("c_custkey")
+    count = lambda n: F.when(k % n == 0, F.lit(0)).otherwise(k % 30)
+    repository = F.when(k % 3 == 0, F.lit("")).when(k % 13 > 0, F.col("c_name"))
+    end = progress.run_outcome(k % 11 > 0, repository, count(5), count(7), count(2), text.diff_summary(k % 4, k % 5, k % 6))
+    return table(spark, sf_dir, "customer").select("c_custkey", end.alias("end")).select("c_custkey", "end.*")
+
+
+def session_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code sessions with their users; a session whose user is gone is not found."""
+    sessions = table(spark, sf_dir, "events").select(F.concat(F.lit("session-"), F.col("event_id").cast("string")).alias("session_token"), "user_id")
+    users = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey"), F.col("c_name").alias("username"))
+    found = relational.with_parent(sessions, users, "user_id", "c_custkey")
+    label = text.code_label(F.col("username"), F.col("c_custkey") % 2 == 0)
+    return found.select("session_token", "username", label.alias("label"), text.profile_label(F.col("username")).alias("profile"))
+
+
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.when(F.col("event_id") % 3 == 0, F.lit(0.25)).otherwise(F.lit(0.0)))
+    whole = F.date_trunc("second", at)
+    return table(spark, sf_dir, "events").select("event_id", text.iso_time(F.when(F.col("event_id") % 2 == 0, whole).otherwise(at)).alias("iso"))
+
+
 _PADDED = "lpad((event_id * 7919 % 1000000)::VARCHAR, 6, '0')"
 _STAGE = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE event_type END"
 _STATUS = "CASE WHEN stage IN ('completed', 'failed') THEN stage ELSE 'indexing' END"
@@ -146,6 +171,23 @@ SELECT event_id, allowed FROM f""",
         f"""WITH {_LATEST}, lines AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events),
 logs AS (SELECT user_id, string_agg('log ' || event_id, chr(10) ORDER BY ts, event_id) AS logs FROM lines WHERE k <= 50 GROUP BY user_id)
 SELECT latest.*, logs FROM latest JOIN logs ON user_id = project_id""",
+    ),
+    "run_outcomes": (
+        run_outcomes,
+        f"""SELECT c_custkey, CASE WHEN step IS NULL THEN 100 ELSE 0 END AS progress, CASE WHEN step IS NULL THEN 'completed' ELSE 'failed' END AS stage,
+       coalesce(step, 'Indexing complete! (' || k % 4 || ' cached, ' || k % 5 || ' embedded, ' || k % 6 || ' pruned)') AS current_step
+FROM (SELECT c_custkey, c_custkey AS k, CASE WHEN k % 11 = 0 THEN '{progress.NO_PROJECT}' WHEN k % 3 = 0 OR k % 13 = 0 THEN '{progress.NO_REPOSITORY}' WHEN k % 5 = 0 OR k % 30 = 0 THEN '{progress.NO_FILES}'
+             WHEN k % 7 = 0 THEN '{progress.NO_BLOCKS}' WHEN k % 2 = 0 THEN '{progress.NO_CHUNKS}' END AS step FROM customer)""",
+    ),
+    "session_users": (
+        session_users,
+        """SELECT 'session-' || event_id AS session_token, c_name AS username, 'OTP for ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' (Used)' ELSE ' (Active)' END AS label, 'Profile for ' || c_name AS profile
+FROM events JOIN customer ON c_custkey = user_id WHERE c_acctbal > 0""",
+    ),
+    "iso_times": (
+        iso_times,
+        """SELECT event_id, strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(t, '%f') = '000000' THEN '' ELSE '.' || strftime(t, '%f') END || '+00:00' AS iso
+FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('second', x) ELSE x END AS t FROM (SELECT event_id, ts + CASE WHEN event_id % 3 = 0 THEN INTERVAL 250 MILLISECOND ELSE INTERVAL 0 SECOND END AS x FROM events))""",
     ),
     "log_tail50": (
         log_tail50,
@@ -155,7 +197,8 @@ SELECT latest.*, logs FROM latest JOIN logs ON user_id = project_id""",
         status_default,
         f"""WITH {_LATEST}
 SELECT c_custkey AS project_id, c_acctbal > 0 AS is_indexed, coalesce(status, CASE WHEN c_acctbal > 0 THEN 'completed' ELSE 'idle' END) AS status, coalesce(progress, CASE WHEN c_acctbal > 0 THEN 100 ELSE 0 END) AS progress,
-       coalesce(stage, CASE WHEN c_acctbal > 0 THEN 'completed' ELSE 'idle' END) AS stage, coalesce(current_step, CASE WHEN c_acctbal > 0 THEN 'Ready' ELSE 'Not indexed yet' END) AS current_step
+       coalesce(stage, CASE WHEN c_acctbal > 0 THEN 'completed' ELSE 'idle' END) AS stage, coalesce(current_step, CASE WHEN c_acctbal > 0 THEN 'Ready' ELSE 'Not indexed yet' END) AS current_step,
+       'model-' || lower(c_mktsegment) AS embedding_model, coalesce(nullif(model, ''), CASE WHEN c_acctbal > 0 THEN 'model-' || lower(c_mktsegment) END) AS model
 FROM customer LEFT JOIN latest ON project_id = c_custkey""",
     ),
 }

@@ -12,6 +12,7 @@ from ..sources import tables
 from ..sources.tables import table
 
 OWNER = 7
+STAMP = "2026-01-01 00:00:00"
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     subtasks = F.when(F.col("o_orderkey") % 3 == 0, some).when(F.col("o_orderkey") % 3 == 1, F.slice(some, 1, 0))
     project = F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey"))
     orders = table(spark, sf_dir, "orders")
-    return orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority")).otherwise(F.lit("")).alias("description"), (F.col("o_orderstatus") == "F").alias("completed"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")).alias("due_date"), F.col("o_custkey").alias("owner_id"), project.alias("project_id"), kind.alias("ticket_type"), subtasks.alias("subtasks"))
+    return orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority")).otherwise(F.lit("")).alias("description"), (F.col("o_orderstatus") == "F").alias("completed"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")).alias("due_date"), (F.col("o_orderdate") - F.expr("interval 7 days")).alias("created_at"), F.col("o_custkey").alias("owner_id"), project.alias("project_id"), kind.alias("ticket_type"), subtasks.alias("subtasks"))
 
 
 def owner_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,50 @@ def active_deadline_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     due = relational.active_with_deadline(_tasks(spark, sf_dir))
     projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("project_name"))
-    return calendar.events(due.join(projects, "project_id", "left"), F.col("owner_id"))
+    return calendar.events(due.join(projects, "project_id", "left"), F.col("owner_id"), F.lit(STAMP).cast("timestamp_ntz")).drop("user_id")
+
+
+def calendar_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's feed, with the size and a hash of its text."""
+    due = relational.active_with_deadline(_tasks(spark, sf_dir))
+    customers = table(spark, sf_dir, "customer")
+    projects = customers.select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("project_name"))
+    rows = calendar.events(due.join(projects, "project_id", "left"), F.col("owner_id"), F.lit(STAMP).cast("timestamp_ntz"))
+    feed = calendar.feeds(customers.select(F.col("c_custkey").alias("user_id"), F.concat("c_name", F.lit(", Esq.")).alias("username")), rows)
+    return feed.select("user_id", F.length("value").alias("chars"), F.md5("value").alias("text_md5"))
+
+
+def user_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relational.public_user(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "c_name", "o_orderkey", "o_custkey")
+    return found.select("id", "username", F.array_join(F.transform("tasks", lambda k: k.cast("string")), ",").alias("tasks"))
+
+
+def project_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects without their secret column, with a row for each task."""
+    projects = relational.public_project(table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit("secret").alias("github_token")))
+    tasks = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return relational.child_rows(projects, tasks, "c_custkey", "o_custkey").drop("o_custkey")
+
+
+def first_open_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open task with the earliest deadline."""
+    due = relational.active_with_deadline(_tasks(spark, sf_dir))
+    return relational.first_row(due.select("id", "title", "due_date"), "due_date", "id")
+
+
+def admin_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of one status, searched by their owners' names too."""
+    owners = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("owner_name"))
+    tasks = relational.with_parent(table(spark, sf_dir, "orders"), owners, "o_custkey", "c_custkey")
+    return relational.listing(tasks, ("o_orderkey", "owner_name", "o_orderpriority"), "customer#00000000 URGENT", ("owner_name", "o_orderpriority"), {"o_orderstatus": "O"})
+
+
+def stored_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task rows with missing values, as they are stored; tokens are checked by their form."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 2 == 0, k % 4 == 0).alias("completed"), F.when(k % 3 == 0, F.lit("bug")).alias("ticket_type"), F.when(k % 5 == 0, F.col("o_orderdate")).alias("created_at"))
+    stored = tickets.with_defaults(rows, F.lit(STAMP).cast("timestamp_ntz"))
+    return stored.withColumn("token_ok", text.hex_uuid().rlike("^[0-9a-f]{32}$"))
 
 
 def project_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +96,11 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
-    wanted = names.select(F.col("c_custkey").alias("request"), F.when(F.col("c_custkey") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("New "), "name")).alias("wanted"))
-    return relational.taken(names, wanted.withColumnRenamed("wanted", "name"), "name").select("request", "name", "taken")
+    """Names that suppliers' numbers ask for, of which those of customers are taken."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    number = F.lpad((F.col("s_suppkey") * 31).cast("string"), 9, "0")
+    wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("request"), F.concat(F.lit("Customer#"), number).alias("name"))
+    return relational.taken(names, wanted, "name").select("request", "name", "taken")
 
 
 def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +115,11 @@ def feed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles_created(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of all users, with new ones for those that had none."""
+    """Profiles of all users: those with orders have one, the others get new ones."""
     token = F.md5("c_name").alias("token")
     users = table(spark, sf_dir, "customer")
-    existing = users.filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("user_id"), token, F.lit(False).alias("created"))
+    ordering = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    existing = users.join(ordering, "c_custkey", "left_semi").select(F.col("c_custkey").alias("user_id"), token, F.lit(False).alias("created"))
     return relational.get_or_create(existing, users.select(F.col("c_custkey").alias("user_id"), token, F.lit(True).alias("created")), "user_id")
 
 
@@ -120,7 +167,7 @@ def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier")
     path = shared_path(spark, "supplier")
     tables.append(rows, path)
-    tables.append(rows.filter("s_suppkey % 2 = 0"), path)
+    tables.append(rows, path)
     return spark.read.parquet(path).groupBy("s_nationkey").agg(F.count("*").alias("n"))
 
 
@@ -135,8 +182,8 @@ def subtasks_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generation_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    projects = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("is_indexed"), F.concat(F.lit("model-"), F.lower("c_mktsegment")).alias("embedding_model"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("ast_outline"))
-    return tickets.response(projects).select("c_custkey", "rag_model", "ast_outline_used", tickets.outline_preview(F.col("ast_outline"), 8).alias("preview"))
+    projects = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("is_indexed"), F.concat(F.lit("model-"), F.lower("c_mktsegment")).alias("embedding_model"), F.when(F.col("c_custkey") % 2 == 0, F.repeat("c_name", F.lit(40))).alias("ast_outline"))
+    return tickets.response(projects).select("c_custkey", "rag_model", "ast_outline_used", tickets.outline_preview(F.col("ast_outline")).alias("preview"))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +193,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", tickets.prompt(outline, snippets, F.col("c_mktsegment"), now, "Asia/Kolkata", "RULES").alias("prompt"))
 
 
+_ICAL = "'%Y%m%dT%H%M%SZ'"
 _PROJECT = "CASE WHEN o_custkey % 3 = 0 THEN c_name END"
 _DUE = "FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'F' AND o_orderkey % 10 > 0"
 _KIND = "CASE o_orderpriority WHEN '1-URGENT' THEN 'BUG' WHEN '2-HIGH' THEN 'FEATURE' WHEN '3-MEDIUM' THEN 'CHORE' ELSE '' END"
@@ -156,25 +204,52 @@ QUERIES = {
     "calendar_events": (
         calendar_events,
         f"""SELECT 'task-' || o_orderkey || '-' || o_custkey || '@taskapp.local' AS uid, CASE WHEN kind = '' THEN '' ELSE '[' || kind || '] ' END || 'Order ' || o_orderkey AS summary,
-       o_orderdate AS dtstart, o_orderdate + INTERVAL 1 HOUR AS dtend, kind || ',TASK' AS categories, 'CONFIRMED' AS status,
+       o_orderdate AS dtstart, o_orderdate + INTERVAL 1 HOUR AS dtend, TIMESTAMP '2026-01-01' AS dtstamp, o_orderdate - INTERVAL 7 DAY AS created, kind || ',TASK' AS categories, 'CONFIRMED' AS status,
        concat_ws(chr(10), 'Project: ' || project, CASE WHEN o_orderkey % 4 > 0 THEN 'Description: ' || o_orderpriority END,
                  CASE WHEN o_orderkey % 3 = 0 THEN 'Subtasks:' || chr(10) || '  [x] pick' || chr(10) || '  [ ] pack' || chr(10) || '  [ ] ' END) AS description
 FROM (SELECT *, {_KIND} AS kind, {_PROJECT} AS project {_DUE})""",
     ),
+    "calendar_feeds": (
+        calendar_feeds,
+        f"""WITH e AS (SELECT o_custkey AS user_id, o_orderkey, o_orderdate AS d, 'task-' || o_orderkey || '-' || o_custkey || '@taskapp.local' AS uid, CASE WHEN kind = '' THEN '' ELSE '[' || kind || '] ' END || 'Order ' || o_orderkey AS summary, kind,
+  concat_ws(chr(10), 'Project: ' || project, CASE WHEN o_orderkey % 4 > 0 THEN 'Description: ' || o_orderpriority END,
+            CASE WHEN o_orderkey % 3 = 0 THEN 'Subtasks:' || chr(10) || '  [x] pick' || chr(10) || '  [ ] pack' || chr(10) || '  [ ] ' END) AS description FROM (SELECT *, {_KIND} AS kind, {_PROJECT} AS project {_DUE})),
+lines AS (SELECT user_id, d, uid, ['BEGIN:VEVENT', 'UID:' || uid, 'SUMMARY:' || summary, 'DTSTART:' || strftime(d, {_ICAL}), 'DTEND:' || strftime(d + INTERVAL 1 HOUR, {_ICAL}), 'DTSTAMP:20260101T000000Z', 'CREATED:' || strftime(d - INTERVAL 7 DAY, {_ICAL}),
+            'CATEGORIES:' || kind || ',TASK', 'STATUS:CONFIRMED', 'DESCRIPTION:' || replace(description, chr(10), '\\n'), 'END:VEVENT'] AS ls FROM e),
+texts AS (SELECT user_id, d, uid, array_to_string(list_transform(ls, lambda x: CASE WHEN length(x) <= 75 THEN x WHEN length(x) <= 148 THEN substr(x, 1, 74) || chr(13) || chr(10) || ' ' || substr(x, 75)
+            ELSE substr(x, 1, 74) || chr(13) || chr(10) || ' ' || substr(x, 75, 74) || chr(13) || chr(10) || ' ' || substr(x, 149) END), chr(13) || chr(10)) AS v FROM lines),
+bodies AS (SELECT user_id, string_agg(v, chr(13) || chr(10) ORDER BY d, uid) AS body FROM texts GROUP BY user_id),
+feeds AS (SELECT c_custkey AS user_id, concat_ws(chr(13) || chr(10), 'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//cinderlake//Tasks Feed//EN', 'X-WR-CALNAME:' || c_name || '\\, Esq.''s Tasks', 'X-WR-CALDESC:Active tasks and deadlines', 'X-PUBLISHED-TTL:PT1H', 'REFRESH-INTERVAL;VALUE=DURATION:PT1H', body, 'END:VCALENDAR') || chr(13) || chr(10) AS value
+          FROM customer LEFT JOIN bodies ON bodies.user_id = c_custkey)
+SELECT user_id, length(value)::INT AS chars, md5(value) AS text_md5 FROM feeds""",
+    ),
+    "user_projection": (user_projection, "SELECT c_custkey AS id, any_value(c_name) AS username, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS tasks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"),
+    "project_tasks": (project_tasks, "SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey"),
+    "first_open_task": (first_open_task, f"SELECT o_orderkey AS id, 'Order ' || o_orderkey AS title, o_orderdate AS due_date {_DUE} ORDER BY o_orderdate, o_orderkey LIMIT 1"),
+    "admin_list": (
+        admin_list,
+        """SELECT o_orderkey, c_name AS owner_name, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O'
+AND (contains(lower(c_name), 'customer#00000000') OR contains(lower(o_orderpriority), 'customer#00000000')) AND (contains(lower(c_name), 'urgent') OR contains(lower(o_orderpriority), 'urgent'))""",
+    ),
+    "stored_defaults": (
+        stored_defaults,
+        """SELECT o_orderkey, o_orderkey % 4 = 0 AS completed, CASE WHEN o_orderkey % 3 = 0 THEN 'bug' ELSE 'feature' END AS ticket_type,
+       CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate ELSE TIMESTAMP '2026-01-01' END AS created_at, true AS token_ok FROM orders""",
+    ),
     "project_nested": (
         project_nested,
         """SELECT c_custkey, any_value(c_name) AS c_name, count(o_orderkey)::INT AS n_tasks, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS tasks
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
     ),
     "latest_per_key": (latest_per_key, "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY o_custkey"),
-    "unique_violation": (unique_violation, "SELECT c_custkey AS request, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'New ' || c_name END AS name, c_custkey % 2 = 0 AS taken FROM customer"),
+    "unique_violation": (unique_violation, "SELECT s_suppkey AS request, n AS name, EXISTS (SELECT 1 FROM customer WHERE c_name = n) AS taken FROM (SELECT s_suppkey, 'Customer#' || lpad((s_suppkey * 31)::VARCHAR, 9, '0') AS n FROM supplier)"),
     "mask_email": (
         mask_email,
         """SELECT c_custkey, email, CASE WHEN p <= 1 THEN email WHEN p <= 3 THEN substr(email, 1, 1) || '*' || substr(email, p) ELSE substr(email, 1, 2) || repeat('*', p - 3) || substr(email, p) END AS masked
 FROM (SELECT c_custkey, email, instr(email, '@') AS p FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'a@example.com' WHEN 1 THEN 'ab@example.com' WHEN 2 THEN 'no address' WHEN 3 THEN '@example.com' ELSE c_name || '@x@example.com' END AS email FROM customer))""",
     ),
     "feed_urls": (feed_urls, "SELECT c_custkey, 'https://tasks.example/feed/' || md5(c_name) || '.ics' AS url, 'webcal://tasks.example/feed/' || md5(c_name) || '.ics' AS webcal, md5(c_name) AS token FROM customer"),
-    "profiles_created": (profiles_created, "SELECT c_custkey AS user_id, md5(c_name) AS token, c_custkey % 4 = 0 AS created FROM customer"),
+    "profiles_created": (profiles_created, "SELECT c_custkey AS user_id, md5(c_name) AS token, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS created FROM customer"),
     "row_writes": (
         row_writes,
         """SELECT c_custkey, c_name, CASE WHEN c_custkey % 12 = 6 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment FROM customer
@@ -190,7 +265,7 @@ UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::BIGINT FROM lineitem WHE
     "admin_facet": (admin_facet, "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= '1998-01-01' AND o_orderdate < '1999-01-01'"),
     "csv_roundtrip": (csv_roundtrip, "SELECT * FROM nation"),
     "json_roundtrip": (json_roundtrip, "SELECT p_partkey, p_size, CASE WHEN p_size > 10 THEN p_name END AS p_name FROM part"),
-    "append_rows": (append_rows, "SELECT s_nationkey, count(*) AS n FROM (SELECT s_nationkey FROM supplier UNION ALL SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY s_nationkey"),
+    "append_rows": (append_rows, "SELECT s_nationkey, count(*) AS n FROM (SELECT s_nationkey FROM supplier UNION ALL SELECT s_nationkey FROM supplier) GROUP BY s_nationkey"),
     "subtasks_json": (
         subtasks_json,
         """SELECT event_id, valid, CASE WHEN valid THEN 'T' || k END AS title, CASE WHEN valid THEN '' END AS description, CASE WHEN valid THEN CASE WHEN event_id % 3 = 0 THEN 'bug' ELSE 'feature' END END AS ticket_type,
@@ -199,7 +274,7 @@ FROM (SELECT event_id, event_id % 7 <> 0 AND event_id % 9 <> 0 AS valid, json_ex
     ),
     "generation_response": (
         generation_response,
-        """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'model-' || lower(c_mktsegment) END AS rag_model, c_custkey % 2 = 0 AS ast_outline_used, CASE WHEN c_custkey % 2 = 0 THEN substr(c_name, 1, 8) ELSE '' END AS preview FROM customer""",
+        """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'model-' || lower(c_mktsegment) END AS rag_model, c_custkey % 2 = 0 AS ast_outline_used, CASE WHEN c_custkey % 2 = 0 THEN substr(repeat(c_name, 40), 1, 500) ELSE '' END AS preview FROM customer""",
     ),
     "prompts": (
         prompts,

@@ -1,4 +1,4 @@
-"""Schemas of the task and code-index tables."""
+"""Schemas of the JSON that comes in."""
 
 from __future__ import annotations
 
@@ -9,15 +9,9 @@ def _schema(*fields: tuple[str, T.DataType] | tuple[str, T.DataType, bool]) -> T
     return T.StructType([T.StructField(f[0], f[1], f[2] if len(f) > 2 else True) for f in fields])
 
 
-_long, _int, _text, _bool, _time = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType(), T.TimestampType()
+_text, _bool = T.StringType(), T.BooleanType()
 
 SUBTASKS = T.ArrayType(_schema(("title", _text), ("completed", _bool)))
-PROJECT = _schema(("id", _long, False), ("name", _text), ("github_repo", _text), ("ast_outline", _text), ("github_token", _text), ("owner_id", _long, False), ("created_at", _time), ("is_indexed", _bool), ("last_indexed_at", _time), ("collection_name", _text), ("embedding_model", _text))
-TASK = _schema(("id", _long, False), ("title", _text), ("description", _text), ("completed", _bool), ("created_at", _time), ("due_date", _time), ("owner_id", _long, False), ("project_id", _long), ("ticket_type", _text), ("subtasks", SUBTASKS))
-EMAIL_OTP = _schema(("id", _long, False), ("user_id", _long, False), ("otp_code", _text), ("session_token", _text), ("created_at", _time), ("expires_at", _time), ("attempts", _int), ("is_used", _bool))
-USER_PROFILE = _schema(("id", _long, False), ("user_id", _long, False), ("calendar_token", _text), ("created_at", _time))
-CODE_CHUNK = _schema(("id", _long, False), ("project_id", _long, False), ("chunk_id", _text), ("filepath", _text), ("text", _text), ("symbol_type", _text), ("start_line", _int), ("end_line", _int), ("content_hash", _text), ("embedding", T.ArrayType(T.FloatType(), False)))
-BLOCK = _schema(("filepath", _text), ("symbol_type", _text), ("start_line", _int), ("end_line", _int), ("code", _text))
 TASK_CREATE = _schema(("title", _text), ("description", _text), ("ticket_type", _text), ("due_date", _text), ("completed", _bool), ("subtasks", SUBTASKS))
 TREE = _schema(("tree", T.ArrayType(_schema(("path", _text), ("type", _text)))))
 TICKET_TYPES = ("bug", "feature", "chore")

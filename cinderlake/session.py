@@ -1,4 +1,4 @@
-"""Session factory, and the folder that driver and executors share."""
+"""The folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -8,16 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "cinderlake", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC times and adaptive execution; keyword arguments are Spark settings with _ for '.'."""
-    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
-    if master:
-        builder = builder.master(master)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("_", "."), value)
-    return builder.getOrCreate()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -35,15 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder within the shared one; it is deleted when the application's JVM ends."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{sc.applicationId}")
+    if sc.applicationId not in _MADE:
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MADE.add(sc.applicationId)
+    return path.toString()
+
+
+#: Applications whose folder has been made.
+_MADE: set[str] = set()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts the lineage.
 
-    Unlike a local checkpoint, the files outlive the executor that wrote them.
+    Unlike a local checkpoint, the files outlive the executor that wrote them. They go with the application.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)

@@ -2,41 +2,59 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.progress import LOG_LINES
 
 TTL_MS = 600_000
 STATE = "project_id long, status string, progress int, stage string, current_step string, model string, chunk_count int, logs array<string>, last_updated timestamp"
+_KEPT = "progress int, stage string, current_step string, at long, seq long, model string, model_at long, model_seq long, chunk_count int, chunk_at long, chunk_seq long, logs array<struct<at:long,seq:long,line:string>>"
+_NEVER = (-(1 << 62), -(1 << 62))
 
 
 class ProgressProcessor(StatefulProcessor):
-    """Keeps the last values of each project and its last log lines, for ten minutes after its last update."""
+    """Keeps the last values of each project and its last log lines, for ten minutes after its last update.
+
+    Every value is kept with the event time and number it came with, so an update that arrives late, in
+    the same batch or a later one, replaces only what is older. A batch's updates are read frame by
+    frame; of log lines only the last LOG_LINES are held.
+    """
 
     def __init__(self, ttl_ms: int | None = TTL_MS) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("progress", "progress int, stage string, current_step string, model string, chunk_count int, logs array<string>, last_updated timestamp", self.ttl_ms)
+        self.state = handle.getValueState("progress", _KEPT, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else (0, None, None, None, 0, [], None)
-        progress, stage, step, model, chunk_count, logs, updated = old
-        logs = list(logs or [])
-        frame = pd.concat(list(rows)).sort_values(["event_time", "seq"])
-        for r in frame.itertuples(index=False):
-            progress, stage, step, updated = int(r.progress), r.stage, r.current_step, r.event_time
-            model = r.model or model
-            chunk_count = int(r.chunk_count or 0) or chunk_count
-            if r.new_log:
-                logs = [*logs, r.new_log][-LOG_LINES:]
-        self.state.update((progress, stage, step, model, chunk_count, logs, updated))
+        if self.state.exists():
+            progress, stage, step, at, seq, model, model_at, model_seq, chunks, chunk_at, chunk_seq, logs = self.state.get()
+            last, of_model, of_chunks, lines = (at, seq), (model_at, model_seq), (chunk_at, chunk_seq), [(r[0], r[1], r[2]) for r in logs or []]
+        else:
+            progress, stage, step, model, chunks, last, of_model, of_chunks, lines = 0, None, None, None, 0, _NEVER, _NEVER, _NEVER, []
+        heapq.heapify(lines)
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                now = (int(r.at), int(r.seq))
+                if now > last:
+                    progress, stage, step, last = int(r.progress), r.stage, r.current_step, now
+                if r.model and now > of_model:
+                    model, of_model = r.model, now
+                if r.chunk_count and now > of_chunks:
+                    chunks, of_chunks = int(r.chunk_count), now
+                if r.new_log:
+                    (heapq.heappush if len(lines) < LOG_LINES else heapq.heappushpop)(lines, (*now, r.new_log))
+        lines.sort()
+        self.state.update((progress, stage, step, *last, model, *of_model, chunks, *of_chunks, lines))
         status = {"completed": "completed", "failed": "failed"}.get(stage, "indexing")
-        yield pd.DataFrame([(key[0], status, progress, stage, step, model, chunk_count, logs, updated)], columns=[c.split()[0] for c in STATE.split(", ")])
+        out = (key[0], status, progress, stage, step, model, chunks, [line for _, _, line in lines], pd.Timestamp(last[0], unit="us"))
+        yield pd.DataFrame([out], columns=[c.split()[0] for c in STATE.split(", ")])
 
     def close(self) -> None:
         pass
@@ -47,4 +65,5 @@ def live_progress(updates: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
 
     Needs the RocksDB state store provider. Without a TTL a state stays for good.
     """
-    return updates.groupBy("project_id").transformWithStateInPandas(ProgressProcessor(ttl_ms), outputStructType=STATE, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
+    timed = updates.withColumn("at", F.unix_micros("event_time")).drop("event_time")
+    return timed.groupBy("project_id").transformWithStateInPandas(ProgressProcessor(ttl_ms), outputStructType=STATE, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")

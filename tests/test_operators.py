@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from cinderlake.config import ChunkingConfig
 from cinderlake.functions import text, vectors
-from cinderlake.operators import auth, blocks, calendar, index, packing, progress, relational, retrieval, tickets
-from cinderlake.sources import repository
+from cinderlake.operators import auth, blocks, calendar, embedding, index, packing, progress, relational, retrieval, tickets
+from cinderlake.sources import repository, tables
 
 CONFIG = ChunkingConfig()
 
@@ -122,13 +122,15 @@ def test_blocks_of_several_languages(spark):
         ("a.py", "class A:\n    def f(self):\n        return 1\n\nasync def g():\n    pass\n"),
         ("b.js", "class B {\n  go(x) {\n    return x;\n  }\n}\nfunction h() {\n  return 1;\n}\nconst k = (x) => {\n  return x;\n};\n"),
         ("C.java", "public class C {\n  public int f(int x) {\n    return x;\n  }\n}\n"),
-        ("broken.py", "def f(:"),
+        ("broken.py", "class D:\n    def f(:\n        pass\n\n    x = 1\n\ndef last(\n"),
+        ("quiet.ts", "// class No {\nclass T {\n  /* } */ go() {\n    const s = \"}\" + '{' + `}\n}`;\n  }\n}\n"),
+        ("open.js", "function o() {\n  if (x) {\n    return 1;\n"),
         ("none.txt", "class X:"),
         ("empty.ts", ""),
         ("null.py", None),
     ]
     got = {(r["filepath"], r["symbol_type"], r["name"], r["start_line"], r["end_line"]) for r in blocks.extract_blocks(spark.createDataFrame(files, "filepath string, code string")).collect()}
-    assert got == {("a.py", "Class", "A", 1, 3), ("a.py", "Function", "f", 2, 3), ("a.py", "Function", "g", 5, 6), ("b.js", "Class", "B", 1, 5), ("b.js", "Function", "go", 2, 4), ("b.js", "Function", "h", 6, 8), ("b.js", "Function", "k", 9, 11), ("C.java", "Class", "C", 1, 5), ("C.java", "Function", "f", 2, 4)}
+    assert got == {("a.py", "Class", "A", 1, 3), ("a.py", "Function", "f", 2, 3), ("a.py", "Function", "g", 5, 6), ("b.js", "Class", "B", 1, 5), ("b.js", "Function", "go", 2, 4), ("b.js", "Function", "h", 6, 8), ("b.js", "Function", "k", 9, 11), ("C.java", "Class", "C", 1, 5), ("C.java", "Function", "f", 2, 4)} | {("broken.py", "Class", "D", 1, 5), ("broken.py", "Function", "f", 2, 3), ("broken.py", "Function", "last", 7, 7), ("quiet.ts", "Class", "T", 2, 7), ("quiet.ts", "Function", "go", 3, 6), ("open.js", "Function", "o", 1, 3)}
 
 
 # --- index ------------------------------------------------------------------------------------
@@ -153,12 +155,19 @@ def test_partial_diff_with_duplicates_in_two_projects(spark):
 def test_calendar_text(spark):
     item = "array<struct<title:string,completed:boolean>>"
     rows = [(1, "T, x", "bug", "P", "d", [("a", True), (None, None)]), (2, "U", None, None, "", None)]
-    out = calendar.events(spark.createDataFrame(rows, f"id long, title string, ticket_type string, project_name string, description string, subtasks {item}").withColumn("due_date", F.lit("2026-01-01").cast("timestamp")), F.lit(9))
+    out = calendar.events(spark.createDataFrame(rows, f"id long, title string, ticket_type string, project_name string, description string, subtasks {item}").withColumns({"due_date": F.lit("2026-01-01").cast("timestamp"), "created_at": F.lit("2025-12-01 10:00:00").cast("timestamp")}), F.lit(9), F.lit("2025-12-31").cast("timestamp"))
     got = {r["uid"]: r for r in out.collect()}
     first, second = got["task-1-9@taskapp.local"], got["task-2-9@taskapp.local"]
     assert first["summary"] == "[BUG] T, x" and first["description"] == "Project: P\nDescription: d\nSubtasks:\n  [x] a\n  [ ] " and first["categories"] == "BUG,TASK"
-    assert second["summary"] == "U" and second["description"] == ""
-    assert "SUMMARY:[BUG] T\\, x" in {r["uid"]: r["value"] for r in calendar.ical_lines(out).collect()}["task-1-9@taskapp.local"]
+    assert second["summary"] == "U" and second["description"] == "" and second["categories"] == "TASK"
+    users = spark.createDataFrame([(9, "Ann; Bo\\" + "é" * 60), (10, "none")], "user_id int, username string")
+    feeds = {r["user_id"]: r["value"] for r in calendar.feeds(users, out).collect()}
+    assert feeds[10].startswith("BEGIN:VCALENDAR\r\n") and feeds[10].endswith("PT1H\r\nEND:VCALENDAR\r\n")
+    lines = feeds[9].split("\r\n")
+    assert all(len(x.encode()) <= 75 for x in lines) and feeds[9].count("BEGIN:VEVENT") == 2
+    whole = feeds[9].replace("\r\n ", "").split("\r\n")
+    assert f"X-WR-CALNAME:Ann\\; Bo\\\\{'é' * 60}'s Tasks" in whole
+    assert {"SUMMARY:[BUG] T\\, x", "DTSTAMP:20251231T000000Z", "CREATED:20251201T100000Z", "DTEND:20260101T010000Z", "DESCRIPTION:Project: P\\nDescription: d\\nSubtasks:\\n  [x] a\\n  [ ] "} <= set(whole)
 
 
 def test_tickets(spark):
@@ -190,6 +199,119 @@ def test_log_tail_of_a_long_log(spark):
     assert sorted(r["n"] for r in progress.log_tail(lines.filter("k = 0"), "k", "n").collect()) == list(range(400, 500, 2))
 
 
+def test_one_row_or_an_error(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert relational.get_one(rows, F.col("k") == 1)["v"] == "a"
+    for k in (2, 3):
+        with pytest.raises(relational.NotFound):
+            relational.get_one(rows, F.col("k") == k)
+    assert relational.first_row(rows.filter("k = 9"), "k").count() == 0
+    assert [tuple(r) for r in relational.listing(rows, ("v",), "A b", ("v",)).collect()] == [] and relational.listing(rows, ("v",), facets={"k": None}).count() == 0
+
+
+def test_retrieval_in_a_project(spark):
+    vector = lambda t: embedding.embed_query(t)
+    rows = [(1, "a", "a.py", 1, 2, "Function", "red green", vector("red green")), (1, "b", "b.py", 0, 0, "Class", "blue", vector("blue")), (2, "c", "c.py", 1, 2, "Function", "red green", vector("red green"))]
+    chunks = spark.createDataFrame(rows, "project_id int, chunk_key string, filepath string, start_line int, end_line int, symbol_type string, text string, embedding array<double>")
+    found = retrieval.retrieve(chunks, 1, "red green", embedding.hashing_embedder).orderBy("distance").collect()
+    assert [(r["filepath"], r["distance"]) for r in found] == [("a.py", 0.0), ("b.py", 1.0)]
+    assert retrieval.retrieve_text(chunks, 1, "red green", embedding.hashing_embedder, k=1) == "--- Code Snippet from a.py (Lines 1-2) ---\nred green\n"
+
+    def never(texts):
+        raise AssertionError("a query without chunks is not embedded")
+
+    assert retrieval.retrieve_text(chunks, 3, "red", never) == "" and retrieval.retrieve(chunks, 3, "red", never).count() == 0
+    one = embedding.embed(chunks.select("text"), batch=1).collect()
+    assert [len(r["embedding"]) for r in one] == [768] * 3
+
+
+def test_search_in_blocks_is_the_search_in_one(spark):
+    rows = spark.createDataFrame([(k, [float(k % 3), float(k % 5), 1.0 if k % 7 else 0.0]) for k in range(60)] + [(60, [0.0, 0.0, 0.0])], "id long, embedding array<float>").repartition(5)
+    queries = rows.filter("id % 10 = 0").withColumnRenamed("id", "q")
+    one, many = (sorted(map(tuple, retrieval.search_many(rows, queries, "id", "q", k=3, block=b).collect())) for b in (100, 2))
+    assert one == many and len(one) == 21
+    for q in (0, 10, 60):
+        vector = rows.filter(F.col("id") == q).first()["embedding"]
+        want = [r["id"] for r in retrieval.top_k(rows, vector, "id", 3).orderBy("distance", "id").collect()]
+        assert [i for at, _, i, _ in one if at == q] == want
+    assert retrieval.search_many(rows, queries.limit(0), "id", "q").count() == 0
+
+
+def test_packs_with_another_tokenizer(spark):
+    letters = text.Tokenizer(lambda c: F.split(c, ""), F.length, lambda t: F.array_join(t, ""))
+    rows = [("a.py", "Function", k, k, "x" * n, k) for k, n in enumerate([200, 100, 100, 800], 1)]
+    got = packing.pack_chunks(spark.createDataFrame(rows, BLOCK), tokenizer=letters).orderBy("chunk_no").collect()
+    assert [(r["symbol_type"], r["token_count"]) for r in got] == [("Function (Group)", 302), ("Function", 100), ("Function (Part 1)", 512), ("Function (Part 2)", 352)]
+    assert got[3]["text"].endswith("\n" + "x" * 352)
+
+
+def _stream_rows(n, start, at):
+    return [(1, at + k, start + k, k % 100, "parsing", f"step {start + k}", f"log {start + k}", "m" if k == 0 else "", k % 3) for k in range(n)]
+
+
+def _streamed(spark, tmp_path, batches, ttl_ms=None, pause=0.0):
+    import time
+
+    from cinderlake.streaming.progress import live_progress
+
+    fields = "project_id long, micros long, seq long, progress int, stage string, current_step string, new_log string, model string, chunk_count int"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, states = f"{tmp_path}/in", []
+    made = lambda rows: spark.createDataFrame(rows, fields).withColumn("event_time", F.timestamp_micros("micros")).drop("micros")
+    stream = spark.readStream.schema(made([]).schema).parquet(source + "/*")
+    query = None
+    for k, rows in enumerate(batches):
+        made(rows).coalesce(1).write.parquet(f"{source}/{k}")
+        query = query or live_progress(stream, ttl_ms).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/check").foreachBatch(lambda batch, n: states.extend(batch.collect())).start()
+        if ttl_ms is None:
+            query.processAllAvailable()
+        else:  # waits for its expiries, so that nothing is ever all that is available
+            before, end = len(states), time.time() + 60
+            while len(states) == before and time.time() < end:
+                time.sleep(0.2)
+            time.sleep(pause)
+    query.stop()
+    return states
+
+
+def test_late_updates_replace_only_older_ones(spark, tmp_path):
+    last = _streamed(spark, tmp_path, [_stream_rows(120, 1000, 5_000_000), _stream_rows(120, 0, 1_000_000)])[-1]
+    assert last["current_step"] == "step 1119" and last["model"] == "m" and last["chunk_count"] == 2
+    assert last["logs"] == [f"log {k}" for k in range(1070, 1120)]
+
+
+def test_a_state_expires(spark, tmp_path):
+    states = _streamed(spark, tmp_path, [_stream_rows(3, 0, 1_000), _stream_rows(2, 10, 9_000_000)], ttl_ms=1_000, pause=2.5)
+    assert [s["logs"] for s in states if s["logs"]] == [["log 0", "log 1", "log 2"], ["log 10", "log 11"]]
+
+
+def test_a_run_folder_is_made_once(spark):
+    from cinderlake.session import run_dir, shared_path
+
+    assert run_dir(spark) == run_dir(spark) and shared_path(spark, "x").startswith(run_dir(spark)) and spark.sparkContext.applicationId in run_dir(spark)
+
+
+def test_jdbc_options(spark, monkeypatch):
+    asked = {}
+
+    class Reader:
+        def format(self, kind):
+            asked["format"] = kind
+            return self
+
+        def options(self, **options):
+            asked.update(options)
+            return self
+
+        def load(self):
+            return asked
+
+    class Session:
+        read = Reader()
+
+    assert tables.jdbc_table(Session(), "jdbc:x", "t", "id", 0, 9, 3) == {"format": "jdbc", "url": "jdbc:x", "dbtable": "t", "partitionColumn": "id", "lowerBound": 0, "upperBound": 9, "numPartitions": 3}
+
+
 # --- repository source ------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from contextlib import nullcontext
 
 import duckdb
 import pytest
@@ -35,6 +36,15 @@ def test_entry_and_registry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_queries_survive_a_missing_dependency(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "cinderlake.llm.queries", None)
+    monkeypatch.setitem(sys.modules, "cinderlake.llm", None)
+    with pytest.warns(UserWarning) if __spark_entry__.has_training_data() else nullcontext():
+        assert set(__spark_entry__.queries()) == set(plans.queries())
+
+
 def test_embedding_is_of_unit_length(spark, sf_dir):
     rows = plans.queries()["embed_documents"](spark, sf_dir).collect()
     assert {r["dimensions"] for r in rows} == {768} and {r["length"] for r in rows} <= {0.0, 1.0}
