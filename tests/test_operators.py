@@ -170,6 +170,24 @@ def test_calendar_text(spark):
     assert {"SUMMARY:[BUG] T\\, x", "DTSTAMP:20251231T000000Z", "CREATED:20251201T100000Z", "DTEND:20260101T010000Z", "DESCRIPTION:Project: P\\nDescription: d\\nSubtasks:\\n  [x] a\\n  [ ] "} <= set(whole)
 
 
+def test_feeds_are_written_by_user(spark, tmp_path):
+    feed = spark.createDataFrame([(9, "BEGIN:VCALENDAR\r\nEND:VCALENDAR\r\n"), (10, "x")], "user_id int, value string")
+    calendar.write_feeds(feed, f"{tmp_path}/feeds")
+    read = spark.read.option("wholetext", True).text(f"{tmp_path}/feeds").collect()
+    assert {r["user_id"]: r["value"].rstrip("\n") for r in read} == {9: "BEGIN:VCALENDAR\r\nEND:VCALENDAR\r", 10: "x"}
+
+
+def test_embeddings_are_those_of_the_embedder(spark):
+    import numpy as np
+
+    texts = ["a b", "", None, "b a c"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").repartition(2)
+    got = {r["k"]: r["embedding"] for r in embedding.embed(rows, batch=1).collect()}
+    for k, t in enumerate(texts):
+        want = embedding.hashing_embedder([t or ""])[0]
+        assert np.allclose(got[k], want / (np.linalg.norm(want) or 1), atol=1e-6)
+
+
 def test_tickets(spark):
     rows = [(1, '{"title":"t"}'), (2, '{"title":"t","ticket_type":"epic"}'), (3, '{"ticket_type":"bug"}'), (4, "no json"), (5, None), (6, '{"title":"t","due_date":"2026-08-18T17:00:00+03:00","subtasks":[{"title":"s"}]}'), (7, '{"title":"t","due_date":"soon"}')]
     got = {r["k"]: r for r in tickets.parse(spark.createDataFrame(rows, "k int, json string")).collect()}
