@@ -173,7 +173,7 @@ def test_calendar_text(spark):
 def test_feeds_are_written_by_user(spark, tmp_path):
     feed = spark.createDataFrame([(9, "BEGIN:VCALENDAR\r\nEND:VCALENDAR\r\n"), (10, "x")], "user_id int, value string")
     calendar.write_feeds(feed, f"{tmp_path}/feeds")
-    read = spark.read.option("wholetext", True).text(f"{tmp_path}/feeds").collect()
+    read = spark.read.text(f"{tmp_path}/feeds", wholetext=True).collect()
     assert {r["user_id"]: r["value"].rstrip("\n") for r in read} == {9: "BEGIN:VCALENDAR\r\nEND:VCALENDAR\r", 10: "x"}
 
 
