@@ -5,7 +5,8 @@ round. One is tested if it occurs LEAST times in training, if the context it ext
 if its own words but the last were asked for; it stays if its next words diverge from those of the
 context it extends: if, leaving out each occurrence in turn, they are worth MIN_GAIN nats more in all.
 There is no limit on depth or number. Where a context predicts nearly as well as a longer one could,
-longer ones fail the test, so rounds end by themselves. A context's distribution is smoothed by that of
+longer ones fail the test, so rounds end by themselves; the first that gains less than ROUND_GAIN nats for
+each training token in all is not added. A context's distribution is smoothed by that of
 the context it extends, which counts for STRENGTH words, down to add-one word frequencies. A token is
 scored in the longest context of the tree that ends before it.
 
@@ -28,7 +29,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -36,27 +36,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, ascii_lower, crc_mod, materialize, read_table, shared_path, shuffle_partitions
+from .common import ascii_lower, crc_mod, materialize, read_table, shared_path, shuffle_partitions
 
 #: Nats that a context's next words must be worth beyond the context it extends, over all its occurrences.
 MIN_GAIN = 4.0
+#: Nats for each training token that the contexts of a round are to gain in all; what is below no longer shows in scores.
+ROUND_GAIN = 0.005
 #: Words that the shorter context's distribution counts for, by depth; the last holds for all depths below.
 STRENGTH = (300.0, 40.0, 3.0)
 #: A context that occurs once has nothing left to be tested by when it is left out.
 LEAST = 2
 #: Tokens of a batch, and of the corpus for each range of hashes; of a corpus beyond LINEAR_TOKENS both are more.
 BATCH_TOKENS, RANGE_TOKENS, LINEAR_TOKENS = 600_000, 8_000_000, 8_000_000_000
-#: Code points that a token takes, for a guess at the size of the corpus.
-TOKEN_CHARS = 6
+#: Bytes that a token takes, for a guess at the size of the corpus.
+TOKEN_BYTES = 6
 FOLDS, HELD_OUT = 7, 2
 #: No word holds a line end.
-END = "\n"
+END = b"\n"
 
-_WORDS = regex.compile(WORD).findall
 _TOKENS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("flags", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_train", T.LongType())])
 
 
-def _hash(word: str) -> int:
+def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 7)
 
 
@@ -82,7 +83,7 @@ def _unpack(data: bytes) -> np.ndarray:
 class _Places(dict):
     """Numbers words as they come."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
@@ -110,7 +111,7 @@ def _tokenize(batch_tokens: int):
 
         for batch in batches:
             for doc_id, text, use in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "train")), strict=True):
-                found = _WORDS(text or "")
+                found = (text or b"").split()  # at the blanks of ASCII, which are all that separates words here
                 found.append(END)
                 texts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 ids.append(doc_id or 0)
@@ -158,13 +159,10 @@ class _Batch:
     def deepen(self, totals: np.ndarray, open_: np.ndarray) -> None:
         """Adds the next level. totals: of the last level's keys; open_: whether a token's shorter contexts stayed."""
         last, depth = self.levels[-1], len(self.levels)
-        index = np.full(self.n, -1, np.int32)
-        index[last.at] = np.arange(len(last.at), dtype=np.int32)
-        at = last.at[(self.offset[last.at] >= depth) & open_[last.at]]
-        before = index[at - 1]
-        at, before = at[before >= 0], before[before >= 0]
-        often = totals[last.key[before]] >= LEAST
-        at, context = at[often], last.key[before[often]]
+        at, key = last.at[1:], last.key[:-1]  # tokens, and the keys of those before them where these are asked for too
+        fine = np.flatnonzero((np.diff(last.at) == 1) & (self.offset[at] >= depth) & open_[at])
+        fine = fine[totals[key[fine]] >= LEAST]
+        at, context = at[fine], key[fine]
         word = self.levels[0]
         keys, key = np.unique(_longer(last.keys[context], word.keys[word.key[at]]), return_inverse=True)
         self.levels.append(_Level(at, context, keys, key.astype(np.int32)))
@@ -263,7 +261,7 @@ def _keys(data: bytes) -> np.ndarray:
 #: Rows with a range below 0 hold a batch's scores by the verdicts so far.
 _ASKED = "range long, batch long, keys binary, n binary, contexts binary, gains binary, ids binary, flags binary, sizes binary, scores binary"
 _SCORED = ["ids", "flags", "sizes", "scores"]
-_ANSWER = "range long, batch long, totals binary, stays binary, known long, contexts long, ids binary, flags binary, sizes binary, scores binary"
+_ANSWER = "range long, batch long, totals binary, stays binary, known long, gained double, ids binary, flags binary, sizes binary, scores binary"
 
 
 def _messages(number: int, batch: _Batch, level: _Level, context_keys: np.ndarray, gains: np.ndarray, n_ranges: int) -> pd.DataFrame:
@@ -294,7 +292,7 @@ def _first_questions(tokens: DataFrame, n_ranges: int) -> DataFrame:
 def _answers(asked: DataFrame, min_gain: float) -> DataFrame:
     """For each row asked the corpus counts of its keys and the verdicts on its contexts, in its order.
 
-    Each range adds a row with batch null: how many of its keys occur in training, and how many contexts stay.
+    Each range adds a row with batch null: how many of its keys occur in training, and what the contexts that stay gain.
     """
 
     def merged(parts: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -302,18 +300,18 @@ def _answers(asked: DataFrame, min_gain: float) -> DataFrame:
         distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         return np.bincount(inverse, np.concatenate(values), minlength=len(distinct)), np.split(inverse, np.cumsum([len(p) for p in parts])[:-1])
 
-    columns = ["range", "batch", "totals", "stays", "known", "contexts", *_SCORED]
+    columns = ["range", "batch", "totals", "stays", "known", "gained", *_SCORED]
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         if frame["range"].iloc[0] < 0:
-            return frame.assign(totals=None, stays=None, known=None, contexts=None)[columns]
+            return frame.assign(totals=None, stays=None, known=None, gained=None)[columns]
         frame = frame.sort_values("batch")
         total, places = merged([_keys(x) for x in frame["keys"]], [_integers(x) for x in frame["n"]])
         gain, marks = merged([_keys(x) for x in frame["contexts"]], [np.frombuffer(x, np.float32) for x in frame["gains"]])
         total, stays = total.astype(np.uint64), gain >= min_gain
         rows = [(b, _planes(total[at]), stays[mark].tobytes(), None, None) for b, at, mark in zip(frame["batch"], places, marks, strict=True)]
-        rows.append((None, None, None, int((total > 0).sum()), int(stays.sum())))
-        out = pd.DataFrame(rows, columns=["batch", "totals", "stays", "known", "contexts"]).astype({"batch": "Int64", "known": "Int64", "contexts": "Int64"})
+        rows.append((None, None, None, int((total > 0).sum()), float(gain[stays].sum())))
+        out = pd.DataFrame(rows, columns=["batch", "totals", "stays", "known", "gained"]).astype({"batch": "Int64", "known": "Int64"})
         out.insert(0, "range", int(frame["range"].iloc[0]))
         return out.assign(**dict.fromkeys(_SCORED))[columns]
 
@@ -373,7 +371,7 @@ def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _SCORES = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", min_gain: float = MIN_GAIN, strength: tuple[float, ...] = STRENGTH) -> DataFrame:
+def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", min_gain: float = MIN_GAIN, strength: tuple[float, ...] = STRENGTH, round_gain: float = ROUND_GAIN) -> DataFrame:
     """One row per row of docs: id_col, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` is a SQL condition on docs that picks the rows to learn from; a null verdict is false.
@@ -383,8 +381,8 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     count and are scored each; an empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), ascii_lower(F.col(text_col)).alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
-    guess = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) / TOKEN_CHARS
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(ascii_lower(F.col(text_col)), "UTF-8").alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
+    guess = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / TOKEN_BYTES
     growth = max(1.0, (guess / LINEAR_TOKENS) ** 0.5)
     name, n_buckets = f"tokens_{uuid.uuid4().hex}", shuffle_partitions(spark)
     tokens = rows.mapInArrow(_tokenize(int(BATCH_TOKENS * growth)), _TOKENS)
@@ -395,13 +393,14 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
         n_ranges = max(n_buckets, int(-(-(counts["all"] or 0) // (RANGE_TOKENS * growth))))
         answers = [materialize(_answers(_first_questions(tokens, n_ranges), min_gain), "answers")]
         words = answers[0].filter("batch is null").agg(F.sum("known")).first()[0] or 0
-        sizes, stay = (counts["train"] or 0, words), 1
-        while stay:
+        sizes, least = (counts["train"] or 0, words), round_gain * (counts["train"] or 0)
+        while True:
             depth = len(answers)
             asked = _with_answers(tokens, answers, _questions(depth, sizes, strength, n_ranges), _ASKED)
             answers.append(materialize(_answers(asked, min_gain), "answers"))
-            if depth > 1:  # contexts of one word less than is asked for were tested; if none stays, the scores stand
-                stay = answers[-1].filter("batch is null").agg(F.sum("contexts")).first()[0]
+            # Contexts of one word less than is asked for were tested; if they gain too little, the scores without them stand.
+            if depth > 1 and (answers[-1].filter("batch is null").agg(F.sum("gained")).first()[0] or 0.0) <= least:
+                break
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     scored = answers[-1].filter("range < 0").select(*_SCORED).mapInPandas(_unpacked, _SCORES)
