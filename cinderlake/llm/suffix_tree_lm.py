@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, crc_mod, materialize, read_table, shared_path, shuffle_partitions
+from .common import crc_mod, materialize, read_table, shared_path, shuffle_partitions
 
 #: Nats that a context's next words must be worth beyond the context it extends, over all its occurrences.
 MIN_GAIN = 4.0
@@ -111,7 +111,7 @@ def _tokenize(batch_tokens: int):
 
         for batch in batches:
             for doc_id, text, use in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "train")), strict=True):
-                found = (text or b"").split()  # at the blanks of ASCII, which are all that separates words here
+                found = (text or b"").lower().split()  # bytes know the capitals and blanks of ASCII only, as is wanted here
                 found.append(END)
                 texts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 ids.append(doc_id or 0)
@@ -184,9 +184,7 @@ class _Chain:
         n, v = sizes
         self.batch, self.strength, self.totals = batch, strength, totals
         c = totals[0][batch.levels[0].key].astype(float)
-        self.base = (c + 1) / (n + v + 1)
-        self.known = c > 0
-        self.p, self.q, self.deep = self.base.copy(), np.maximum(c, 1) / max(n + v, 1), np.zeros(batch.n, np.int16)
+        self.p, self.q, self.deep = (c + 1) / (n + v + 1), np.maximum(c, 1) / max(n + v, 1), np.zeros(batch.n, np.int16)
 
     def tested(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens whose context of this depth is to be tested, its number one level above, and p and q with it."""
@@ -296,9 +294,14 @@ def _answers(asked: DataFrame, min_gain: float) -> DataFrame:
     """
 
     def merged(parts: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Sums of the values by key, and each part's keys as numbers."""
-        distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        return np.bincount(inverse, np.concatenate(values), minlength=len(distinct)), np.split(inverse, np.cumsum([len(p) for p in parts])[:-1])
+        """Sums of the values by key, and each part's keys, which ascend, as numbers."""
+        every = np.sort(np.concatenate(parts))
+        distinct = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
+        places = [np.searchsorted(distinct, part) for part in parts]
+        total = np.zeros(len(distinct))
+        for place, value in zip(places, values, strict=True):  # a key occurs once in a part
+            total[place] += value
+        return total, places
 
     columns = ["range", "batch", "totals", "stays", "known", "gained", *_SCORED]
 
@@ -349,8 +352,16 @@ def _questions(depth: int, sizes: tuple[int, int], strength: tuple[float, ...],
         context_keys = batch.levels[depth - 2].keys[found] if depth > 1 else np.zeros(0, np.uint64)
         batch.deepen(totals[depth - 1], chain.deep >= depth - 2)
         out = _messages(number, batch, batch.levels[depth], context_keys, gains, n_ranges)
-        add = lambda x: np.add.reduceat(x.astype(float), batch.starts)
-        scores = np.stack([add(chain.known), add(np.log10(chain.base)), add(np.log10(chain.p))]).tobytes()
+        if depth < 2:  # never the last round
+            return out
+        add = lambda x: np.add.reduceat(x, batch.starts)
+        word = batch.levels[0]
+        by_word = lambda x: add(x[word.key])
+        base = np.log10((totals[0] + 1) / (sizes[0] + sizes[1] + 1))
+        log_p = base[word.key]
+        at = np.flatnonzero(chain.deep)
+        log_p[at] = np.log10(chain.p[at])
+        scores = np.stack([by_word((totals[0] > 0).astype(float)), by_word(base), add(log_p)]).tobytes()
         own = {"range": -1 - number, "batch": number, "ids": batch.ids, "flags": batch.flags, "sizes": batch.sizes.tobytes(), "scores": scores}
         return pd.concat([out, pd.DataFrame([own])], ignore_index=True)[out.columns]
 
@@ -381,7 +392,7 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     count and are scored each; an empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(ascii_lower(F.col(text_col)), "UTF-8").alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     guess = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / TOKEN_BYTES
     growth = max(1.0, (guess / LINEAR_TOKENS) ** 0.5)
     name, n_buckets = f"tokens_{uuid.uuid4().hex}", shuffle_partitions(spark)
