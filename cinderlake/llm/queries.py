@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, line_dedup, mixing, piece_bpe, preference_format, quality_classifier, quality_rules, simhash, suffix_tree_lm, token_counts, vector_codes
+from . import collocations, decontamination, exact_dedup, line_dedup, mixing, piece_bpe, preference_format, quality_classifier, quality_rules, simhash, suffix_tree_lm, token_counts, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_dropout": piece_bpe.op8_piece_dropout,
         "op9_simhash": simhash.op9_simhash,
         "op10_suffix_tree_score": suffix_tree_lm.op10_suffix_tree_score,
+        "op11_phrases": collocations.op11_phrases,
         "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_decontamination": decontamination.op13_decontamination,
         "pipeline": corpus_pipeline.run,
@@ -34,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_preference_format": preference_format.OP2_SQL,
         "op5_poisson_mix": mixing.OP5_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
+        "op11_phrases": collocations.OP11_SQL,
         "op12_vector_codes": vector_codes.OP12_SQL,
         "op13_decontamination": decontamination.OP13_SQL,
     }
