@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, read_table
 
@@ -186,7 +187,7 @@ def _added(blocks: DataFrame, shape: tuple[int, int, int]) -> tuple[np.ndarray,
                 sums += np.frombuffer(moved, np.int64).reshape(shape)
                 counts += np.frombuffer(n, np.int64).reshape(parts, n_entries)
         at = np.flatnonzero(sums.reshape(-1, width).any(axis=1) | (counts.ravel() != 0))
-        yield pd.DataFrame({"entry": at, "n": counts.ravel()[at], "total": list(sums.reshape(-1, width)[at])})
+        yield pd.DataFrame({"entry": at, "n": counts.ravel()[at], "total": pd.Series(sums.reshape(-1, width)[at].tolist(), dtype=object)})
 
     changes = blocks.select("moved", "counts").mapInPandas(add, "entry long, n long, total array<long>")
     totals = [F.sum(F.get("total", F.lit(k))).alias(f"s{k}") for k in range(width)]
@@ -251,8 +252,8 @@ def decode_codes(codes: DataFrame, codebooks: np.ndarray, code_col: str = "code"
         for frame in frames:
             yield frame.assign(decoded=[None if c is None else np.concatenate([books[p][e] for p, e in enumerate(bytes.fromhex(c))]) for c in frame[code_col]])
 
-    schema = codes.schema.add("decoded", "array<double>") if "decoded" not in codes.columns else codes.schema
-    return codes.mapInPandas(decode, schema)
+    codes = codes.drop("decoded")
+    return codes.mapInPandas(decode, T.StructType([*codes.schema.fields, T.StructField("decoded", T.ArrayType(T.DoubleType()))]))
 
 
 def digest(codebooks: np.ndarray) -> str:
