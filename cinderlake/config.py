@@ -57,3 +57,8 @@ class ChunkingConfig:
         step = self.slice_tokens - self.slice_overlap
         more = F.greatest(F.ceil((n_tokens - self.slice_tokens) / F.lit(float(step))), F.lit(0)) + 1
         return F.when(n_tokens > 0, more).otherwise(0).cast("int")
+
+    def n_slices(self, n_tokens: int) -> int:
+        """slices, for plain numbers; one at least."""
+        step = self.slice_tokens - self.slice_overlap
+        return max(0, -(-(n_tokens - self.slice_tokens) // step)) + 1

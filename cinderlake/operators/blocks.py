@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .folds import PIECE_ROWS, EnclosingFold, fold_files
 
 #: (symbol type, name, first line, last line)
 Found = tuple[str, str, int, int]
@@ -114,24 +115,17 @@ def extract_blocks(files: DataFrame, path_col: str = "filepath", code_col: str =
     return chosen.mapInPandas(extract, "filepath string, symbol_type string, start_line int, end_line int, code string, name string, pos int")
 
 
-def file_classes(blocks: DataFrame, signature: Column) -> DataFrame:
-    """__file, classes: for each file its classes with a signature, outermost first (the smallest start, then the largest end)."""
-    one = F.struct("start_line", (-F.col("end_line")).alias("back"), signature.alias("signature"))
-    named = blocks.filter("symbol_type = 'Class'").select(F.col("filepath").alias("__file"), one.alias("c")).filter("c.signature is not null")
-    return named.groupBy("__file").agg(F.sort_array(F.collect_list("c")).alias("classes"))
-
-
-def outermost(classes: Column, start: Column, end: Column) -> Column:
-    """The signature of the first of a file's classes around lines, '' for none."""
-    around = F.filter(classes, lambda c: (c["start_line"] <= start) & (-c["back"] >= end))
-    return F.coalesce(F.get(around, F.lit(0))["signature"], F.lit(""))
+def with_enclosing(rows: DataFrame, signature: Column, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """rows (filepath, symbol_type, start_line, end_line, pos, ...) with enclosing: the signature of the outermost class around each, '' for none.
 
+    Classes without a signature count for nothing; of classes over the same lines the smallest signature counts. A
+    null path is ''. Rows are swept by their starts, over files of any size; see folds.
+    """
+    named = rows.withColumn("class_signature", F.when(F.col("symbol_type") == "Class", signature))
+    order = [F.col("start_line"), F.col("end_line").desc(), F.col("class_signature").isNull(), F.col("class_signature"), F.col("pos")]
+    return fold_files(named, F.coalesce("filepath", F.lit("")), order, EnclosingFold(), piece_rows).drop("class_signature")
 
-def enclosing_classes(blocks: DataFrame) -> DataFrame:
-    """blocks with enclosing: the signature of the outermost class around each block, '' for none.
 
-    A file's classes are one array, which its blocks meet in one join and search in place.
-    """
-    classes = file_classes(blocks, text.enclosing_signature(F.col("code")))
-    joined = blocks.join(classes, blocks["filepath"] == classes["__file"], "left")
-    return joined.withColumn("enclosing", outermost(F.col("classes"), F.col("start_line"), F.col("end_line"))).drop("__file", "classes")
+def enclosing_classes(blocks: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """blocks with enclosing, from their code; see with_enclosing."""
+    return with_enclosing(blocks, text.enclosing_signature(F.col("code")), piece_rows)

@@ -5,17 +5,14 @@ Token counts and arrays of tokens come in as columns, or through a text.Tokenize
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import ChunkingConfig
 from ..functions import text
 from ..session import materialize
-from .blocks import file_classes, outermost
+from .blocks import with_enclosing
+from .folds import PIECE_ROWS, PackFold, fold_files
 
 DEFAULT = ChunkingConfig()
 
@@ -38,72 +35,49 @@ def guardrails(blocks: DataFrame, tokens_col: str = "tokens", config: ChunkingCo
     return whole.unionByName(parts)
 
 
-def _folded(frames: Iterator[pd.DataFrame], config: ChunkingConfig) -> Iterator[pd.DataFrame]:
-    """place and pack of blocks that come sorted by file and place in it; an oversized block is a pack alone."""
-    held, place, pack, current, is_open = object(), 0, -1, 0, False
-    for frame in frames:
-        places, packs = [], []
-        for path, n in zip(frame["__file"], frame["n_tokens"].tolist(), strict=True):
-            if path != held:
-                held, place, pack, current, is_open = path, 0, -1, 0, False
-            else:
-                place += 1
-            large = n > config.oversized_tokens
-            if is_open and not large and config.absorbs(current, n):
-                current += n
-            else:
-                pack, current = pack + 1, n
-            is_open = not large
-            places.append(place)
-            packs.append(pack)
-        yield frame.assign(place=places, pack=packs)
-
-
-def assign_packs(blocks: DataFrame, config: ChunkingConfig = DEFAULT, file_col: str = "filepath") -> DataFrame:
-    """blocks (file_col, symbol_type, start_line, end_line, pos, n_tokens, ...) with place in the file, pack and oversized.
+def assign_packs(blocks: DataFrame, config: ChunkingConfig = DEFAULT, file_col: str = "filepath", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """blocks (file_col, symbol_type, start_line, end_line, pos, n_tokens, ...) with place in the file, pack, chunk (chunks of the packs before), single_class and oversized.
 
     A file with one class among several blocks, and that class within the ceiling, keeps the class
     only. Else classes go unless there is nothing else. Blocks fold in the order of start, then the
-    larger end: files are dealt to partitions and sorted there, and one pass holds a few numbers of the
-    file it is at. Blocks without their code are cheaper to move.
+    larger end, then pos, over files of any size; see folds. A null path is the file ''. Blocks without their
+    code are cheaper to move.
     """
-    is_class = F.col("symbol_type") == "Class"
-    per_file = Window.partitionBy(file_col)
-    n_class, n_all = F.count_if(is_class).over(per_file), F.count("*").over(per_file)
-    class_tokens = F.max(F.when(is_class, F.col("n_tokens"))).over(per_file)
-    single = (n_class == 1) & (n_all > 1) & config.keeps_class_whole(class_tokens)
-    chosen = blocks.withColumns({"single_class": F.coalesce(single, F.lit(False)), "only_classes": n_class == n_all})
-    chosen = chosen.filter(F.when(F.col("single_class"), is_class).otherwise(~is_class | F.col("only_classes"))).drop("only_classes")
-    chosen = chosen.withColumn("__file", F.coalesce(F.col(file_col), F.lit("")))
-    ordered = chosen.repartition("__file").sortWithinPartitions("__file", "start_line", F.desc("end_line"), "pos")
-    schema = T.StructType([*ordered.schema.fields, T.StructField("place", T.IntegerType()), T.StructField("pack", T.IntegerType())])
-    placed = ordered.mapInPandas(lambda frames: _folded(frames, config), schema).drop("__file")
+    is_class, file = F.col("symbol_type") == "Class", F.coalesce(F.col(file_col), F.lit(""))
+    facts = blocks.groupBy(file.alias("__of")).agg(F.count_if(is_class).alias("__classes"), F.count("*").alias("__all"), F.max(F.when(is_class, F.col("n_tokens"))).alias("__tokens"))
+    single = (F.col("__classes") == 1) & (F.col("__all") > 1) & config.keeps_class_whole(F.col("__tokens"))
+    chosen = blocks.join(facts, file == F.col("__of")).withColumn("single_class", F.coalesce(single, F.lit(False)))
+    chosen = chosen.filter(F.when(F.col("single_class"), is_class).otherwise(F.coalesce(~is_class, F.lit(True)) | (F.col("__classes") == F.col("__all"))))
+    chosen = chosen.drop("__of", "__classes", "__all", "__tokens")
+    placed = fold_files(chosen, file, [F.col("start_line"), F.col("end_line").desc(), F.col("pos")], PackFold(config), piece_rows)
     return placed.withColumn("oversized", config.is_oversized(F.col("n_tokens")) & ~F.col("single_class"))
 
 
-def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT, tokenizer: text.Tokenizer = text.WORDS) -> DataFrame:
+def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT, tokenizer: text.Tokenizer = text.WORDS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Chunks of blocks (filepath, symbol_type, start_line, end_line, code, pos): filepath, chunk_no, start_line, end_line, symbol_type, text, token_count.
 
     A pack's code is joined by empty lines under one header, its types are named in the order they
     appear, and its lines reach from its first block's first to its last block's last. What is left at
     the end of a file is stitched to the chunk before if both fit the ceiling; that chunk's header and
-    type stay as they were. pos tells a file's blocks apart; a null code counts as empty. Blocks are
-    counted once, folded without their code, and meet it again in one join.
+    type stay as they were. pos tells a file's blocks apart; a null code counts as empty, and a null path as ''.
+    Blocks are counted once, swept and folded without their code, and meet it again in one join. No step has
+    a whole file in a task.
     """
     code = F.coalesce("code", F.lit(""))
+    blocks = blocks.withColumn("filepath", F.coalesce("filepath", F.lit("")))
     signature = F.when(F.col("symbol_type") == "Class", text.enclosing_signature(code))
     narrow = materialize(blocks.select("filepath", "pos", "symbol_type", "start_line", "end_line", tokenizer.count(code).alias("n_tokens"), signature.alias("signature")), "blocks")
-    packed = assign_packs(narrow.drop("signature"), config)
-    classes = file_classes(narrow, F.col("signature"))
-    packed = packed.join(classes, packed["filepath"] == classes["__file"], "left")
-    packed = packed.withColumn("enclosing", outermost(F.col("classes"), F.col("start_line"), F.col("end_line"))).drop("__file", "classes")
-    coded = materialize(packed, "packs").join(blocks.select("filepath", "pos", code.alias("code")), ["filepath", "pos"])
+    named = with_enclosing(narrow, F.col("signature"), piece_rows).drop("signature")
+    packed = materialize(assign_packs(named, config, piece_rows=piece_rows), "packs")
+    size = F.when(F.col("oversized"), F.greatest(config.slices(F.col("n_tokens")), F.lit(1))).otherwise(F.lit(1))
+    sizes = packed.groupBy(F.col("filepath").alias("of")).agg(F.max(F.col("chunk") + size).alias("n_chunks"))
+    coded = packed.join(sizes, F.col("filepath") == F.col("of")).drop("of").join(blocks.select("filepath", "pos", code.alias("code")), ["filepath", "pos"])
     one = F.struct("place", "symbol_type", "start_line", "end_line", "code", "enclosing", "n_tokens", "oversized", "single_class")
-    packs = coded.groupBy("filepath", "pack").agg(F.sort_array(F.collect_list(one)).alias("b"))  # code of a pack is bounded, or one block
+    packs = coded.groupBy("filepath", "pack").agg(F.first("chunk").alias("chunk"), F.first("n_chunks").alias("n_chunks"), F.sort_array(F.collect_list(one)).alias("b"))  # code of a pack is bounded, or one block
     first, last = F.col("b")[0], F.element_at("b", -1)
     types = F.array_join(F.array_distinct(F.transform("b", lambda x: x["symbol_type"])), " & ")
     packs = packs.select(
-        "filepath", "pack", first["start_line"].alias("start_line"), last["end_line"].alias("end_line"), first["oversized"].alias("oversized"), first["symbol_type"].alias("base_type"),
+        "filepath", "chunk", "n_chunks", first["start_line"].alias("start_line"), last["end_line"].alias("end_line"), first["oversized"].alias("oversized"), first["symbol_type"].alias("base_type"),
         F.when(first["single_class"], F.lit("")).otherwise(first["enclosing"]).alias("enclosing"),
         F.concat(types, F.when(F.size("b") > 1, F.lit(" (Group)")).otherwise(F.lit(""))).alias("symbol_type"),
         F.array_join(F.transform("b", lambda x: x["code"]), "\n\n").alias("code"),
@@ -115,7 +89,7 @@ def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT, tokenizer:
     step = config.slice_tokens - config.slice_overlap
     piece = F.slice("tokens", (F.col("part") - 1) * step + 1, F.lit(config.slice_tokens))
     chunks = sliced.select(
-        "filepath", "pack", "part", "start_line", "end_line", (~F.col("oversized")).alias("foldable"),
+        "filepath", (F.col("chunk") + F.col("part")).alias("chunk_no"), "n_chunks", "start_line", "end_line", (~F.col("oversized")).alias("foldable"),
         F.when(F.col("oversized"), F.concat("base_type", F.lit(" (Part "), F.col("part").cast("string"), F.lit(")"))).otherwise(F.col("symbol_type")).alias("symbol_type"),
         F.when(F.col("oversized"), head("base_type")).otherwise(head("symbol_type")).alias("header"),
         F.when(F.col("oversized"), tokenizer.join(piece)).otherwise(F.col("code")).alias("code"),
@@ -125,11 +99,12 @@ def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT, tokenizer:
 
 
 def _stitched(chunks: DataFrame, config: ChunkingConfig) -> DataFrame:
-    """Joins a file's last pack to the chunk before it where both fit."""
-    order = Window.partitionBy("filepath").orderBy("pack", "part")
-    numbered = chunks.withColumns({"chunk_no": F.row_number().over(order), "is_last": F.lead("pack").over(order).isNull(), "before": F.lag("token_count").over(order)})
-    joins = F.col("is_last") & F.col("foldable") & F.col("before").isNotNull() & config.can_stitch(F.col("before"), F.col("token_count"))
-    numbered = numbered.withColumn("joins", F.coalesce(joins, F.lit(False)))
+    """Joins a file's last pack to the chunk before it where both fit; only a file's last two chunks come together."""
+    tail = F.when(F.col("chunk_no") < F.col("n_chunks") - 1, F.col("chunk_no")).otherwise(0)
+    order = Window.partitionBy("filepath", "tail").orderBy("chunk_no")
+    before = F.lag("token_count").over(order)
+    joins = (F.col("chunk_no") == F.col("n_chunks")) & F.col("foldable") & before.isNotNull() & config.can_stitch(before, F.col("token_count"))
+    numbered = chunks.withColumn("tail", tail).withColumn("joins", F.coalesce(joins, F.lit(False)))
     taken = lambda c: F.when(F.lead("joins").over(order), F.lead(c).over(order))
     out = numbered.withColumns({"more_code": taken("code"), "more_end": taken("end_line"), "more_tokens": taken("token_count")})
     body = F.concat("header", "code", F.coalesce(F.concat(F.lit("\n\n"), "more_code"), F.lit("")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..session import materialize
-from .embedding import Embedder, embed_query
+from .embedding import Embedder, embed, embed_query
 
 TOP_K = 4
 #: Queries that go to all rows at once.
@@ -42,17 +42,28 @@ def top_k_per_key(rows: DataFrame, queries: DataFrame, key: str, id_col: str, k:
     return near.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("distance", rounded(F.col("distance"))).drop("query")
 
 
+def usable_vectors(rows: DataFrame, id_col: str, embedding_col: str) -> DataFrame:
+    """id and e (in double precision) of rows with an id and a vector of finite components."""
+    found = rows.select(F.col(id_col).cast("long").alias("id"), vectors.as_double(F.col(embedding_col)).alias("e"))
+    finite = F.forall("e", lambda x: F.coalesce((x < float("inf")) & (x > float("-inf")), F.lit(False)))
+    return found.filter(F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & finite)
+
+
 def search_many(rows: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = TOP_K, embedding_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """query_col, rank, id_col, distance: the k nearest rows to each of queries (query_col, embedding_col), ties by id.
 
     Queries go to all rows in blocks of a fixed size, which bounds what is sent. A partition brings the
-    k best for each query of a block, and what the partitions bring is ranked by query.
+    k best for each query of a block, and what the partitions bring is ranked by query. Queries and rows without
+    an id, a vector or finite components take no part, nor do rows of another length than a query.
     """
     found: DataFrame | None = None
-    numbered = materialize(queries.select(F.col(query_col).cast("long").alias("query"), vectors.as_double(F.col(embedding_col)).alias("e"), F.pmod(F.xxhash64(query_col), F.lit(max(1, -(-queries.count() // block)))).alias("block")), "queries")
-    source = rows.select(F.col(id_col).cast("long").alias("id"), vectors.as_double(F.col(embedding_col)).alias("e")).filter("e is not null")
-    for number in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
-        held = numbered.filter(F.col("block") == number).orderBy("query").collect()  # about block rows
+    asked = usable_vectors(queries, query_col, embedding_col)
+    numbered = asked.select(F.col("id").alias("query"), "e", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block)))).alias("block"), F.size("e").alias("length"))
+    numbered = materialize(numbered, "queries")
+    usable = usable_vectors(rows, id_col, embedding_col)
+    for number, length in sorted((r["block"], r["length"]) for r in numbered.select("block", "length").distinct().collect()):
+        held = numbered.filter((F.col("block") == number) & (F.col("length") == length)).orderBy("query").collect()  # about block rows
+        source = usable.filter(F.size("e") == length)
         ids, matrix = np.array([r["query"] for r in held], np.int64), _unit(np.array([r["e"] for r in held], float))
 
         def nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
@@ -72,7 +83,7 @@ def search_many(rows: DataFrame, queries: DataFrame, id_col: str, query_col: str
         part = source.mapInArrow(nearest, "query long, id long, distance double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = source.sparkSession.createDataFrame([], "query long, id long, distance double")
+        found = rows.sparkSession.createDataFrame([], "query long, id long, distance double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 12), "id"))
     ranked = found.withColumn("rank", place).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias(query_col), "rank", F.col("id").alias(id_col), rounded(F.col("distance")).alias("distance"))
@@ -103,6 +114,27 @@ def retrieve_text(chunks: DataFrame, project: int, query: str, embedder: Embedde
     return render_context(made).first()["context"]
 
 
+def retrieve_many(chunks: DataFrame, requests: DataFrame, embedder: Embedder, k: int = TOP_K) -> DataFrame:
+    """request_id and context, the text that retrieve_text gives, for each of requests (request_id, project_id, query).
+
+    Requests are embedded in batches and meet the chunks of their project; k chunks a request are kept
+    in each partition before they are ranked. Requests of projects without chunks get '' and are not embedded. A null
+    project has no chunks, and a null query counts as empty.
+    """
+    indexed = requests.join(chunks.select("project_id").distinct(), "project_id", "left_semi")
+    asked = embed(indexed.select("request_id", F.col("project_id").alias("of"), F.coalesce("query", F.lit("")).alias("text")), embedder)
+    asked = materialize(asked.select("request_id", "of", F.col("embedding").alias("query")), "requests")
+    own = chunks.join(asked, chunks["project_id"] == asked["of"])
+    near = with_distance(own, vectors.as_double(F.col("query")))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("distance", "chunk_key"))
+    found = near.withColumn("rank", place).filter(F.col("rank") <= k)
+    found = found.select("request_id", "rank", snippet(F.col("filepath"), F.col("start_line"), F.col("end_line"), F.col("text")).alias("snippet"))
+    parts = F.sort_array(F.collect_list(F.struct("rank", "snippet")))  # at most k rows
+    contexts = found.groupBy(F.col("request_id").alias("found_id")).agg(F.array_join(parts["snippet"], "\n\n").alias("context"))
+    joined = requests.join(contexts, requests["request_id"].eqNullSafe(F.col("found_id")), "left")
+    return joined.select("request_id", F.coalesce("context", F.lit("")).alias("context"))
+
+
 def snippet(filepath: Column, start: Column, end: Column, code: Column) -> Column:
     """One retrieved chunk as text; lines only where both are known."""
     lines = F.when((start != 0) & (end != 0), F.concat(F.lit(" (Lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(")"))).otherwise(F.lit(""))

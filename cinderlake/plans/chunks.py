@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import blocks, discovery, packing
+from ..session import materialize
 from ..sources.tables import table
 
 #: Endings that stand-in paths get in turn.
@@ -131,7 +132,7 @@ def _repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repository_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From files to chunks: extraction, then packs."""
-    out = packing.pack_chunks(blocks.extract_blocks(_repositories(spark, sf_dir)))
+    out = packing.pack_chunks(materialize(blocks.extract_blocks(_repositories(spark, sf_dir)), "extracted"))
     return out.select("filepath", "start_line", "end_line", "symbol_type", "token_count", F.md5("text").alias("text_md5"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import embedding, retrieval
+from ..operators import embedding, pruned_search, retrieval
 from ..sources.tables import table
 
 
@@ -33,16 +34,38 @@ def vector_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search_many(rows, queries, "vec_id", "query_id")
 
 
+def vector_search_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as vector_search_many, over pages that are skipped by their bounds."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found, _ = pruned_search.search_pages(pruned_search.page_vectors(rows, "vec_id"), queries, "query_id")
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def vector_search_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows vector_search_pruned reads for each query, of how many."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    paged = pruned_search.page_vectors(rows, "vec_id")
+    return pruned_search.search_pages(paged, queries, "query_id")[1].withColumn("n_rows", F.lit(paged.n_rows).cast("long"))
+
+
+def _fixed_embedder(vector: list[float]) -> embedding.Embedder:
+    return lambda texts: np.tile(np.array(vector, np.float64), (len(texts), 1))
+
+
 def retrieve_in_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels stand for projects: the context of each of the first labels, and of one that has no chunks."""
-    rows, query = table(spark, sf_dir, "embeddings"), _query(spark, sf_dir)
-    out = None
-    for label in (0, 1, -1):
-        found = retrieval.top_k(rows.filter(F.col("label") == label), query, "vec_id")
-        made = found.select("distance", F.col("vec_id").alias("chunk_key"), retrieval.snippet(F.concat(F.lit("v"), F.col("vec_id").cast("string")), F.lit(1), F.lit(2), F.col("label").cast("string")).alias("snippet"))
-        one = retrieval.render_context(made).withColumn("label", F.lit(label))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Labels stand for projects: the context of each label, and of one that has no chunks."""
+    rows = table(spark, sf_dir, "embeddings")
+    path = F.concat(F.lit("v"), F.col("vec_id").cast("string"))
+    chunks = rows.select(
+        F.col("label").alias("project_id"), F.col("vec_id").alias("chunk_key"), path.alias("filepath"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"),
+        F.lit("").alias("symbol_type"), F.col("label").cast("string").alias("text"), "embedding",
+    )
+    asked = rows.select("label").distinct().unionByName(spark.createDataFrame([(-1,)], "label int"))
+    requests = asked.select(F.col("label").alias("request_id"), F.col("label").alias("project_id"), F.lit("any").alias("query"))
+    out = retrieval.retrieve_many(chunks, requests, _fixed_embedder(_query(spark, sf_dir)))
+    return out.withColumnRenamed("request_id", "label")
 
 
 def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +102,12 @@ _TOP_K = f"""
     SELECT vec_id, label, {_DISTANCE} AS d
     FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, (SELECT arg_min(embedding, vec_id)::DOUBLE[] FROM embeddings) AS q FROM embeddings))
   ORDER BY d, vec_id LIMIT 4"""
+_SEARCH = f"""
+SELECT query_id, "rank", vec_id, round(d, 4) + 0.0::DOUBLE AS distance FROM (
+  SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 12), vec_id)::INT AS "rank"
+  FROM (SELECT query_id, vec_id, {_DISTANCE} AS d
+        FROM (SELECT f.vec_id AS query_id, x.vec_id, x.embedding::DOUBLE[] AS e, f.embedding::DOUBLE[] AS q FROM embeddings x, embeddings f WHERE f.vec_id % 50 = 0)))
+WHERE "rank" <= 4"""
 
 QUERIES = {
     "vector_topk_cosine": (vector_topk_cosine, _TOP_K),
@@ -92,23 +121,17 @@ SELECT label, "rank", vec_id, round(d, 4) + 0.0::DOUBLE AS distance FROM (
               JOIN (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label) f ON x.label = f.label)))
 WHERE "rank" <= 4""",
     ),
-    "vector_search_many": (
-        vector_search_many,
-        f"""
-SELECT query_id, "rank", vec_id, round(d, 4) + 0.0::DOUBLE AS distance FROM (
-  SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 12), vec_id)::INT AS "rank"
-  FROM (SELECT query_id, vec_id, {_DISTANCE} AS d
-        FROM (SELECT f.vec_id AS query_id, x.vec_id, x.embedding::DOUBLE[] AS e, f.embedding::DOUBLE[] AS q FROM embeddings x, embeddings f WHERE f.vec_id % 50 = 0)))
-WHERE "rank" <= 4""",
-    ),
+    "vector_search_many": (vector_search_many, _SEARCH),
+    "vector_search_pruned": (vector_search_pruned, _SEARCH),
+    "vector_search_reads": (vector_search_reads, None),
     "retrieve_in_project": (
         retrieve_in_project,
         f"""
 WITH near AS (
   SELECT label, vec_id, d, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS k
   FROM (SELECT vec_id, label, {_DISTANCE} AS d FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, (SELECT arg_min(embedding, vec_id)::DOUBLE[] FROM embeddings) AS q FROM embeddings)))
-SELECT l.label, coalesce(string_agg('--- Code Snippet from v' || vec_id || ' (Lines 1-2) ---' || chr(10) || near.label || chr(10), chr(10) || chr(10) ORDER BY round(d, 4), vec_id), '') AS context
-FROM (VALUES (0), (1), (-1)) AS l(label) LEFT JOIN near ON near.label = l.label AND k <= 4 GROUP BY l.label""",
+SELECT l.label, coalesce(string_agg('--- Code Snippet from v' || vec_id || ' (Lines 1-2) ---' || chr(10) || near.label || chr(10), chr(10) || chr(10) ORDER BY k), '') AS context
+FROM (SELECT DISTINCT label FROM embeddings UNION SELECT -1) AS l(label) LEFT JOIN near ON near.label = l.label AND k <= 4 GROUP BY l.label""",
     ),
     "vector_normalize": (
         vector_normalize,
