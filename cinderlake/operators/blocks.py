@@ -1,9 +1,8 @@
 """Class and function blocks of source files.
 
-Parsing sits behind a small extractor for each language; Spark deals the files out. Python files go
-through the standard library's parser, or by indentation where they are broken, others through a scan of braces
-outside comments and quoted text. Both are stand-ins for a grammar-based parser, so block borders may
-differ where code is broken or unusual.
+Python files go through the standard library's parser, or by indentation where they are broken, one at a time in
+tasks; the brace languages through tables of lexemes. Both are stand-ins for a grammar-based parser, so block
+borders may differ where code is broken or unusual.
 """
 
 from __future__ import annotations
@@ -19,19 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .folds import PIECE_ROWS, EnclosingFold, fold_files
+from .lexemes import LANGUAGES, extract_lexeme_blocks
 
 #: (symbol type, name, first line, last line)
 Found = tuple[str, str, int, int]
 Extractor = Callable[[str], list[Found]]
 
-_BRACE_HEADS = re.compile(
-    r"^[ \t]*(?:(?:export|default|public|protected|private|static|final|abstract|async)\s+)*"
-    r"(?:(?P<cls>class|interface|record)\s+(?P<cname>\w+)|function\s*\*?\s*(?P<fname>\w+)\s*\(|(?:const|let|var)\s+(?P<aname>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"
-    r"|(?:[\w<>\[\], ]+\s+)?(?P<mname>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|else\b|new\b)\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w, ]+)?\{)",
-    re.M,
-)
-
-
 def python_blocks(code: str) -> list[Found]:
     """Classes and functions by the standard library's parser, or by indentation where the code does not parse."""
     try:
@@ -63,38 +55,8 @@ def indented_blocks(code: str) -> list[Found]:
     return out
 
 
-_QUIET = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?", re.S)
-
-
-def quiet(code: str) -> str:
-    """code of the same lines and length, with blanks for comments and for what stands in quotes."""
-    return _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
-
-
-def brace_blocks(code: str) -> list[Found]:
-    """Blocks whose head a pattern finds, up to the brace that closes them; comments and quoted text count for nothing.
-
-    A block that is never closed ends with the code.
-    """
-    code = quiet(code)
-    closes, opened = {}, []
-    for m in re.finditer(r"[{}]", code):
-        if m[0] == "{":
-            opened.append(m.start())
-        elif opened:
-            closes[opened.pop()] = m.start()
-    last, out = max(len(code.rstrip()) - 1, 0), []
-    for m in _BRACE_HEADS.finditer(code):
-        at = code.find("{", m.end() - 1)
-        if at < 0 or ";" in code[m.end() : at] or "\n\n" in code[m.end() : at]:
-            continue
-        start, end = m.end(0) - len(m[0].lstrip()), closes.get(at, last)
-        name = m["cname"] or m["fname"] or m["aname"] or m["mname"]
-        out.append(("Class" if m["cls"] else "Function", name, code.count("\n", 0, start) + 1, code.count("\n", 0, end) + 1))
-    return out
-
-
-EXTRACTORS: dict[str, Extractor] = {".py": python_blocks, ".js": brace_blocks, ".jsx": brace_blocks, ".ts": brace_blocks, ".tsx": brace_blocks, ".java": brace_blocks}
+#: Extractors that run in tasks. Files of the brace languages that none is given for go through tables of lexemes.
+EXTRACTORS: dict[str, Extractor] = {".py": python_blocks}
 
 
 def extract_blocks(files: DataFrame, path_col: str = "filepath", code_col: str = "code", extractors: dict[str, Extractor] | None = None) -> DataFrame:
@@ -112,7 +74,9 @@ def extract_blocks(files: DataFrame, path_col: str = "filepath", code_col: str =
             yield pd.DataFrame(rows, columns=["filepath", "symbol_type", "start_line", "end_line", "code", "name", "pos"])
 
     chosen = files.select(F.col(path_col).alias("filepath"), F.col(code_col).alias("code")).filter(text.language(F.col("filepath")).isNotNull())
-    return chosen.mapInPandas(extract, "filepath string, symbol_type string, start_line int, end_line int, code string, name string, pos int")
+    ending = text.file_extension(F.col("filepath"))
+    in_tasks = chosen.filter(ending.isin(*known)).mapInPandas(extract, "filepath string, symbol_type string, start_line int, end_line int, code string, name string, pos int")
+    return in_tasks.unionByName(extract_lexeme_blocks(chosen.filter(ending.isin(*(e for e in LANGUAGES if e not in known)))))
 
 
 def with_enclosing(rows: DataFrame, signature: Column, piece_rows: int = PIECE_ROWS) -> DataFrame:
