@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import auth, progress, relational
 from ..session import shared_path
 from ..sources.tables import table
-from ..streaming.progress import live_progress
+from ..streaming.progress import TTL_MS, expiring_progress, live_progress, read_states
 
 #: Of the throttle query: so that events, which are rare, meet the limit.
 HITS, SECONDS = 2, 86_400
@@ -80,6 +80,21 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("project_id", "s.status", "s.progress", "s.stage", "s.current_step", F.coalesce("s.model", F.lit("")).alias("model"), "s.chunk_count", F.array_join("s.logs", "\n").alias("logs"))
 
 
+def progress_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each project whether its state is still live ten minutes of event time after its last update, and the live state, read from the state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, checkpoint = shared_path(spark, "updates"), shared_path(spark, "stream")
+    _updates(spark, sf_dir).write.parquet(source)
+    stream = spark.readStream.schema(_updates(spark, sf_dir).schema).option("maxFilesPerTrigger", 1000).parquet(source)
+    query = expiring_progress(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: batch.write.format("noop").mode("append").save()).trigger(availableNow=True).start()
+    query.awaitTermination()
+    projects = _updates(spark, sf_dir).select("project_id").distinct()
+    live = read_states(spark, checkpoint).withColumn("live", F.lit(True))
+    found = projects.join(live, "project_id", "left")
+    shown = [F.coalesce(c, F.lit("")).alias(c) for c in ("status", "stage", "current_step")]
+    return found.select("project_id", F.coalesce("live", F.lit(False)).alias("live"), *shown, F.coalesce("progress", F.lit(0)).alias("progress"), F.coalesce(F.array_join("logs", "\n"), F.lit("")).alias("logs"))
+
+
 def log_tail50(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat("event_type", F.lit(" "), F.col("value").cast("string")).alias("line"))
     return progress.log_tail(lines, "user_id", "event_id").select("user_id", "event_id", "line")
@@ -172,6 +187,14 @@ SELECT event_id, allowed FROM f""",
 logs AS (SELECT user_id, string_agg('log ' || event_id, chr(10) ORDER BY ts, event_id) AS logs FROM lines WHERE k <= 50 GROUP BY user_id)
 SELECT latest.*, logs FROM latest JOIN logs ON user_id = project_id""",
     ),
+    "progress_expiring": (
+        progress_expiring,
+        f"""WITH {_LATEST}, lines AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events),
+logs AS (SELECT user_id, max(ts) AS last_ts, string_agg('log ' || event_id, chr(10) ORDER BY ts, event_id) FILTER (WHERE k <= 50) AS logs FROM lines GROUP BY user_id),
+due AS (SELECT user_id, logs, epoch_ms(last_ts) + {TTL_MS} > (SELECT epoch_ms(max(ts)) FROM events) AS live FROM logs)
+SELECT project_id, live, CASE WHEN live THEN status ELSE '' END AS status, CASE WHEN live THEN progress ELSE 0 END AS progress, CASE WHEN live THEN stage ELSE '' END AS stage,
+       CASE WHEN live THEN current_step ELSE '' END AS current_step, CASE WHEN live THEN logs ELSE '' END AS logs FROM latest JOIN due ON user_id = project_id""",
+    ),
     "run_outcomes": (
         run_outcomes,
         f"""SELECT c_custkey, CASE WHEN step IS NULL THEN 100 ELSE 0 END AS progress, CASE WHEN step IS NULL THEN 'completed' ELSE 'failed' END AS stage,

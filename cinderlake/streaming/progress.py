@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -60,6 +60,49 @@ class ProgressProcessor(StatefulProcessor):
         pass
 
 
+class ExpiringProgressProcessor(ProgressProcessor):
+    """The same, but a state goes when the watermark is ttl_ms past the event time of its last update, however fast events are read."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("progress", _KEPT)
+
+    def _due(self) -> int:
+        return self.state.get()[3] // 1000 + self.ttl_ms
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        yield from super().handleInputRows(key, rows, timer_values)
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(self._due())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        if self.state.exists() and self._due() <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter([])
+
+
+def expiring_progress(updates: DataFrame, ttl_ms: int = TTL_MS, delay: str = "0 seconds") -> DataFrame:
+    """States after each micro-batch, as live_progress gives them; a state is dropped by event time.
+
+    The watermark is delay behind the latest event, and updates behind it are not taken. What is live is in the state
+    store; see read_states.
+    """
+    timed = updates.withWatermark("event_time", delay).withColumn("at", F.unix_micros("event_time"))
+    return timed.groupBy("project_id").transformWithStateInPandas(ExpiringProgressProcessor(ttl_ms), outputStructType=STATE, outputMode="Update", timeMode="EventTime")
+
+
+def read_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The live states of a stream, from its checkpoint: the columns of STATE."""
+    held = spark.read.format("statestore").option("stateVarName", "progress").load(checkpoint)
+    v = F.col("value")
+    status = F.when(v["stage"].isin("completed", "failed"), v["stage"]).otherwise(F.lit("indexing"))
+    lines = F.transform(F.array_sort(v["logs"]), lambda x: x["line"])
+    return held.select(
+        F.col("key")["project_id"].alias("project_id"), status.alias("status"), v["progress"].alias("progress"), v["stage"].alias("stage"), v["current_step"].alias("current_step"),
+        v["model"].alias("model"), v["chunk_count"].alias("chunk_count"), lines.alias("logs"), F.timestamp_micros(v["at"]).alias("last_updated"),
+    )
+
+
 def live_progress(updates: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """States after each micro-batch of updates (project_id, event_time, seq, progress, stage, current_step, new_log, model, chunk_count).
 
