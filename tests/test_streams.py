@@ -39,3 +39,55 @@ def test_states_expire_by_event_time(spark, tmp_path, updates):
     assert run()[1] == ("step 1076", ["log 1076"], "indexing")
     updates(4, (4, 5000))
     assert set(run()) == {4}
+
+
+CHUNK = "project_id long, run long, second long, pos long, chunk_id string, start_line int, end_line int"
+
+
+def test_runs_as_a_stream_leave_what_the_diff_leaves(spark, tmp_path):
+    import random
+
+    from cinderlake.operators import index
+    from cinderlake.streaming import index as stream_index
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    r, made = random.Random(4), {}
+    for run in range(3):
+        for project in (1, 2) if run < 2 else (1,):  # nothing of project 2 comes in the last run
+            made[run, project] = [(project, run, 5000 + 1000 * run + p % 50, 1000 * run + p, f"c{r.randrange(60)}", r.randrange(9), 9 + r.randrange(9)) for p in range(80)]
+
+    want = None
+    for run in range(3):
+        rows = [x for (n, _), own in made.items() if n == run for x in own]
+        incoming = spark.createDataFrame(rows, CHUNK).drop("run", "second")
+        stored = spark.createDataFrame([] if want is None else want, "project_id long, id long, chunk_id string, start_line int, end_line int")
+        found = index.diff(stored, incoming)
+        new = found.new.select("project_id", F.col("pos").alias("id"), "chunk_id", "start_line", "end_line")
+        want = [tuple(x) for x in found.stored.select("project_id", "id", "chunk_id", "start_line", "end_line").union(new).collect()]
+
+    def put(number, rows):
+        frame = spark.createDataFrame(rows, CHUNK).withColumn("event_time", F.timestamp_seconds("second")).drop("second")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/chunks/{number}")
+
+    def run_stream():
+        schema = "project_id long, run long, pos long, chunk_id string, start_line int, end_line int, event_time timestamp"
+        changes = stream_index.index_changes(spark.readStream.schema(schema).parquet(f"{tmp_path}/chunks/*"), delay="100 seconds", grace_ms=200_000, buckets=5)
+        changes.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/check").foreachBatch(stream_index.write_changes(f"{tmp_path}/changes")).trigger(availableNow=True).start().awaitTermination()
+
+    number = 0
+    for run in range(3):
+        rows = [x for (n, _), own in made.items() if n == run for x in own]
+        rows += [(p, run, 5000 + 1000 * run, None, None, None, None) for p in {x[0] for x in rows}]
+        r.shuffle(rows)
+        half = len(rows) // 2
+        put(number, rows[:half])
+        put(number + 1, rows[half:] + rows[: half // 2])  # some once more
+        run_stream()
+        number += 2
+    put(number, [(9, 0, 19000, None, None, None, None)])  # time goes on
+    run_stream()
+    got = [tuple(x) for x in stream_index.indexed(spark, f"{tmp_path}/check").select("project_id", "id", "chunk_id", "start_line", "end_line").collect()]
+    assert sorted(got) == sorted(want)
+    changes = spark.read.parquet(f"{tmp_path}/changes")
+    ended = {(x["project_id"], x["chunk_id"], x["id"]) for x in changes.filter("change = 'new'").collect()} - {(x["project_id"], x["chunk_id"], x["id"]) for x in changes.filter("change = 'pruned'").collect()}
+    assert ended == {(p, c, i) for p, i, c, _, _ in want}
