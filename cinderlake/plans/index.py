@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import index
-from ..session import materialize
+from ..session import materialize, shared_path
 from ..sources.tables import table
+from ..streaming import index as stream_index
 from .chunks import sql_hash
 
 
@@ -46,6 +47,26 @@ def diff_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(new)
 
 
+def diff_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that diff_upsert leaves, from a stream: the stored version is a first run, the incoming one a second, of which a third comes twice."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stored, incoming = _versions(spark, sf_dir)
+    source, checkpoint, changes = (shared_path(spark, n) for n in ("chunk-runs", "stream", "changes"))
+
+    def run(number: int, rows: DataFrame, place: str) -> DataFrame:
+        announced = rows.select("project_id").distinct().select("project_id", *(F.lit(None).cast(t).alias(c) for c, t in (("pos", "long"), ("chunk_id", "string"), ("start_line", "int"), ("end_line", "int"))))
+        chunks = rows.select("project_id", F.col(place).cast("long").alias("pos"), "chunk_id", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+        return chunks.unionByName(announced).select("*", F.lit(number).cast("long").alias("run"), F.timestamp_seconds(F.lit(86_400 * (number + 1))).alias("event_time"))
+
+    again = incoming.filter(F.col("pos") % 3 == 0)
+    later = spark.createDataFrame([(-1,)], "project_id long").select("project_id", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(9).cast("long").alias("run"), F.timestamp_seconds(F.lit(86_400 * 9)).alias("event_time"))
+    for number, rows in enumerate((run(0, stored, "id"), run(1, incoming, "pos").unionByName(run(1, again, "pos")), later)):
+        rows.write.parquet(f"{source}/{number}")
+        stream = stream_index.index_changes(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{source}/*"), buckets=8)
+        stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(stream_index.write_changes(changes)).trigger(availableNow=True).start().awaitTermination()
+    return stream_index.indexed(spark, checkpoint).select("id", "chunk_id", "start_line", "end_line")
+
+
 def diff_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.diff(*_versions(spark, sf_dir)).pruned.select("project_id", "id", "chunk_id")
 
@@ -77,6 +98,11 @@ matched AS (
   FROM incoming i LEFT JOIN latest l ON i.chunk_id = l.chunk_id WINDOW w AS (PARTITION BY i.chunk_id ORDER BY i.pos)),
 pruned AS (SELECT * FROM stored WHERE chunk_id NOT IN (SELECT chunk_id FROM incoming) AND project IN (SELECT project FROM incoming))"""
 
+_UPSERT = f"""WITH {_VERSIONS}, last AS (SELECT hit, arg_max(s, pos) AS s, arg_max(e, pos) AS e FROM matched WHERE hit IS NOT NULL GROUP BY hit)
+SELECT 'kept' AS origin, id, chunk_id, coalesce(l.s, k.s)::INT AS start_line, coalesce(l.e, k.e)::INT AS end_line
+FROM (SELECT * FROM stored WHERE id NOT IN (SELECT id FROM pruned)) k LEFT JOIN last l ON l.hit = k.id
+UNION ALL SELECT 'new', pos, chunk_id, s::INT, e::INT FROM matched WHERE hit IS NULL"""
+
 QUERIES = {
     "diff_stats": (
         diff_stats,
@@ -87,13 +113,8 @@ SELECT p.project::BIGINT AS project_id, (SELECT count(*) FROM matched m WHERE m.
 FROM (SELECT DISTINCT project FROM stored) p)
 SELECT *, cached || ' cached, ' || new || ' embedded, ' || deleted || ' pruned' AS summary FROM x""",
     ),
-    "diff_upsert": (
-        diff_upsert,
-        f"""WITH {_VERSIONS}, last AS (SELECT hit, arg_max(s, pos) AS s, arg_max(e, pos) AS e FROM matched WHERE hit IS NOT NULL GROUP BY hit)
-SELECT 'kept' AS origin, id, chunk_id, coalesce(l.s, k.s)::INT AS start_line, coalesce(l.e, k.e)::INT AS end_line
-FROM (SELECT * FROM stored WHERE id NOT IN (SELECT id FROM pruned)) k LEFT JOIN last l ON l.hit = k.id
-UNION ALL SELECT 'new', pos, chunk_id, s::INT, e::INT FROM matched WHERE hit IS NULL""",
-    ),
+    "diff_upsert": (diff_upsert, _UPSERT),
+    "diff_stream": (diff_stream, f"SELECT id, chunk_id, start_line, end_line FROM ({_UPSERT})"),
     "diff_prune": (diff_prune, f"WITH {_VERSIONS} SELECT project::BIGINT AS project_id, id, chunk_id FROM pruned"),
     "diff_nothing_incoming": (
         diff_nothing_incoming,
