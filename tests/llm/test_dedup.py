@@ -288,3 +288,41 @@ def test_fingerprints_of_pairs_at_the_similarity_stay_within_the_radius():
             keys = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
             other = np.concatenate([keys[: -(-8 * n // 9)], rng.integers(0, 1 << 64, n // 9, np.uint64, endpoint=False)])
             assert np.bitwise_count(shingle_join.wide_fingerprint(keys) ^ shingle_join.wide_fingerprint(other)).sum() <= shingle_join.RADIUS
+
+
+def test_pairs_of_uneven_sizes_and_templates_are_all_found(spark):
+    """Near copies from 0.7 to 1 in similarity, also cut or lengthened, among texts of one template, against all pairs."""
+    import random
+
+    from cinderlake.llm import shingle_join
+
+    r, texts = random.Random(9), []
+    head, tail = [f"t{k}" for k in range(20)], [f"u{k}" for k in range(20)]
+    texts += [" ".join(head + [f"x{r.randrange(10**9)}" for _ in range(6)] + tail) for _ in range(150)]
+    for n in (5, 9, 30, 44, 80, 200):
+        for _ in range(12):
+            base = [f"w{r.randrange(4000)}" for _ in range(n)]
+            more = list(base)
+            for _ in range(r.randrange(0, max(2, n // 25))):
+                more[r.randrange(n)] = f"y{r.randrange(10**9)}"
+            texts += [" ".join(base), " ".join(more), " ".join(base[: n - r.randrange(0, max(1, n // 4))]), " ".join(base + [f"z{r.randrange(10**9)}" for _ in range(r.randrange(0, max(1, n // 3)))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [frozenset(shingle_join.shingle_set(t, shingle_join._Hashes()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    n_links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                n_links += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {k: find(k) for k in range(len(texts)) if find(k) < k}
+    got = {x["node"]: x["root"] for x in shingle_join.similar_components(docs).filter("root < node").collect()}
+    assert n_links > 100 and got == want
