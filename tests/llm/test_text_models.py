@@ -408,7 +408,7 @@ def test_pieces_of_odd_rows(odd, empty):
 # --- language-model scores --------------------------------------------------------------------
 
 
-def plain_tree_scores(rows, min_gain, strength, round_gain=0.0):
+def plain_tree_scores(rows, min_gain, strength):
     """The same tree from plain dictionaries. rows: (id, text, train). Also the number of contexts by depth."""
     docs = [(i, [*words_of((t or "").translate(LOWER)), "\n"], train) for i, t, train in rows]
     grams = lambda n: Counter(tuple(ws[k - n : k]) for _, ws, train in docs if train for k in range(n, len(ws) + 1))
@@ -434,7 +434,7 @@ def plain_tree_scores(rows, min_gain, strength, round_gain=0.0):
                     if train:
                         gain[s] += np.log(without / q[d][k])
         kept[j] = {s for s in tested if gain[s] >= min_gain}
-        if sum(gain[s] for s in kept[j]) <= round_gain * total:
+        if not kept[j]:
             break
         for d, k, s, with_, without in then:
             if s in kept[j]:
@@ -445,16 +445,17 @@ def plain_tree_scores(rows, min_gain, strength, round_gain=0.0):
     return [(i, train, len(ws), known[d], total, base[d], sum(map(log10, p[d]))) for d, (i, ws, train) in enumerate(docs)], sizes
 
 
-@pytest.mark.parametrize(("batch_tokens", "round_gain"), [(2_000_000, 0.0), (90, 0.0), (400, 0.02)])
-def test_scores_against_plain_dictionaries(spark, batch_tokens, round_gain, monkeypatch):
+@pytest.mark.parametrize(("batch_tokens", "walked"), [(2_000_000, 3), (90, 3), (400, 2)])
+def test_scores_against_plain_dictionaries(spark, batch_tokens, walked, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "BATCH_TOKENS", batch_tokens)
+    monkeypatch.setattr(suffix_tree_lm, "WALKED", walked)
     rows = [(k, t, k is None or k % 7 != 2) for k, t, *_ in odd_rows()]
     rows += [(500 + k, f"Spring {prose(k, 2)} rains bring may flowers {prose(-k, 3)} rains bring {prose(k, 1)} or may fall", k % 7 != 2) for k in range(60)]
     rows += [(600 + k, " ".join(f"own{k // 2}x{j}" for j in range(40)), True) for k in range(20)]  # texts that occur twice
     docs = spark.createDataFrame([(k, t, u) for k, t, u in rows], "doc_id long, text string, use boolean").repartition(3)
-    got = suffix_tree_lm.score_texts(docs, train="use", min_gain=1.0, strength=(20.0, 8.0, 3.0), round_gain=round_gain).collect()
-    want, sizes = plain_tree_scores(rows, 1.0, (20.0, 8.0, 3.0), round_gain)
-    assert len(sizes) > (1 if round_gain else 3) and min(sizes[:2]) > 0
+    got = suffix_tree_lm.score_texts(docs, train="use", min_gain=1.0, strength=(20.0, 8.0, 3.0)).collect()
+    want, sizes = plain_tree_scores(rows, 1.0, (20.0, 8.0, 3.0))
+    assert len(sizes) > 3 and min(sizes[:2]) > 0
     key = lambda r: (repr(r[0]), r[2], round(r[5], 6))
     assert len(got) == len(want)
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
@@ -471,7 +472,7 @@ def test_contexts_grow_with_the_corpus_and_texts_that_occur_twice_stand_out(spar
     docs = spark.createDataFrame(rows, "doc_id long, text string, use boolean")
     got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in suffix_tree_lm.score_texts(docs, train="use").collect()}
     assert min(got[k] for k in range(20)) > max(got[k] for k in range(20, 300))
-    assert not spark.sql("SHOW TABLES").filter("tableName like 'tokens_%'").collect()
+    assert not spark.sql("SHOW TABLES").filter("tableName like 'tokens_%' or tableName like 'asked_%'").collect()
 
 
 @settings(max_examples=200, deadline=None)
