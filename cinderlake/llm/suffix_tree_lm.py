@@ -10,14 +10,11 @@ context's distribution is smoothed by that of the context it extends, which coun
 to add-one word frequencies. A token is scored in the longest context of the tree that ends before it.
 
 Texts are read once, into batches of tokens: the batch's words as 64-bit hashes and each token's place
-among them. In each round a batch asks for the corpus counts of its distinct (context, word) pairs and
+among them. In each round (the first has words and pairs of them) a batch asks for the corpus counts of its distinct (context, word) pairs and
 brings what it knows of the last round's test, packed by ranges of hashes; a range adds up what its
 batches bring and answers each in the order it asked. A frequent word or context brings one entry a
 batch, so no range is hot, and no list of contexts exists anywhere but in pieces. The batches are
-bucketed by their number, so that answers come to them and they are not shuffled. From the third round on a
-batch keeps, in buckets too, what the next round needs of it: the tokens whose contexts are still open, by
-their distinct keys, and the scores by the verdicts so far. So a later round reads the answers of the one
-before and neither the tokens nor older answers, and its work falls with the open tokens. Batches and ranges
+bucketed by their number, so that answers come to them and they are not shuffled. Batches and ranges
 both grow with the square root of a large corpus, so messages between them grow in number with it and
 not with its square.
 """
@@ -26,7 +23,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,8 +45,6 @@ STRENGTH = (300.0, 40.0, 3.0)
 LEAST = 2
 #: Tokens of a batch, and of the corpus for each range of hashes; of a corpus beyond LINEAR_TOKENS both are more.
 BATCH_TOKENS, RANGE_TOKENS, LINEAR_TOKENS = 600_000, 8_000_000, 8_000_000_000
-#: Rounds that read the tokens: at first nearly all of them are open, and keeping them takes more than walking again.
-WALKED = 3
 #: Bytes that a token takes, for a guess at the size of the corpus.
 TOKEN_BYTES = 6
 FOLDS, HELD_OUT = 7, 2
@@ -158,92 +153,24 @@ class _Batch:
         every = np.arange(self.n, dtype=np.int32)
         self.levels = [_Level(every, np.zeros(self.n, np.int32), hashes[order], rank[places])]
 
-    def deepen(self, totals: np.ndarray, open_: np.ndarray) -> None:
-        """Adds the next level. totals: of the last level's keys; open_: whether a token's shorter contexts stayed."""
+    def deepen(self, totals: np.ndarray | None, open_: np.ndarray) -> None:
+        """Adds the next level. totals: of the last level's keys, None for the first ones; open_: whether a token's shorter contexts stayed."""
         last, depth = self.levels[-1], len(self.levels)
         at, key = last.at[1:], last.key[:-1]  # tokens, and the keys of those before them where these are asked for too
         fine = np.flatnonzero((np.diff(last.at) == 1) & (self.offset[at] >= depth) & open_[at])
-        fine = fine[totals[key[fine]] >= LEAST]
+        if totals is not None:
+            fine = fine[totals[key[fine]] >= LEAST]
         at, context = at[fine], key[fine]
         word = self.levels[0]
         keys, key = np.unique(_longer(last.keys[context], word.keys[word.key[at]]), return_inverse=True)
         self.levels.append(_Level(at, context, keys, key.astype(np.int32)))
 
-    def train_counts(self, depth: int) -> np.ndarray:
-        """How often each key of a level occurs in training."""
-        level = self.levels[depth]
-        return np.bincount(level.key[self.train[level.at]], minlength=len(level.keys))
-
 
 def _read(batch: pa.RecordBatch) -> Iterator[dict]:
     for k in range(len(batch)):
         yield {c: batch.column(c)[k].as_py() for c in ("batch", "ids", "sizes", "flags", "words", "places")}
 
 
-def _strength(strength: tuple[float, ...], depth: int) -> float:
-    return strength[min(depth, len(strength)) - 1]
-
-
-def _smoothed(c: np.ndarray, n: np.ndarray, m: float, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """p and q in contexts that occur n times, c of them before the word, from those in the shorter contexts."""
-    return (c + m * p) / (n + m), (np.maximum(c - 1, 0) + m * q) / (n - 1 + m)
-
-
-def _renumbered(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers, all below n, in order, and each number's place among them."""
-    there = np.zeros(n, bool)
-    there[numbers] = True
-    return np.flatnonzero(there), (np.cumsum(there) - 1)[numbers]
-
-
-@dataclass
-class _Asked:
-    """A level by its keys; all tokens of a key have the same word and contexts."""
-
-    at: np.ndarray  # the tokens
-    key: np.ndarray  # their keys, as numbers
-    keys: np.ndarray
-    word: np.ndarray  # each key's word, hashed
-    context: np.ndarray  # and context, as a number
-    context_keys: np.ndarray
-    context_totals: np.ndarray
-
-
-@dataclass
-class _Tested:
-    """Tokens whose contexts of one depth are tested, by their keys."""
-
-    at: np.ndarray
-    key: np.ndarray
-    p: np.ndarray  # in the shorter context
-    q: np.ndarray
-    c: np.ndarray  # the key's occurrences
-    n: np.ndarray  # those of its context
-    context: np.ndarray  # the context's number among the tested ones
-
-
-def _bytes(x: object) -> list[bytes]:
-    arrays = (getattr(x, f.name) for f in fields(x))
-    return [_planes(a.view(np.uint64) if a.dtype.kind == "f" else a) for a in arrays]
-
-
-def _from_bytes(kind: type, data: list[bytes]):
-    """Probabilities and hashes as they were, all else as signed numbers."""
-    to = {"p": float, "q": float, "keys": np.uint64, "word": np.uint64, "context_keys": np.uint64}
-    return kind(*(_integers(x).view(to.get(f.name, np.int64)) for f, x in zip(fields(kind), data, strict=True)))
-
-
-class _Texts:
-    """Which text each token of a batch is in."""
-
-    def __init__(self, sizes: np.ndarray, flags: bytes) -> None:
-        self.starts = np.cumsum(sizes) - sizes
-        self.train = np.frombuffer(flags, np.uint8) & _TRAIN > 0
-
-    def of(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, at, side="right") - 1
-
-
 class _Chain:
     """Probabilities of a batch's tokens along the contexts that stayed, as far as the answers go.
 
@@ -257,31 +184,44 @@ class _Chain:
         c = totals[0][batch.levels[0].key].astype(float)
         self.p, self.q, self.deep = (c + 1) / (n + v + 1), np.maximum(c, 1) / max(n + v, 1), np.zeros(batch.n, np.int16)
 
-    def follow(self, depth: int, stays: np.ndarray) -> None:
-        """Moves tokens to their contexts of this depth; stays: of its tested contexts in order, whether they stay."""
+    def tested(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose context of this depth is to be tested, its number one level above, and p and q with it."""
         level = self.batch.levels[depth]
-        mine = self.deep[level.at] >= depth - 1
+        mine = (self.deep[level.at] >= depth - 1) & (self.totals[depth - 1][level.context] >= LEAST)
         at, context = level.at[mine], level.context[mine]
-        tested, number = _renumbered(context, len(self.batch.levels[depth - 1].keys))
-        here = stays[number]
-        at, context, key = at[here], context[here], level.key[mine][here]
-        c, n = self.totals[depth][key].astype(float), self.totals[depth - 1][context].astype(float)
-        self.p[at], self.q[at] = _smoothed(c, n, _strength(self.strength, depth), self.p[at], self.q[at])
-        self.deep[at] = depth
+        m = self.strength[min(depth, len(self.strength)) - 1]
+        c, n = self.totals[depth][level.key[mine]].astype(float), self.totals[depth - 1][context].astype(float)
+        p = (c + m * self.p[at]) / (n + m)
+        q = (np.maximum(c - 1, 0) + m * self.q[at]) / (n - 1 + m)
+        return at, context, p, q
+
+    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tested contexts of this depth, as numbers one level above, and what they gain in the batch's training tokens."""
+        at, context, _, q = self.tested(depth)
+        own = self.batch.train[at]
+        gain = np.bincount(context[own], np.log(q[own] / self.q[at[own]]), minlength=len(self.batch.levels[depth - 1].keys))
+        there = np.zeros(len(gain), bool)
+        there[context] = True
+        found = np.flatnonzero(there)
+        return found, gain[found].astype(np.float32)
 
-    def asked(self, depth: int) -> _Asked:
-        """The level of this depth by its keys."""
-        level, last, word = self.batch.levels[depth], self.batch.levels[depth - 1], self.batch.levels[0]
-        words, contexts = np.empty(len(level.keys), np.uint64), np.empty(len(level.keys), np.int64)
-        words[level.key], contexts[level.key] = word.keys[word.key[level.at]], level.context
-        return _Asked(level.at, level.key, level.keys, words, contexts, last.keys, self.totals[depth - 1])
+    def follow(self, depth: int, stays: np.ndarray) -> None:
+        """Moves tokens to their contexts of this depth; stays: of its tested contexts in order, whether they stay."""
+        at, context, p, q = self.tested(depth)
+        flags = np.zeros(len(self.batch.levels[depth - 1].keys), bool)
+        there = np.zeros(len(flags), bool)
+        there[context] = True
+        flags[np.flatnonzero(there)] = stays
+        here = flags[context]
+        at = at[here]
+        self.p[at], self.q[at], self.deep[at] = p[here], q[here], depth
 
 
 def _walk(batch: _Batch, sizes: tuple[int, int], strength: tuple[float, ...], totals: list[np.ndarray], stays: list[np.ndarray]) -> _Chain:
     """The batch's levels and probabilities, from totals of depths 0, 1, ... and the verdicts on contexts of depths 1, 2, ...."""
     chain = _Chain(batch, sizes, strength, totals)
     for depth in range(1, len(totals)):
-        batch.deepen(totals[depth - 1], chain.deep >= depth - 2)
+        batch.deepen(totals[depth - 1] if depth > 1 else None, chain.deep >= depth - 2)
         if depth <= len(stays):
             chain.follow(depth, stays[depth - 1])
     return chain
@@ -314,34 +254,36 @@ def _keys(data: bytes) -> np.ndarray:
     return np.cumsum(_integers(data), dtype=np.uint64)
 
 
-_ASKED = "range long, batch long, keys binary, n binary, contexts binary, gains binary"
-#: What a batch keeps: its texts, their scores by the verdicts so far, tested tokens and the last level.
-_KEPT = ["ids", "flags", "sizes", "scores", "tested", "asked"]
-#: Rows with range null hold what a batch keeps.
-_ASKED_AND_KEPT = f"{_ASKED}, ids binary, flags binary, sizes binary, scores binary, tested array<binary>, asked array<binary>"
-_ANSWER = "range long, batch long, totals binary, stays binary, known long, staying long"
+#: Rows with a range below 0 hold a batch's scores by the verdicts so far.
+_ASKED = "range long, batch long, keys binary, n binary, contexts binary, gains binary, ids binary, flags binary, sizes binary, scores binary"
+_SCORED = ["ids", "flags", "sizes", "scores"]
+_ANSWER = "range long, batch long, totals binary, stays binary, known long, staying long, ids binary, flags binary, sizes binary, scores binary"
 
 
-def _messages(number: int, keys: np.ndarray, n: np.ndarray, context_keys: np.ndarray, gains: np.ndarray, n_ranges: int) -> pd.DataFrame:
-    """Keys with their training counts, and tested contexts with their gains, both in order: a row for each range that has any."""
+def _messages(number: int, batch: _Batch, level: _Level, context_keys: np.ndarray, gains: np.ndarray, n_ranges: int) -> pd.DataFrame:
+    """Keys of a level with their training counts, and tested contexts with their gains: a row for each range that has any."""
+    n = np.bincount(level.key[batch.train[level.at]], minlength=len(level.keys))
     edges = np.array([-(-(k << 32) // n_ranges) for k in range(1, n_ranges)], np.uint64)
-    cut = lambda x: np.concatenate([[0], np.searchsorted(x >> np.uint64(32), edges), [len(x)]])
-    a, b = cut(keys), cut(context_keys)
+    cut = lambda keys: np.concatenate([[0], np.searchsorted(keys >> np.uint64(32), edges), [len(keys)]])
+    a, b = cut(level.keys), cut(context_keys)
     some = np.flatnonzero((a[:-1] < a[1:]) | (b[:-1] < b[1:])).tolist()
-    rows = [(k, number, _steps(keys[a[k] : a[k + 1]]), _planes(n[a[k] : a[k + 1]]), _steps(context_keys[b[k] : b[k + 1]]), gains[b[k] : b[k + 1]].tobytes()) for k in some]
-    return pd.DataFrame(rows, columns=["range", "batch", "keys", "n", "contexts", "gains"])
+    rows = [(k, number, _steps(level.keys[a[k] : a[k + 1]]), _planes(n[a[k] : a[k + 1]]), _steps(context_keys[b[k] : b[k + 1]]), gains[b[k] : b[k + 1]].tobytes()) for k in some]
+    return pd.DataFrame(rows, columns=["range", "batch", "keys", "n", "contexts", "gains"]).assign(**dict.fromkeys(_SCORED))
 
 
 def _first_questions(tokens: DataFrame, n_ranges: int) -> DataFrame:
-    """The words of each batch."""
-    schema = pa.schema([("range", pa.int64()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("keys", "n", "contexts", "gains"))])
+    """The words of each batch, and its pairs of words, which have the ranges from n_ranges on."""
+    schema = pa.schema([("range", pa.int64()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("keys", "n", "contexts", "gains", *_SCORED))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _read(batch):
                 read = _Batch(row)
-                out = _messages(row["batch"], read.levels[0].keys, read.train_counts(0), np.zeros(0, np.uint64), np.zeros(0, np.float32), n_ranges)
-                yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
+                read.deepen(None, np.ones(read.n, bool))
+                for depth, level in enumerate(read.levels):
+                    out = _messages(row["batch"], read, level, np.zeros(0, np.uint64), np.zeros(0, np.float32), n_ranges)
+                    out["range"] += depth * n_ranges
+                    yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
 
     return tokens.mapInArrow(ask, _ASKED)
 
@@ -362,7 +304,11 @@ def _answers(asked: DataFrame, min_gain: float) -> DataFrame:
             total[place] += value
         return total, places
 
+    columns = ["range", "batch", "totals", "stays", "known", "staying", *_SCORED]
+
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["range"].iloc[0] < 0:
+            return frame.assign(totals=None, stays=None, known=None, staying=None)[columns]
         frame = frame.sort_values("batch")
         total, places = merged([_keys(x) for x in frame["keys"]], [_integers(x) for x in frame["n"]])
         gain, marks = merged([_keys(x) for x in frame["contexts"]], [np.frombuffer(x, np.float32) for x in frame["gains"]])
@@ -371,14 +317,14 @@ def _answers(asked: DataFrame, min_gain: float) -> DataFrame:
         rows.append((None, None, None, int((total > 0).sum()), int(stays.sum())))
         out = pd.DataFrame(rows, columns=["batch", "totals", "stays", "known", "staying"]).astype({"batch": "Int64", "known": "Int64", "staying": "Int64"})
         out.insert(0, "range", int(frame["range"].iloc[0]))
-        return out
+        return out.assign(**dict.fromkeys(_SCORED))[columns]
 
     return asked.groupBy("range").applyInPandas(answer, _ANSWER)
 
 
 def _with_answers(tokens: DataFrame, answers: list[DataFrame], use, schema: str) -> DataFrame:
     """use(batch number, batch, totals of each depth, verdicts on each depth) for each batch of tokens."""
-    rows = [a.filter("batch is not null").select("batch", F.lit(depth).alias("depth"), "range", "totals", "stays") for depth, a in enumerate(answers)]
+    rows = [a.filter("batch is not null and range >= 0").select("batch", F.lit(depth).alias("depth"), "range", "totals", "stays") for depth, a in enumerate(answers)]
     found = rows[0]
     for more in rows[1:]:
         found = found.unionByName(more)
@@ -398,53 +344,15 @@ def _with_answers(tokens: DataFrame, answers: list[DataFrame], use, schema: str)
 # --- rounds ------------------------------------------------------------------------------------
 
 
-def _advance(number: int, depth: int, texts: _Texts, level: _Asked, totals: np.ndarray, open_: tuple[np.ndarray, np.ndarray, np.ndarray], strength: tuple[float, ...], n_ranges: int) -> tuple[pd.DataFrame, _Tested, _Asked]:
-    """What a batch asks in the round of a depth, and what it keeps for the next one.
-
-    level, totals: what it asked in the last round, and the answer. open_: the tokens whose contexts up to
-    depth - 2 stayed, in order, with p and q in those; of them the contexts of depth - 1 are tested.
-    """
-    tokens, p, q = open_
-    place = np.minimum(np.searchsorted(tokens, level.at), max(len(tokens) - 1, 0))
-    mine = tokens[place] == level.at if len(tokens) else np.zeros(len(level.at), bool)
-    keys, key = _renumbered(level.key[mine], len(level.keys))
-    shorter_p, shorter_q = np.empty(len(keys)), np.empty(len(keys))
-    shorter_p[key], shorter_q[key] = p[place[mine]], q[place[mine]]
-    contexts, context = _renumbered(level.context[keys], len(level.context_keys))
-    tested = _Tested(level.at[mine], key, shorter_p, shorter_q, totals[keys], level.context_totals[level.context[keys]], context)
-    own = np.bincount(key[texts.train[texts.of(tested.at)]], minlength=len(keys))
-    longer_q = _smoothed(tested.c, tested.n, _strength(strength, depth - 1), shorter_p, shorter_q)[1]
-    some = np.flatnonzero(own)
-    gains = np.bincount(context[some], own[some] * np.log(longer_q[some] / shorter_q[some]), minlength=len(contexts)).astype(np.float32)
-
-    at, before = level.at[1:], level.key[:-1]  # tokens, and the keys of those before them where these are asked for too
-    fine = np.flatnonzero((np.diff(level.at) == 1) & mine[1:])
-    fine = fine[totals[before[fine]] >= LEAST]
-    at, before, word = at[fine], before[fine], level.word[level.key[1:][fine]]
-    text = texts.of(at)
-    inside = at - texts.starts[text] >= depth
-    at, before, word, text = at[inside], before[inside], word[inside], text[inside]
-    asked, key = np.unique(_longer(level.keys[before], word), return_inverse=True)
-    words, context_of = np.empty(len(asked), np.uint64), np.empty(len(asked), np.int64)
-    context_keys, before = _renumbered(before, len(level.keys))
-    words[key], context_of[key] = word, before
-    next_ = _Asked(at, key, asked, words, context_of, level.keys[context_keys], totals[context_keys])
-    n = np.bincount(key[texts.train[text]], minlength=len(asked))
-    return _messages(number, asked, n, level.context_keys[contexts], gains, n_ranges), tested, next_
-
-
 def _questions(depth: int, sizes: tuple[int, int], strength: tuple[float, ...], n_ranges: int):
-    """What a batch asks in the round of a depth up to WALKED, when the answers to all rounds before are there, and what it keeps."""
-    keeps = depth >= WALKED
+    """What a batch asks in the round of a depth, when the answers to all rounds before are there, and its scores by them."""
 
     def ask(number: int, batch: _Batch, totals: list[np.ndarray], stays: list[np.ndarray]) -> pd.DataFrame:
         chain = _walk(batch, sizes, strength, totals, stays)
-        if depth == 1:
-            batch.deepen(totals[0], chain.deep >= 0)
-            return _messages(number, batch.levels[1].keys, batch.train_counts(1), np.zeros(0, np.uint64), np.zeros(0, np.float32), n_ranges)
-        tokens = np.flatnonzero(chain.deep >= depth - 2)
-        open_ = tokens, chain.p[tokens], chain.q[tokens]
-        out, tested, level = _advance(number, depth, _Texts(batch.sizes, batch.flags), chain.asked(depth - 1), totals[depth - 1], open_, strength, n_ranges)
+        found, gains = chain.contexts(depth - 1)
+        context_keys = batch.levels[depth - 2].keys[found]
+        batch.deepen(totals[depth - 1], chain.deep >= depth - 2)
+        out = _messages(number, batch, batch.levels[depth], context_keys, gains, n_ranges)
         add = lambda x: np.add.reduceat(x, batch.starts)
         word = batch.levels[0]
         by_word = lambda x: add(x[word.key])
@@ -452,41 +360,13 @@ def _questions(depth: int, sizes: tuple[int, int], strength: tuple[float, ...],
         log_p = base[word.key]
         at = np.flatnonzero(chain.deep)
         log_p[at] = np.log10(chain.p[at])
-        scores = np.stack([by_word((totals[0] > 0).astype(float)), by_word(base), add(log_p)])
-        return _with_kept(out, number, batch.ids, batch.flags, batch.sizes, scores, *((tested, level) if keeps else ()))
+        scores = np.stack([by_word((totals[0] > 0).astype(float)), by_word(base), add(log_p)]).tobytes()
+        own = {"range": -1 - number, "batch": number, "ids": batch.ids, "flags": batch.flags, "sizes": batch.sizes.tobytes(), "scores": scores}
+        return pd.concat([out, pd.DataFrame([own])], ignore_index=True)[out.columns]
 
     return ask
 
 
-def _with_kept(out: pd.DataFrame, number: int, ids: bytes, flags: bytes, sizes: np.ndarray, scores: np.ndarray, *levels: object) -> pd.DataFrame:
-    kept = dict(zip(["tested", "asked"], map(_bytes, levels)))
-    own = {"batch": number, "ids": ids, "flags": flags, "sizes": sizes.tobytes(), "scores": scores.tobytes(), "tested": None, "asked": None} | kept
-    both = pd.concat([out, pd.DataFrame([own])], ignore_index=True).astype({"range": "Int64"})
-    return both.reindex(columns=[*out.columns, *_KEPT]).astype(object).where(lambda x: x.notna(), None)
-
-
-def _go_on(kept: DataFrame, answers: DataFrame, depth: int, strength: tuple[float, ...], n_ranges: int) -> DataFrame:
-    """What batches ask in the round of a depth beyond WALKED, from what they kept and the answers to the round before, and what they keep."""
-
-    def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row, right = left.iloc[0], right.sort_values("range")
-        totals = np.concatenate([np.zeros(0, np.int64), *(_integers(x).astype(np.int64) for x in right["totals"])])
-        stays = np.concatenate([np.zeros(0, bool), *(np.frombuffer(x, bool) for x in right["stays"])])
-        tested, level = _from_bytes(_Tested, row["tested"]), _from_bytes(_Asked, row["asked"])
-        sizes, scores = np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["scores"], float).reshape(3, -1).copy()
-        texts = _Texts(sizes, row["flags"])
-        p, q = _smoothed(tested.c, tested.n, _strength(strength, depth - 2), tested.p, tested.q)
-        here = stays[tested.context][tested.key]
-        at, key = tested.at[here], tested.key[here]
-        scores[2] += np.bincount(texts.of(at), np.log10(p / tested.p)[key], minlength=len(sizes))
-        out, tested, level = _advance(int(row["batch"]), depth, texts, level, totals, (at, p[key], q[key]), strength, n_ranges)
-        return _with_kept(out, int(row["batch"]), row["ids"], row["flags"], sizes, scores, tested, level)
-
-    left = kept.filter("range is null").select("batch", *_KEPT)
-    right = answers.filter("batch is not null").select("batch", "range", "totals", "stays")
-    return left.groupBy("batch").cogroup(right.groupBy("batch")).applyInPandas(together, _ASKED_AND_KEPT)
-
-
 def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each text from the scores of batches."""
     for frame in frames:
@@ -501,14 +381,6 @@ def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _SCORES = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _bucketed(df: DataFrame, label: str, path: str, names: list[str]) -> DataFrame:
-    """Writes df to a table at path, in as many buckets of batches as a shuffle has partitions; its name is added to names."""
-    spark = df.sparkSession
-    names.append(f"{label}_{uuid.uuid4().hex}")
-    df.write.bucketBy(shuffle_partitions(spark), "batch").option("compression", "zstd").option("path", path).saveAsTable(names[-1])
-    return spark.table(names[-1])
-
-
 def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", min_gain: float = MIN_GAIN, strength: tuple[float, ...] = STRENGTH) -> DataFrame:
     """One row per row of docs: id_col, train, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -522,26 +394,24 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
     guess = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / TOKEN_BYTES
     growth = max(1.0, (guess / LINEAR_TOKENS) ** 0.5)
-    names: list[str] = []
+    name, n_buckets = f"tokens_{uuid.uuid4().hex}", shuffle_partitions(spark)
+    tokens = rows.mapInArrow(_tokenize(int(BATCH_TOKENS * growth)), _TOKENS)
+    tokens.write.bucketBy(n_buckets, "batch").option("compression", "zstd").option("path", shared_path(spark, "tokens")).saveAsTable(name)
     try:
-        tokens = _bucketed(rows.mapInArrow(_tokenize(int(BATCH_TOKENS * growth)), _TOKENS), "tokens", shared_path(spark, "tokens"), names)
+        tokens = spark.table(name)
         counts = tokens.agg(F.sum("n_tokens").alias("all"), F.sum("n_train").alias("train")).first()
-        n_ranges = max(shuffle_partitions(spark), int(-(-(counts["all"] or 0) // (RANGE_TOKENS * growth))))
-        answers = [materialize(_answers(_first_questions(tokens, n_ranges), min_gain), "answers")]
-        sizes = counts["train"] or 0, answers[0].agg(F.sum("known")).first()[0] or 0
-        ask = lambda depth: _with_answers(tokens, answers, _questions(depth, sizes, strength, n_ranges), _ASKED if depth == 1 else _ASKED_AND_KEPT)
-        answers.append(materialize(_answers(ask(1), min_gain), "answers"))
-        staying = 1
+        n_ranges = max(n_buckets, int(-(-(counts["all"] or 0) // (RANGE_TOKENS * growth))))
+        first = materialize(_answers(_first_questions(tokens, n_ranges), min_gain), "answers")
+        answers = [first.filter(F.col("range") < n_ranges), first.filter(F.col("range") >= n_ranges)]
+        sizes, staying = (counts["train"] or 0, answers[0].agg(F.sum("known")).first()[0] or 0), 1
         while staying:  # contexts of one word less than is asked for are tested; if none stays, the scores without them stand
-            depth, path = len(answers), shared_path(spark, "asked")
-            asked = _bucketed(ask(depth) if depth <= WALKED else _go_on(asked, answers[-1], depth, strength, n_ranges), "asked", path, names)
-            answers.append(materialize(_answers(asked.filter("range is not null"), min_gain), "answers"))
+            depth = len(answers)
+            asked = _with_answers(tokens, answers, _questions(depth, sizes, strength, n_ranges), _ASKED)
+            answers.append(materialize(_answers(asked, min_gain), "answers"))
             staying = answers[-1].agg(F.sum("staying")).first()[0]
-        scored = spark.read.schema(asked.schema).parquet(path)  # the tables' names go now, their files with the application
     finally:
-        for name in names:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-    scored = scored.filter("range is null").select("ids", "flags", "sizes", "scores").mapInPandas(_unpacked, _SCORES)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    scored = answers[-1].filter("range < 0").select(*_SCORED).mapInPandas(_unpacked, _SCORES)
     return scored.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(sizes[0]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
