@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import calendar, relational, tickets
+from ..operators import calendar, relational, tickets, trigram_search
 from ..session import shared_path
 from ..sources import tables
 from ..sources.tables import table
@@ -143,6 +143,18 @@ def admin_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.search(table(spark, sf_dir, "part"), "RING brand#1", "p_name", "p_brand").select("p_partkey", "p_name", "p_brand")
 
 
+def admin_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    index = trigram_search.build_index(parts, "p_partkey", "p_name", "p_brand")
+    return trigram_search.search_indexed(parts, index, "RING brand#1").select("p_partkey", "p_name", "p_brand")
+
+
+def text_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    index = trigram_search.build_index(documents, "doc_id", "text", "source")
+    return trigram_search.search_indexed(documents, index, "WHST retition").select("doc_id", "source")
+
+
 def admin_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.filter((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))).select("o_orderkey", "o_orderdate")
@@ -262,6 +274,8 @@ SELECT 'orders' AS table_name, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum
 UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::BIGINT FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone)""",
     ),
     "admin_search": (admin_search, "SELECT p_partkey, p_name, p_brand FROM part WHERE (contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring')) AND (contains(lower(p_name), 'brand#1') OR contains(lower(p_brand), 'brand#1'))"),
+    "admin_search_indexed": (admin_search_indexed, "SELECT p_partkey, p_name, p_brand FROM part WHERE (contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring')) AND (contains(lower(p_name), 'brand#1') OR contains(lower(p_brand), 'brand#1'))"),
+    "text_search_indexed": (text_search_indexed, "SELECT doc_id, source FROM documents WHERE (contains(lower(text), 'whst') OR contains(lower(source), 'whst')) AND (contains(lower(text), 'retition') OR contains(lower(source), 'retition'))"),
     "admin_facet": (admin_facet, "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= '1998-01-01' AND o_orderdate < '1999-01-01'"),
     "csv_roundtrip": (csv_roundtrip, "SELECT * FROM nation"),
     "json_roundtrip": (json_roundtrip, "SELECT p_partkey, p_size, CASE WHEN p_size > 10 THEN p_name END AS p_name FROM part"),
