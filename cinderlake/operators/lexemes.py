@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..session import materialize
 
+#: Characters of code whose lexemes are one partition: those of a corpus are as large whatever its size.
+PART_CHARS = 2_000_000
 #: Endings of paths, and whose heads their files have.
 LANGUAGES = {".js": "script", ".jsx": "script", ".ts": "script", ".tsx": "script", ".java": "java"}
 
@@ -67,11 +69,17 @@ _GOES_ON = (")", "=>", ":", "{", "}", ".", ",", ">", "<", "=", "&", "|", "?", ";
 _WANTS_MORE = (".", ",", "=", ":", "<", "&", "|", "?", "=>", "extends", "implements", "throws", "const", "let", "var", "function", "class", "interface", "record", "async", "export", "default", "static")
 
 
-def lexeme_table(files: DataFrame) -> DataFrame:
+def lexeme_parts(files: DataFrame) -> int | None:
+    """Partitions for the lexemes of files (code), or None where the session's number will do."""
+    parts = -(-(files.agg(F.sum(F.length("code").cast("long"))).first()[0] or 0) // PART_CHARS)
+    return parts if parts > int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def lexeme_table(files: DataFrame, parts: int | None = None) -> DataFrame:
     """file_no, i, t, line, round (depth in parentheses), level (of a brace), last_line for the lexemes of files (file_no, code), without comments."""
     raw = files.select("file_no", F.posexplode(F.regexp_extract_all("code", F.lit(LEXEME), F.lit(0))).alias("i", "raw"))
     raw = raw.select("file_no", "i", F.rtrim("raw", F.lit(" \t\n\r\x0b\x0c")).alias("t"), (F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit("")))).alias("breaks"))
-    raw = raw.repartition("file_no")  # all windows below are within files
+    raw = raw.repartition(*([parts] if parts else []), "file_no")  # all windows below are within files
     by_file = Window.partitionBy("file_no").orderBy("i")
     lined = raw.withColumn("line", (F.lit(1) + F.coalesce(F.sum("breaks").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"))
     inside = F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))
@@ -115,10 +123,10 @@ def _heads(lexemes: DataFrame) -> DataFrame:
     return groups.select("file_no", F.transform("x", lambda r: F.struct(r["i"].alias("i"), r["line"].alias("line"))).alias("starts"), F.array_join(words, "").alias("head"), last["t"].alias("ends_with"), last["closed"].alias("end_line"))
 
 
-def lexeme_blocks(files: DataFrame) -> DataFrame:
+def lexeme_blocks(files: DataFrame, parts: int | None = None) -> DataFrame:
     """file_no, symbol_type, name, start_line, end_line, i (where it starts) of the blocks in files (file_no, path, code) of brace languages."""
     family = F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), text.file_extension(F.col("path")))
-    heads = _heads(lexeme_table(files)).join(files.select("file_no", family.alias("family")), "file_no")
+    heads = _heads(lexeme_table(files, parts)).join(files.select("file_no", family.alias("family")), "file_no")
     java, body, head = F.col("family") == "java", F.col("ends_with") == "{", F.col("head")
 
     def found(kind: str, where: Column, pattern: str) -> Column:
@@ -139,7 +147,7 @@ def extract_lexeme_blocks(files: DataFrame) -> DataFrame:
     """filepath, symbol_type, start_line, end_line, code (whole lines), name and pos of each block of files (filepath, code) of brace languages; null and empty code has none."""
     numbered = files.filter("filepath is not null and code is not null and code <> ''").select("filepath", "code")
     numbered = materialize(numbered.withColumn("file_no", F.monotonically_increasing_id()), "files")
-    found = lexeme_blocks(numbered.select("file_no", F.col("filepath").alias("path"), "code"))
+    found = lexeme_blocks(numbered.select("file_no", F.col("filepath").alias("path"), "code"), lexeme_parts(numbered))
     found = found.withColumn("pos", F.row_number().over(Window.partitionBy("file_no").orderBy("i", F.col("end_line").desc())) - 1)
     joined = found.join(numbered, "file_no")
     lines = F.slice(text.split_lines(F.col("code")), F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1)))

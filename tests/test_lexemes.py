@@ -127,3 +127,14 @@ def test_copies_of_a_file_have_their_own_blocks(spark, n):
     files = spark.createDataFrame([("a.js", "function f() {\n}\n")] * n + [("b.ts", None), ("c.java", ""), (None, "class A {}")], "filepath string, code string")
     got = blocks.extract_blocks(files).collect()
     assert [(r["name"], r["pos"], r["end_line"]) for r in got] == [("f", 0, 2)] * n
+
+
+def test_partitions_of_lexemes_grow_with_the_code(spark, monkeypatch):
+    files = spark.createDataFrame([(f"f{k}.ts", TS) for k in range(12)], "filepath string, code string").withColumn("file_no", F.monotonically_increasing_id())
+    assert lexemes.lexeme_parts(files) is None  # the session's number will do
+    found = lambda: sorted(map(tuple, lexemes.extract_lexeme_blocks(files).collect()))
+    want = found()
+    monkeypatch.setattr(lexemes, "PART_CHARS", len(TS))
+    parts = lexemes.lexeme_parts(files)
+    assert parts == 12 and lexemes.lexeme_table(files, parts).rdd.getNumPartitions() == 12
+    assert found() == want
