@@ -32,8 +32,8 @@ PAGE_ROWS, MAX_PAGES = 256, 400_000
 MAX_CLUSTERS, SAMPLE_ROWS = 1_024, 32
 #: Queries that one copy of a page is sent.
 PAGE_QUERIES = 4_096
-#: Distances that a task holds at once.
-HELD_DISTANCES = 1 << 22
+#: Visits that are sent on at once, and distances that a task holds at once.
+SENT_VISITS, HELD_DISTANCES = 1 << 14, 1 << 20
 #: Angles are known up to this; the arc cosine of nearly equal vectors loses half the digits.
 SLACK = 1e-6
 #: Distances are told apart up to so many digits, then ids.
@@ -162,7 +162,14 @@ def _to_pages(catalogue: _Catalogue, k: int, first: bool):
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pages, owners = [], []
+            pages, owners, held = [], [], 0
+
+            def visits(frame: pd.DataFrame, pages: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+                page, at = np.concatenate(pages), np.concatenate(owners)
+                for a in range(0, len(at), SENT_VISITS):  # a query alone may have as many as there are pages
+                    own = slice(a, a + SENT_VISITS)
+                    yield pd.DataFrame({"page": page[own], "query": frame["query"].to_numpy()[at[own]], "e": frame["e"].to_numpy()[at[own]]})
+
             for at, (e, worst) in enumerate(zip(frame["e"], frame["worst"], strict=True)):
                 bounds = catalogue.bounds(np.frombuffer(e))
                 order = np.argsort(bounds, kind="stable")
@@ -170,9 +177,12 @@ def _to_pages(catalogue: _Catalogue, k: int, first: bool):
                 wanted = order[:home] if first else order[home:][bounds[order[home:]] <= worst]
                 pages.append(catalogue.page[wanted])
                 owners.append(np.full(len(wanted), at))
+                held += len(wanted)
+                if held >= SENT_VISITS:
+                    yield from visits(frame, pages, owners)
+                    pages, owners, held = [], [], 0
             if pages:
-                at = np.concatenate(owners)
-                yield pd.DataFrame({"page": np.concatenate(pages), "query": frame["query"].to_numpy()[at], "e": frame["e"].to_numpy()[at]})
+                yield from visits(frame, pages, owners)
 
     return send
 

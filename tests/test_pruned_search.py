@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,16 @@ def test_requests_over_projects(spark):
     assert got[7] == retrieval.retrieve_text(table, 1, "q", embedder, k=2) == got[None] and "text 1 3" in got[7]
     assert got[8] == retrieval.retrieve_text(table, 2, "", embedder, k=2) and got[9] == got[10] == "" and not asked
     assert out.filter(F.col("request_id") == 7).count() == 1
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_visits_are_sent_in_bounded_frames(monkeypatch, first):
+    monkeypatch.setattr(pruned_search, "SENT_VISITS", 7, raising=False)
+    n = 20
+    catalogue = pruned_search._Catalogue(np.arange(n) + 100, np.zeros(n, np.int32), np.zeros(n), np.full(n, 3.0), np.full(n, 5), np.eye(1, 4))
+    asked = pd.DataFrame({"query": range(9), "e": [np.eye(4)[k % 4].tobytes() for k in range(9)], "worst": 3.2})
+    sent = list(pruned_search._to_pages(catalogue, 4, first)(iter([asked, asked.iloc[:0]])))
+    assert max(map(len, sent)) <= 7
+    every = pd.concat(sent)
+    assert len(every.drop_duplicates(["page", "query"])) == len(every) == 9 * (1 if first else n - 1)
+    assert all(e == asked["e"][q] for q, e in zip(every["query"], every["e"], strict=True))
