@@ -33,8 +33,8 @@ class ProgressProcessor(StatefulProcessor):
         self.state = handle.getValueState("progress", _KEPT, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            progress, stage, step, at, seq, model, model_at, model_seq, chunks, chunk_at, chunk_seq, logs = self.state.get()
+        if (kept := self.state.get()) is not None:
+            progress, stage, step, at, seq, model, model_at, model_seq, chunks, chunk_at, chunk_seq, logs = kept
             last, of_model, of_chunks, lines = (at, seq), (model_at, model_seq), (chunk_at, chunk_seq), [(r[0], r[1], r[2]) for r in logs or []]
         else:
             progress, stage, step, model, chunks, last, of_model, of_chunks, lines = 0, None, None, None, 0, _NEVER, _NEVER, _NEVER, []
@@ -52,6 +52,7 @@ class ProgressProcessor(StatefulProcessor):
                     (heapq.heappush if len(lines) < LOG_LINES else heapq.heappushpop)(lines, (*now, r.new_log))
         lines.sort()
         self.state.update((progress, stage, step, *last, model, *of_model, chunks, *of_chunks, lines))
+        self.last_at = last[0]
         status = {"completed": "completed", "failed": "failed"}.get(stage, "indexing")
         out = (key[0], status, progress, stage, step, model, chunks, [line for _, _, line in lines], pd.Timestamp(last[0], unit="us"))
         yield pd.DataFrame([out], columns=[c.split()[0] for c in STATE.split(", ")])
@@ -61,22 +62,20 @@ class ProgressProcessor(StatefulProcessor):
 
 
 class ExpiringProgressProcessor(ProgressProcessor):
-    """The same, but a state goes when the watermark is ttl_ms past the event time of its last update, however fast events are read."""
+    """The same, but a state goes when the watermark is ttl_ms past the event time of its last update, however fast events are read.
+
+    Timers of earlier updates are left to expire and do nothing then: each call of the store is a round trip.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("progress", _KEPT)
 
-    def _due(self) -> int:
-        return self.state.get()[3] // 1000 + self.ttl_ms
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         yield from super().handleInputRows(key, rows, timer_values)
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due)
-        self.handle.registerTimer(self._due())
+        self.handle.registerTimer(self.last_at // 1000 + self.ttl_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
-        if self.state.exists() and self._due() <= expiredTimerInfo.getExpiryTimeInMs():
+        if (kept := self.state.get()) is not None and kept[3] // 1000 + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
         return iter([])
 

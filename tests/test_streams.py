@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,46 @@ def test_states_expire_by_event_time(spark, tmp_path, updates):
     assert set(run()) == {4}
 
 
+class Store:
+    """A state and its timers, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "update":
+                self.value = args[0]
+            elif name == "clear":
+                self.value = None
+            elif name == "registerTimer":
+                self.timers.add(args[0])
+            elif name == "deleteTimer":
+                self.timers.discard(args[0])
+            return {"exists": self.value is not None, "get": self.value, "listTimers": sorted(self.timers), "getValueState": self}.get(name)
+
+        return call
+
+
+def test_few_calls_of_the_store_for_a_batch(spark):
+    class Timer:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = lambda: at
+
+    store, made = Store(), progress.ExpiringProgressProcessor(60_000)
+    made.init(store)
+    frame = lambda s: pd.DataFrame([(s * 1_000_000, s, 10, "parsing", f"step {s}", f"log {s}", "m", 1)], columns=["at", "seq", "progress", "stage", "current_step", "new_log", "model", "chunk_count"])
+    for s in (1000, 1050, 1020):
+        store.calls = 0
+        assert len(list(made.handleInputRows((1,), iter([frame(s)]), None))) == 1
+        assert store.calls == 3
+    assert max(store.timers) == 1_110_000
+    for at in sorted(store.timers - {1_110_000}) + [1_109_999]:
+        assert list(made.handleExpiredTimer((1,), None, Timer(at))) == [] and store.value is not None
+    assert list(made.handleExpiredTimer((1,), None, Timer(1_110_000))) == [] and store.value is None
+
+
 CHUNK = "project_id long, run long, second long, pos long, chunk_id string, start_line int, end_line int"
 
 
