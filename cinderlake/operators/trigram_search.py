@@ -1,7 +1,9 @@
 """Contains-search by an index: rows are looked up by rare runs of three characters and only those found are read for terms.
 
-Postings are rows (gram, key), one for each distinct gram of a row of the table, in ranges of gram and key: a
-gram that most rows hold lies in many files, and a lookup skips the files and row groups of other grams.
+Postings are rows (gram, key), one for each distinct gram of a row of the table, dealt by hashes of gram and of a
+share of the keys, so that rows are read once (ranges would take a sample of them first): a gram that most rows hold lies
+in SHARES files, which are in the order of grams, and a lookup skips the row groups and pages of other grams. A gram is
+its 64-bit hash, which sorts faster than text; grams of one hash only make more candidates.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ from ..session import materialize
 from .relational import search
 
 GRAM = 3
+#: Files that a gram may lie in.
+SHARES = 64
 #: Grams that are looked up for a term, the rarest ones; and in all, as each has a bit of a long.
 PER_TERM, MOST = 3, 60
 
 
 @dataclass
 class TrigramIndex:
-    postings: DataFrame  # gram, key
-    frequencies: DataFrame  # gram, n
+    postings: DataFrame  # gram (hash), key
+    frequencies: DataFrame  # gram (hash), n
     key: str
     columns: tuple[str, ...]
 
@@ -39,13 +43,18 @@ def build_index(rows: DataFrame, key: str, *columns: str) -> TrigramIndex:
     Rows with one key are looked up together, null keys too. Null and short values have no grams.
     """
     each = rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.flatten(F.array(*(grams(F.col(c)) for c in columns))))).alias("gram"))
-    postings = materialize(each.select("gram", "key").repartitionByRange("gram", "key").sortWithinPartitions("gram", "key"), "postings")
+    hashed = each.select(F.xxhash64("gram").alias("gram"), "key")
+    postings = materialize(hashed.repartition("gram", F.pmod(F.xxhash64("key"), F.lit(SHARES))).sortWithinPartitions("gram"), "postings")
     return TrigramIndex(postings, materialize(postings.groupBy("gram").agg(F.count("*").alias("n")), "frequencies"), key, columns)
 
 
-def _looked_up(index: TrigramIndex, terms: list[str]) -> list[str] | None:
-    """The grams to look up, or None if one of the terms' grams is in no row."""
+def _looked_up(index: TrigramIndex, terms: list[str]) -> list[int] | None:
+    """The grams to look up, as hashes, or None if one of the terms' grams is in no row."""
     of_term = [{t[k : k + GRAM] for k in range(len(t) - GRAM + 1)} for t in terms]
+    every = sorted(set().union(*of_term))
+    hashes = index.postings.sparkSession.range(1).select(F.array(*(F.xxhash64(F.lit(g)) for g in every))).first()[0]
+    hash_of = dict(zip(every, hashes, strict=True))
+    of_term = [{hash_of[g] for g in grams} for grams in of_term]
     wanted = sorted(set().union(*of_term))
     n = {r["gram"]: r["n"] for r in index.frequencies.filter(F.col("gram").isin(wanted)).collect()}  # no more than the terms have
     if len(n) < len(wanted):

@@ -34,3 +34,16 @@ def test_few_rows_are_read_for_a_rare_term(spark):
     read, found = trigram_search.candidates(rows, index, "item zirconia"), trigram_search.search_indexed(rows, index, "item zirconia")
     assert read.count() == found.count() == 10
     assert trigram_search.candidates(rows, index, "number 7").count() == 5_000  # a short term rules nothing out
+
+
+def test_texts_are_read_once_for_an_index(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    rows = spark.range(0, 600, 1, 3).selectExpr("id", "concat('item number ', id) as name").mapInPandas(count, "id long, name string")
+    trigram_search.build_index(rows, "id", "name")
+    assert read.value == 600
