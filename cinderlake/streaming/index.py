@@ -29,7 +29,8 @@ class IndexProcessor(StatefulProcessor):
     A chunk id that was stored before a run is a hit: of its rows, that of the largest id takes the lines of
     the run's last place. One that was not is new: each of its places in the run is a row, with the place as
     its id. A row that came before changes nothing, nor does one of a run that has ended. A batch's rows of one
-    bucket are held together, and taken by their runs.
+    bucket are held together, and taken by their runs. A chunk is read from the store at most once for a run's rows
+    in a batch, written once, and not asked for in a bucket that is new: each call of the store is a round trip.
     """
 
     def __init__(self, grace_ms: int) -> None:
@@ -39,23 +40,41 @@ class IndexProcessor(StatefulProcessor):
         self.handle = handle
         self.chunks = handle.getMapState("chunks", "chunk_id string", _CHUNK)
         self.latest = handle.getValueState("latest", "run long, due long")
+        self.held: dict[str, tuple] = {}
+        self.changed: set[str] = set()
+        self.empty = False
+
+    def _stored(self, chunk: str) -> tuple | None:
+        if chunk not in self.held and not self.empty and self.chunks.containsKey((chunk,)):
+            self.held[chunk] = tuple(self.chunks.getValue((chunk,)))
+        return self.held.get(chunk)
+
+    def _put(self, chunk: str, *value: object) -> None:
+        self.held[chunk] = value
+        self.changed.add(chunk)
+
+    def _flush(self) -> None:
+        for chunk in self.changed:
+            self.chunks.updateValue((chunk,), self.held[chunk])
+        self.empty = self.empty and not self.changed
+        self.held, self.changed = {}, set()
 
     def _came(self, project: int, run: int, pos: int, chunk: str, start: int, end: int) -> Iterator[tuple]:
-        if not self.chunks.containsKey((chunk,)):
-            self.chunks.updateValue((chunk,), (run, run, pos, [pos], [start], [end]))
+        if (stored := self._stored(chunk)) is None:
+            self._put(chunk, run, run, pos, [pos], [start], [end])
             yield project, run, "new", chunk, pos, start, end
             return
-        first, seen, last, ids, starts, ends = self.chunks.getValue((chunk,))
+        first, seen, last, ids, starts, ends = stored
         ids, starts, ends = list(ids), list(starts), list(ends)
         if first == run:
             if pos not in ids:
-                self.chunks.updateValue((chunk,), (first, run, max(last, pos), [*ids, pos], [*starts, start], [*ends, end]))
+                self._put(chunk, first, run, max(last, pos), [*ids, pos], [*starts, start], [*ends, end])
                 yield project, run, "new", chunk, pos, start, end
         elif seen < run or pos > last:
             at = ids.index(max(ids))
             moved = (starts[at], ends[at]) != (start, end)
             starts[at], ends[at] = start, end
-            self.chunks.updateValue((chunk,), (first, run, pos, ids, starts, ends))
+            self._put(chunk, first, run, pos, ids, starts, ends)
             if moved:
                 yield project, run, "moved", chunk, ids[at], start, end
 
@@ -68,7 +87,8 @@ class IndexProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         project, latest, due, out = int(key[0]), -1, -1, []
-        if self.latest.exists():
+        self.empty = not self.latest.exists()
+        if not self.empty:
             latest, due = self.latest.get()
         before = due
         for r in pd.concat(list(rows)).sort_values("run").itertuples(index=False):
@@ -76,11 +96,13 @@ class IndexProcessor(StatefulProcessor):
             if run < latest:
                 continue
             if run > latest:
+                self._flush()
                 out += self._pruned(project, latest)
                 latest, due = run, -1
             due = max(due, int(r.at) + self.grace_ms)
             if r.chunk_id is not None:
                 out += self._came(project, run, int(r.pos), r.chunk_id, int(r.start_line), int(r.end_line))
+        self._flush()
         if latest >= 0 and due != before:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)

@@ -132,3 +132,37 @@ def test_runs_as_a_stream_leave_what_the_diff_leaves(spark, tmp_path):
     changes = spark.read.parquet(f"{tmp_path}/changes")
     ended = {(x["project_id"], x["chunk_id"], x["id"]) for x in changes.filter("change = 'new'").collect()} - {(x["project_id"], x["chunk_id"], x["id"]) for x in changes.filter("change = 'pruned'").collect()}
     assert ended == {(p, c, i) for p, i, c, _, _ in want}
+
+
+def test_few_calls_of_the_store_for_chunks():
+    from cinderlake.streaming import index as stream_index
+
+    class Chunks:
+        def __init__(self):
+            self.kept, self.calls = {}, 0
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name == "updateValue":
+                    self.kept[args[0]] = args[1]
+                elif name == "removeKey":
+                    del self.kept[args[0]]
+                return {"containsKey": bool(args) and args[0] in self.kept, "getValue": args and self.kept.get(args[0]), "iterator": list(self.kept.items())}.get(name)
+
+            return call
+
+    made, chunks, store = stream_index.IndexProcessor(1000), Chunks(), Store()
+    store.getMapState = lambda *args: chunks
+    made.init(store)
+
+    def batch(*rows):
+        chunks.calls = 0
+        frame = pd.DataFrame([(run, 1000 * run, pos, chunk, pos, pos + 1) for run, pos, chunk in rows], columns=["run", "at", "pos", "chunk_id", "start_line", "end_line"])
+        out = list(made.handleInputRows((1, 0), iter([frame]), None))
+        return [tuple(x) for x in out[0][["change", "chunk_id", "id"]].itertuples(index=False)] if out else []
+
+    assert batch((0, 1, "a"), (0, 2, "b"), (0, 2, "b"), (0, 3, "a")) == [("new", "a", 1), ("new", "b", 2), ("new", "a", 3)]
+    assert chunks.calls <= 3  # two chunks, and the sweep before the first run
+    assert batch((1, 4, "a"), (1, 4, "a"), (1, 5, "c"), (2, 6, "c")) == [("moved", "a", 3), ("new", "c", 5), ("pruned", "b", 2), ("moved", "c", 5)]
+    assert set(k for (k,) in chunks.kept) == {"a", "c"} and chunks.kept[("a",)][3:] == ([1, 3], [1, 4], [2, 5])
