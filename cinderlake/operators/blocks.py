@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import dealt
 from .folds import PIECE_ROWS, EnclosingFold, fold_files
 from .lexemes import LANGUAGES, extract_lexeme_blocks
 
@@ -60,7 +61,10 @@ EXTRACTORS: dict[str, Extractor] = {".py": python_blocks}
 
 
 def extract_blocks(files: DataFrame, path_col: str = "filepath", code_col: str = "code", extractors: dict[str, Extractor] | None = None) -> DataFrame:
-    """filepath, symbol_type, start_line, end_line, code (whole lines), name and pos of each block, one file at a time."""
+    """filepath, symbol_type, start_line, end_line, code (whole lines), name and pos of each block, one file at a time.
+
+    Files are dealt out first: a few small partitions of input can be the code of many files.
+    """
     known = extractors or EXTRACTORS
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +79,7 @@ def extract_blocks(files: DataFrame, path_col: str = "filepath", code_col: str =
 
     chosen = files.select(F.col(path_col).alias("filepath"), F.col(code_col).alias("code")).filter(text.language(F.col("filepath")).isNotNull())
     ending = text.file_extension(F.col("filepath"))
-    in_tasks = chosen.filter(ending.isin(*known)).mapInPandas(extract, "filepath string, symbol_type string, start_line int, end_line int, code string, name string, pos int")
+    in_tasks = dealt(chosen.filter(ending.isin(*known))).mapInPandas(extract, "filepath string, symbol_type string, start_line int, end_line int, code string, name string, pos int")
     return in_tasks.unionByName(extract_lexeme_blocks(chosen.filter(ending.isin(*(e for e in LANGUAGES if e not in known)))))
 
 

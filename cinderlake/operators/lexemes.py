@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import materialize
+from ..session import dealt, materialize
 
 #: Characters of code whose lexemes are one partition: those of a corpus are as large whatever its size.
 PART_CHARS = 2_000_000
@@ -139,14 +139,15 @@ def lexeme_blocks(files: DataFrame, parts: int | None = None) -> DataFrame:
         found("Class", java & body, _CLASS_HEADS["java"]), found("Function", java & body, _JAVA_METHOD), found("Function", java & ~body, _JAVA_TYPED),
         found("Class", ~java & body, _CLASS_HEADS["script"]), found("Function", ~java & body, _FUNCTION), found("Function", ~java, _ARROW), found("Function", ~java & body, _METHOD),
     )
-    out = heads.withColumn("block", block).filter("block is not null").withColumn("at", F.get("starts", F.col("block.n")))
+    # Exploded, so that the patterns run once a head: a filter would run them a second time.
+    out = heads.select("file_no", "starts", "end_line", F.explode(F.array_compact(F.array(block))).alias("block")).withColumn("at", F.get("starts", F.col("block.n")))
     return out.select("file_no", F.col("block.kind").alias("symbol_type"), F.col("block.name").alias("name"), F.col("at.line").alias("start_line"), "end_line", F.col("at.i").alias("i"))
 
 
 def extract_lexeme_blocks(files: DataFrame) -> DataFrame:
     """filepath, symbol_type, start_line, end_line, code (whole lines), name and pos of each block of files (filepath, code) of brace languages; null and empty code has none."""
     numbered = files.filter("filepath is not null and code is not null and code <> ''").select("filepath", "code")
-    numbered = materialize(numbered.withColumn("file_no", F.monotonically_increasing_id()), "files")
+    numbered = materialize(dealt(numbered).withColumn("file_no", F.monotonically_increasing_id()), "files")
     found = lexeme_blocks(numbered.select("file_no", F.col("filepath").alias("path"), "code"), lexeme_parts(numbered))
     found = found.withColumn("pos", F.row_number().over(Window.partitionBy("file_no").orderBy("i", F.col("end_line").desc())) - 1)
     joined = found.join(numbered, "file_no")

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkingConfig
 from ..functions import text
-from ..session import materialize
+from ..session import dealt, materialize
 from .blocks import with_enclosing
 from .folds import PIECE_ROWS, PackFold, fold_files
 
 DEFAULT = ChunkingConfig()
+#: Tokens of blocks whose packs are one partition.
+PART_WORDS = 2_000_000
 
 
 def token_slices(rows: DataFrame, tokens_col: str = "tokens", config: ChunkingConfig = DEFAULT) -> DataFrame:
@@ -72,6 +74,8 @@ def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT, tokenizer:
     size = F.when(F.col("oversized"), F.greatest(config.slices(F.col("n_tokens")), F.lit(1))).otherwise(F.lit(1))
     sizes = packed.groupBy(F.col("filepath").alias("of")).agg(F.max(F.col("chunk") + size).alias("n_chunks"))
     coded = packed.join(sizes, F.col("filepath") == F.col("of")).drop("of").join(blocks.select("filepath", "pos", code.alias("code")), ["filepath", "pos"])
+    words = narrow.agg(F.sum("n_tokens")).first()[0] or 0
+    coded = dealt(coded, "filepath", "pack", parts=-(-words // PART_WORDS))  # headers and counts below take long for few bytes
     one = F.struct("place", "symbol_type", "start_line", "end_line", "code", "enclosing", "n_tokens", "oversized", "single_class")
     packs = coded.groupBy("filepath", "pack").agg(F.first("chunk").alias("chunk"), F.first("n_chunks").alias("n_chunks"), F.sort_array(F.collect_list(one)).alias("b"))  # code of a pack is bounded, or one block
     first, last = F.col("b")[0], F.element_at("b", -1)

@@ -55,3 +55,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *columns: str, parts: int = 0) -> DataFrame:
+    """df in the session's number of partitions or parts, if these are more, by columns or evenly; adaptive execution puts none together.
+
+    For steps that cost far more than their rows' bytes tell.
+    """
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *columns)

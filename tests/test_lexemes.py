@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from cinderlake.operators import blocks, lexemes
+from cinderlake.operators import blocks, lexemes, packing
 
 TS = r'''import { a } from "x";
 export default class Store<T extends { id: number }> extends Base<T> implements Reader {
@@ -138,3 +139,19 @@ def test_partitions_of_lexemes_grow_with_the_code(spark, monkeypatch):
     parts = lexemes.lexeme_parts(files)
     assert parts == 12 and lexemes.lexeme_table(files, parts).rdd.getNumPartitions() == 12
     assert found() == want
+
+
+def test_files_of_one_partition_are_dealt_out(spark, monkeypatch):
+    """A small table can be the code of many files; neither parsers, lexemes nor packs are to run in its one task."""
+    code = F.concat(F.lit("class A"), F.col("id"), F.lit(" {\n  m() {\n    return 1;\n  }\n}\n"))
+    files = spark.range(0, 400, 1, 1).select(F.concat("id", F.when(F.col("id") % 2 == 0, ".py").otherwise(".js")).alias("filepath"), code.alias("code"))
+    written, kept = [], lexemes.materialize
+    monkeypatch.setattr(lexemes, "materialize", lambda df, name: written.append(df) or kept(df, name))
+    found = blocks.extract_blocks(files, extractors={".py": lambda _: [("Function", str(TaskContext.get().partitionId()), 1, 1)]})
+    tasks = {r["name"] for r in found.filter("filepath like '%.py'").select("name").collect()}
+    assert len(tasks) > 1 and found.count() == 600
+    sizes = written[0].groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 200
+    packs = packing.pack_chunks(found)
+    assert packs.count() == 400
+    assert any("pack" in line and "REPARTITION_BY_NUM" in line for line in packs._jdf.queryExecution().executedPlan().toString().splitlines())
