@@ -14,13 +14,16 @@ among them. In each round (the first has words and pairs of them) a batch asks f
 brings what it knows of the last round's test, packed by ranges of hashes; a range adds up what its
 batches bring and answers each in the order it asked. A frequent word or context brings one entry a
 batch, so no range is hot, and no list of contexts exists anywhere but in pieces. The batches are
-bucketed by their number, so that answers come to them and they are not shuffled. Batches and ranges
+bucketed by their number, so that answers come to them and they are not shuffled. In each round a batch
+walks its tokens again from the answers of all before, until few of its contexts are tested: these
+tokens it then takes along, with the sums of all others, and reads no more than the last answers. Batches and ranges
 both grow with the square root of a large corpus, so messages between them grow in number with it and
 not with its square.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +50,8 @@ LEAST = 2
 BATCH_TOKENS, RANGE_TOKENS, LINEAR_TOKENS = 600_000, 8_000_000, 8_000_000_000
 #: Bytes that a token takes, for a guess at the size of the corpus.
 TOKEN_BYTES = 6
+#: A batch takes its tokens along once so few of them, 1 in OPEN_SHARE, are tested: more would be more disk than the walk is worth.
+OPEN_SHARE = 64
 FOLDS, HELD_OUT = 7, 2
 #: No word holds a line end.
 END = b"\n"
@@ -65,6 +70,21 @@ def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of uint64 in order, and each one's number among them, by a sort of values with their places in the low bits."""
+    low = np.uint64((1 << max(len(x) - 1, 1).bit_length()) - 1)
+    order = (np.sort(x & ~low | np.arange(len(x), dtype=np.uint64)) & low).astype(np.intp)
+    y = x[order]
+    if (y[1:] < y[:-1]).any():  # some differ in the low bits only
+        y, number = np.unique(x, return_inverse=True)
+        return y, number.astype(np.int32)
+    fresh = np.ones(len(x), bool)
+    np.not_equal(y[1:], y[:-1], out=fresh[1:])
+    number = np.empty(len(x), np.int32)
+    number[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return y[fresh], number
+
+
 # --- batches of tokens -------------------------------------------------------------------------
 
 
@@ -162,8 +182,7 @@ class _Batch:
             fine = fine[totals[key[fine]] >= LEAST]
         at, context = at[fine], key[fine]
         word = self.levels[0]
-        keys, key = np.unique(_longer(last.keys[context], word.keys[word.key[at]]), return_inverse=True)
-        self.levels.append(_Level(at, context, keys, key.astype(np.int32)))
+        self.levels.append(_Level(at, context, *_numbered(_longer(last.keys[context], word.keys[word.key[at]]))))
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -184,37 +203,53 @@ class _Chain:
         c = totals[0][batch.levels[0].key].astype(float)
         self.p, self.q, self.deep = (c + 1) / (n + v + 1), np.maximum(c, 1) / max(n + v, 1), np.zeros(batch.n, np.int16)
 
-    def tested(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens whose context of this depth is to be tested, its number one level above, and p and q with it."""
+    def tested(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose context of this depth is to be tested, its number one level above, and that of their key."""
         level = self.batch.levels[depth]
-        mine = (self.deep[level.at] >= depth - 1) & (self.totals[depth - 1][level.context] >= LEAST)
-        at, context = level.at[mine], level.context[mine]
-        m = self.strength[min(depth, len(self.strength)) - 1]
-        c, n = self.totals[depth][level.key[mine]].astype(float), self.totals[depth - 1][context].astype(float)
-        p = (c + m * self.p[at]) / (n + m)
-        q = (np.maximum(c - 1, 0) + m * self.q[at]) / (n - 1 + m)
-        return at, context, p, q
+        mine = np.flatnonzero((self.deep[level.at] >= depth - 1) & (self.totals[depth - 1][level.context] >= LEAST))
+        return level.at[mine], level.context[mine], level.key[mine]
+
+    def within(self, depth: int, at: np.ndarray, context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """p and q of tokens within their contexts of this depth."""
+        return _within(self.totals[depth][key], self.totals[depth - 1][context], _strength(self.strength, depth), self.p[at], self.q[at])
 
     def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The tested contexts of this depth, as numbers one level above, and what they gain in the batch's training tokens."""
-        at, context, _, q = self.tested(depth)
+        at, context, key = self.tested(depth)
         own = self.batch.train[at]
-        gain = np.bincount(context[own], np.log(q[own] / self.q[at[own]]), minlength=len(self.batch.levels[depth - 1].keys))
-        there = np.zeros(len(gain), bool)
-        there[context] = True
-        found = np.flatnonzero(there)
-        return found, gain[found].astype(np.float32)
+        at, own_context = at[own], context[own]
+        _, q = self.within(depth, at, own_context, key[own])
+        return _gained(context, own_context, np.log(q / self.q[at]), len(self.batch.levels[depth - 1].keys))
 
     def follow(self, depth: int, stays: np.ndarray) -> None:
         """Moves tokens to their contexts of this depth; stays: of its tested contexts in order, whether they stay."""
-        at, context, p, q = self.tested(depth)
+        at, context, key = self.tested(depth)
         flags = np.zeros(len(self.batch.levels[depth - 1].keys), bool)
         there = np.zeros(len(flags), bool)
         there[context] = True
         flags[np.flatnonzero(there)] = stays
         here = flags[context]
         at = at[here]
-        self.p[at], self.q[at], self.deep[at] = p[here], q[here], depth
+        self.p[at], self.q[at] = self.within(depth, at, context[here], key[here])
+        self.deep[at] = depth
+
+
+def _strength(strength: tuple[float, ...], depth: int) -> float:
+    return strength[min(depth, len(strength)) - 1]
+
+
+def _within(c: np.ndarray, n: np.ndarray, m: float, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of words found c times after contexts found n times, with each left out in turn too; p and q: in the shorter contexts."""
+    c, n = c.astype(float), n.astype(float)
+    return (c + m * p) / (n + m), (np.maximum(c - 1, 0) + m * q) / (n - 1 + m)
+
+
+def _gained(context: np.ndarray, own: np.ndarray, nats: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts of n, and the sums of nats over those of training tokens."""
+    there = np.zeros(n, bool)
+    there[context] = True
+    found = np.flatnonzero(there)
+    return found, np.bincount(own, nats, minlength=n)[found].astype(np.float32)
 
 
 def _walk(batch: _Batch, sizes: tuple[int, int], strength: tuple[float, ...], totals: list[np.ndarray], stays: list[np.ndarray]) -> _Chain:
@@ -254,15 +289,15 @@ def _keys(data: bytes) -> np.ndarray:
     return np.cumsum(_integers(data), dtype=np.uint64)
 
 
-#: Rows with a range below 0 hold a batch's scores by the verdicts so far.
-_ASKED = "range long, batch long, keys binary, n binary, contexts binary, gains binary, ids binary, flags binary, sizes binary, scores binary"
-_SCORED = ["ids", "flags", "sizes", "scores"]
-_ANSWER = "range long, batch long, totals binary, stays binary, known long, staying long, ids binary, flags binary, sizes binary, scores binary"
+#: Rows with a range below 0 hold a batch's scores by the verdicts so far, and the tokens it takes along once they are few.
+_ASKED = "range long, batch long, keys binary, n binary, contexts binary, gains binary, ids binary, flags binary, sizes binary, scores binary, rest binary"
+_SCORED = ["ids", "flags", "sizes", "scores", "rest"]
+_ANSWER = "range long, batch long, totals binary, stays binary, known long, staying long, ids binary, flags binary, sizes binary, scores binary, rest binary"
 
 
-def _messages(number: int, batch: _Batch, level: _Level, context_keys: np.ndarray, gains: np.ndarray, n_ranges: int) -> pd.DataFrame:
-    """Keys of a level with their training counts, and tested contexts with their gains: a row for each range that has any."""
-    n = np.bincount(level.key[batch.train[level.at]], minlength=len(level.keys))
+def _messages(number: int, train: np.ndarray, level: _Level, context_keys: np.ndarray, gains: np.ndarray, n_ranges: int) -> pd.DataFrame:
+    """Keys of a level with their counts in training (train: whether its tokens are), and tested contexts with their gains: a row for each range that has any."""
+    n = np.bincount(level.key[train], minlength=len(level.keys))
     edges = np.array([-(-(k << 32) // n_ranges) for k in range(1, n_ranges)], np.uint64)
     cut = lambda keys: np.concatenate([[0], np.searchsorted(keys >> np.uint64(32), edges), [len(keys)]])
     a, b = cut(level.keys), cut(context_keys)
@@ -281,7 +316,7 @@ def _first_questions(tokens: DataFrame, n_ranges: int) -> DataFrame:
                 read = _Batch(row)
                 read.deepen(None, np.ones(read.n, bool))
                 for depth, level in enumerate(read.levels):
-                    out = _messages(row["batch"], read, level, np.zeros(0, np.uint64), np.zeros(0, np.float32), n_ranges)
+                    out = _messages(row["batch"], read.train[level.at], level, np.zeros(0, np.uint64), np.zeros(0, np.float32), n_ranges)
                     out["range"] += depth * n_ranges
                     yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
 
@@ -344,7 +379,73 @@ def _with_answers(tokens: DataFrame, answers: list[DataFrame], use, schema: str)
 # --- rounds ------------------------------------------------------------------------------------
 
 
-def _questions(depth: int, sizes: tuple[int, int], strength: tuple[float, ...], n_ranges: int):
+@dataclass
+class _Rest:
+    """The tokens of a batch whose contexts of the last depth are tested, and the level that was asked for after them."""
+
+    at: np.ndarray  # the tokens
+    place: np.ndarray  # their contexts, as numbers of those tested
+    p: np.ndarray  # p and q without these contexts
+    q: np.ndarray
+    longer_p: np.ndarray  # and with them
+    longer_q: np.ndarray
+    level: _Level  # its contexts are numbers of context_keys
+    context_keys: np.ndarray
+    context_totals: np.ndarray
+    words: np.ndarray  # the hashes of the level's tokens, their places in texts, and whether they are learned from
+    offset: np.ndarray
+    train: np.ndarray
+    closed: np.ndarray  # known words, base scores and scores of all other tokens, by text
+
+    def packed(self) -> bytes:
+        return zstandard.compress(pickle.dumps(self), 1)
+
+
+def _rest(chain: _Chain, depth: int, found: np.ndarray, sums: np.ndarray, log_p: np.ndarray, open_share: int) -> _Rest | None:
+    """What the batch takes along when the level of a depth has been asked for; None if it is much. sums: by text, with all tokens' log_p."""
+    batch, level = chain.batch, chain.batch.levels[depth]
+    at, context, key = chain.tested(depth - 1)
+    if len(at) * open_share > batch.n:
+        return None
+    closed = log_p.copy()
+    closed[at] = 0
+    contexts, number = np.unique(level.context, return_inverse=True)
+    own = _Level(level.at, number.astype(np.int32), level.keys, level.key)
+    word = batch.levels[0]
+    return _Rest(
+        at, np.searchsorted(found, context), chain.p[at], chain.q[at], *chain.within(depth - 1, at, context, key), own, batch.levels[depth - 1].keys[contexts],
+        chain.totals[depth - 1][contexts], word.keys[word.key[level.at]], batch.offset[level.at], batch.train[level.at], np.stack([sums[0], sums[1], np.add.reduceat(closed, batch.starts)]),
+    )
+
+
+def _go_on(rest: _Rest, depth: int, strength: tuple[float, ...], totals: np.ndarray, stays: np.ndarray, starts: np.ndarray) -> tuple[_Rest, np.ndarray, np.ndarray, np.ndarray]:
+    """The next round's rest, tested contexts' keys and gains, and scores, from the answers to the level of depth - 1."""
+    here = stays[rest.place]
+    p, q = np.where(here, rest.longer_p, rest.p), np.where(here, rest.longer_q, rest.q)
+    by_text = lambda at, x: np.bincount(np.searchsorted(starts, at, "right") - 1, x, minlength=len(starts))
+    scores = np.stack([rest.closed[0], rest.closed[1], rest.closed[2] + by_text(rest.at, np.log10(p))])
+    # Tokens of the level are among those that were tested.
+    level, among = rest.level, np.searchsorted(rest.at, rest.level.at)
+    open_ = here[among]
+    at, context, mine = level.at[open_], level.context[open_], among[open_]
+    longer_p, longer_q = _within(totals[level.key[open_]], rest.context_totals[context], _strength(strength, depth - 1), p[mine], q[mine])
+    own = rest.train[open_]
+    found, gains = _gained(context, context[own], np.log(longer_q[own] / q[mine][own]), len(rest.context_keys))
+    left = np.ones(len(rest.at), bool)
+    left[mine] = False
+    closed = np.stack([*rest.closed[:2], rest.closed[2] + by_text(rest.at[left], np.log10(p[left]))])
+    follows = np.flatnonzero((np.diff(level.at) == 1) & (rest.offset[1:] >= depth) & open_[1:] & (totals[level.key[:-1]] >= LEAST)) + 1
+    contexts, number = np.unique(level.key[follows - 1], return_inverse=True)
+    deeper = _Level(level.at[follows], number.astype(np.int32), *_numbered(_longer(level.keys[level.key[follows - 1]], rest.words[follows])))
+    new = _Rest(at, np.searchsorted(found, context), p[mine], q[mine], longer_p, longer_q, deeper, level.keys[contexts], totals[contexts], rest.words[follows], rest.offset[follows], rest.train[follows], closed)
+    return new, rest.context_keys[found], gains, scores
+
+
+def _own_row(number: int, ids: bytes, flags: bytes, sizes: bytes, scores: np.ndarray, rest: _Rest | None) -> pd.DataFrame:
+    return pd.DataFrame([{"range": -1 - number, "batch": number, "ids": ids, "flags": flags, "sizes": sizes, "scores": scores.tobytes(), "rest": rest and rest.packed()}])
+
+
+def _questions(depth: int, sizes: tuple[int, int], strength: tuple[float, ...], n_ranges: int, open_share: int):
     """What a batch asks in the round of a depth, when the answers to all rounds before are there, and its scores by them."""
 
     def ask(number: int, batch: _Batch, totals: list[np.ndarray], stays: list[np.ndarray]) -> pd.DataFrame:
@@ -352,7 +453,8 @@ def _questions(depth: int, sizes: tuple[int, int], strength: tuple[float, ...],
         found, gains = chain.contexts(depth - 1)
         context_keys = batch.levels[depth - 2].keys[found]
         batch.deepen(totals[depth - 1], chain.deep >= depth - 2)
-        out = _messages(number, batch, batch.levels[depth], context_keys, gains, n_ranges)
+        level = batch.levels[depth]
+        out = _messages(number, batch.train[level.at], level, context_keys, gains, n_ranges)
         add = lambda x: np.add.reduceat(x, batch.starts)
         word = batch.levels[0]
         by_word = lambda x: add(x[word.key])
@@ -360,13 +462,30 @@ def _questions(depth: int, sizes: tuple[int, int], strength: tuple[float, ...],
         log_p = base[word.key]
         at = np.flatnonzero(chain.deep)
         log_p[at] = np.log10(chain.p[at])
-        scores = np.stack([by_word((totals[0] > 0).astype(float)), by_word(base), add(log_p)]).tobytes()
-        own = {"range": -1 - number, "batch": number, "ids": batch.ids, "flags": batch.flags, "sizes": batch.sizes.tobytes(), "scores": scores}
-        return pd.concat([out, pd.DataFrame([own])], ignore_index=True)[out.columns]
+        scores = np.stack([by_word((totals[0] > 0).astype(float)), by_word(base), add(log_p)])
+        own = _own_row(number, batch.ids, batch.flags, batch.sizes.tobytes(), scores, _rest(chain, depth, found, scores, log_p, open_share))
+        return pd.concat([out, own], ignore_index=True)[out.columns]
 
     return ask
 
 
+def _rest_questions(rests: DataFrame, answers: DataFrame, depth: int, strength: tuple[float, ...], n_ranges: int) -> DataFrame:
+    """_questions of batches that have taken their tokens along; they need the last answers only."""
+
+    def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row, right = left.iloc[0], right.sort_values("range")
+        totals = np.concatenate([np.zeros(0, np.int64), *(_integers(x).astype(np.int64) for x in right["totals"])])
+        stays = np.concatenate([np.zeros(0, bool), *(np.frombuffer(x, bool) for x in right["stays"])])
+        ends, number = np.cumsum(np.frombuffer(row["sizes"], np.int32)), int(row["batch"])
+        starts = np.concatenate([[0], ends[:-1]])
+        rest, context_keys, gains, scores = _go_on(pickle.loads(zstandard.decompress(row["rest"])), depth, strength, totals, stays, starts)
+        out = _messages(number, rest.train, rest.level, context_keys, gains, n_ranges)
+        return pd.concat([out, _own_row(number, row["ids"], row["flags"], row["sizes"], scores, rest)], ignore_index=True)[out.columns]
+
+    found = answers.filter("batch is not null and range >= 0").select(F.col("batch").alias("batch"), "range", "totals", "stays")
+    return rests.groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(together, _ASKED)
+
+
 def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each text from the scores of batches."""
     for frame in frames:
@@ -399,19 +518,27 @@ def score_texts(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: s
     tokens.write.bucketBy(n_buckets, "batch").option("compression", "zstd").option("path", shared_path(spark, "tokens")).saveAsTable(name)
     try:
         tokens = spark.table(name)
-        counts = tokens.agg(F.sum("n_tokens").alias("all"), F.sum("n_train").alias("train")).first()
+        counts = tokens.agg(F.sum("n_tokens").alias("all"), F.sum("n_train").alias("train"), F.count("*").alias("batches")).first()
         n_ranges = max(n_buckets, int(-(-(counts["all"] or 0) // (RANGE_TOKENS * growth))))
         first = materialize(_answers(_first_questions(tokens, n_ranges), min_gain), "answers")
         answers = [first.filter(F.col("range") < n_ranges), first.filter(F.col("range") >= n_ranges)]
         sizes, staying = (counts["train"] or 0, answers[0].agg(F.sum("known")).first()[0] or 0), 1
         while staying:  # contexts of one word less than is asked for are tested; if none stays, the scores without them stand
             depth = len(answers)
-            asked = _with_answers(tokens, answers, _questions(depth, sizes, strength, n_ranges), _ASKED)
+            rests = answers[-1].filter("range < 0 and rest is not null").select(F.col("batch").alias("batch"), "ids", "flags", "sizes", "rest")
+            few, asked, some = rests.count(), None, F.broadcast(rests.select(F.col("batch").alias("of")))
+            if not few or few < counts["batches"]:  # an empty table has no batches
+                without = (lambda df: df.join(some, F.col("batch") == F.col("of"), "left_anti")) if few else lambda df: df
+                asked = _with_answers(without(tokens), [without(a) for a in answers], _questions(depth, sizes, strength, n_ranges, OPEN_SHARE), _ASKED)
+            if few:
+                last = answers[-1].join(some, F.col("batch") == F.col("of"), "left_semi")
+                more = _rest_questions(rests, last, depth, strength, n_ranges)
+                asked = asked.unionByName(more) if asked else more
             answers.append(materialize(_answers(asked, min_gain), "answers"))
             staying = answers[-1].agg(F.sum("staying")).first()[0]
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    scored = answers[-1].filter("range < 0").select(*_SCORED).mapInPandas(_unpacked, _SCORES)
+    scored = answers[-1].filter("range < 0").select("ids", "flags", "sizes", "scores").mapInPandas(_unpacked, _SCORES)
     return scored.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(sizes[0]).cast("long").alias("train_tokens"), "base_score", "score")
 
 

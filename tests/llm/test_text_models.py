@@ -462,6 +462,35 @@ def test_scores_against_plain_dictionaries(spark, batch_tokens, monkeypatch):
     assert sum(r["score"] for r in got if r["train"]) > sum(r["base_score"] for r in got if r["train"])
 
 
+@pytest.mark.parametrize("share", [0, 64])
+def test_batches_that_take_their_tokens_along_are_not_walked_again(spark, share, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "BATCH_TOKENS", 700)
+    monkeypatch.setattr(suffix_tree_lm, "OPEN_SHARE", share)
+    rounds, walked = [], suffix_tree_lm._with_answers
+    monkeypatch.setattr(suffix_tree_lm, "_with_answers", lambda tokens, answers, *a: rounds.append((len(answers), tokens.count())) or walked(tokens, answers, *a))
+    rows = [(k, f"{prose(k, 5)} rains bring {prose(k, 1)} or may fall", k % 7 != 2) for k in range(60)]
+    rows += [(600 + k, " ".join(f"own{k // 2}x{j}" for j in range(40)), k % 7 != 2) for k in range(20)]
+    rows += [(700 + k, " ".join(f"lone{k}x{j}" for j in range(40)), True) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, use boolean").coalesce(1)
+    got = suffix_tree_lm.score_texts(docs, train="use", min_gain=1.0, strength=(20.0, 8.0, 3.0)).collect()
+    want, sizes = plain_tree_scores(rows, 1.0, (20.0, 8.0, 3.0))
+    for a, b in zip(sorted(map(tuple, got)), sorted(want), strict=True):
+        assert a[:5] == b[:5] and isclose(a[5], b[5], rel_tol=1e-9) and isclose(a[6], b[6], rel_tol=1e-9), (a, b)
+    assert rounds[0][0] == 2 and len(sizes) > 2
+    if not share:  # all batches after the first round
+        assert len(rounds) == 1
+    else:  # those without a context to test
+        assert rounds[0][1] > rounds[1][1] > 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 3), max_size=30))
+def test_numbered_keys(keys):
+    x = np.array(keys, np.uint64)
+    distinct, number = suffix_tree_lm._numbered(x)
+    assert distinct.tolist() == sorted(set(keys)) and distinct[number].tolist() == keys
+
+
 def test_contexts_grow_with_the_corpus_and_texts_that_occur_twice_stand_out(spark):
     rng = np.random.default_rng(3)
     rows = [(k, f"{prose(k, 30)} {' '.join(f'w{j}' for j in rng.integers(0, 3_000, 40))}", True) for k in range(300)]
