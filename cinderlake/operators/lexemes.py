@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import dealt, materialize
+from ..session import dealt, materialize, unsent
 
 #: Characters of code whose lexemes are one partition: those of a corpus are as large whatever its size.
 PART_CHARS = 2_000_000
@@ -126,7 +126,7 @@ def _heads(lexemes: DataFrame) -> DataFrame:
 def lexeme_blocks(files: DataFrame, parts: int | None = None) -> DataFrame:
     """file_no, symbol_type, name, start_line, end_line, i (where it starts) of the blocks in files (file_no, path, code) of brace languages."""
     family = F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), text.file_extension(F.col("path")))
-    heads = _heads(lexeme_table(files, parts)).join(files.select("file_no", family.alias("family")), "file_no")
+    heads = _heads(lexeme_table(files, parts)).join(unsent(files.select("file_no", family.alias("family"))), "file_no")
     java, body, head = F.col("family") == "java", F.col("ends_with") == "{", F.col("head")
 
     def found(kind: str, where: Column, pattern: str) -> Column:
@@ -150,6 +150,6 @@ def extract_lexeme_blocks(files: DataFrame) -> DataFrame:
     numbered = materialize(dealt(numbered).withColumn("file_no", F.monotonically_increasing_id()), "files")
     found = lexeme_blocks(numbered.select("file_no", F.col("filepath").alias("path"), "code"), lexeme_parts(numbered))
     found = found.withColumn("pos", F.row_number().over(Window.partitionBy("file_no").orderBy("i", F.col("end_line").desc())) - 1)
-    joined = found.join(numbered, "file_no")
+    joined = found.join(unsent(numbered), "file_no")
     lines = F.slice(text.split_lines(F.col("code")), F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1)))
     return joined.select("filepath", "symbol_type", "start_line", "end_line", F.array_join(lines, "\n").alias("code"), "name", "pos")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkingConfig
 from ..functions import text
-from ..session import dealt, materialize
+from ..session import dealt, materialize, unsent
 from .blocks import with_enclosing
 from .folds import PIECE_ROWS, PackFold, fold_files
 
@@ -48,7 +48,7 @@ def assign_packs(blocks: DataFrame, config: ChunkingConfig = DEFAULT, file_col:
     is_class, file = F.col("symbol_type") == "Class", F.coalesce(F.col(file_col), F.lit(""))
     facts = blocks.groupBy(file.alias("__of")).agg(F.count_if(is_class).alias("__classes"), F.count("*").alias("__all"), F.max(F.when(is_class, F.col("n_tokens"))).alias("__tokens"))
     single = (F.col("__classes") == 1) & (F.col("__all") > 1) & config.keeps_class_whole(F.col("__tokens"))
-    chosen = blocks.join(facts, file == F.col("__of")).withColumn("single_class", F.coalesce(single, F.lit(False)))
+    chosen = blocks.join(unsent(facts), file == F.col("__of")).withColumn("single_class", F.coalesce(single, F.lit(False)))
     chosen = chosen.filter(F.when(F.col("single_class"), is_class).otherwise(F.coalesce(~is_class, F.lit(True)) | (F.col("__classes") == F.col("__all"))))
     chosen = chosen.drop("__of", "__classes", "__all", "__tokens")
     placed = fold_files(chosen, file, [F.col("start_line"), F.col("end_line").desc(), F.col("pos")], PackFold(config), piece_rows)
@@ -73,7 +73,7 @@ def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT, tokenizer:
     packed = materialize(assign_packs(named, config, piece_rows=piece_rows), "packs")
     size = F.when(F.col("oversized"), F.greatest(config.slices(F.col("n_tokens")), F.lit(1))).otherwise(F.lit(1))
     sizes = packed.groupBy(F.col("filepath").alias("of")).agg(F.max(F.col("chunk") + size).alias("n_chunks"))
-    coded = packed.join(sizes, F.col("filepath") == F.col("of")).drop("of").join(blocks.select("filepath", "pos", code.alias("code")), ["filepath", "pos"])
+    coded = packed.join(unsent(sizes), F.col("filepath") == F.col("of")).drop("of").join(unsent(blocks.select("filepath", "pos", code.alias("code"))), ["filepath", "pos"])
     words = narrow.agg(F.sum("n_tokens")).first()[0] or 0
     coded = dealt(coded, "filepath", "pack", parts=-(-words // PART_WORDS))  # headers and counts below take long for few bytes
     one = F.struct("place", "symbol_type", "start_line", "end_line", "code", "enclosing", "n_tokens", "oversized", "single_class")

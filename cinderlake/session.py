@@ -57,6 +57,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df, for a join that sends neither side whole to the driver and all executors.
+
+    Planning goes by the bytes of files, and those of materialize can be a fiftieth of their rows' in memory or less, so
+    a join of tables that grow with the input would be a broadcast long after its rows fit the driver.
+    """
+    return df.hint("merge")
+
+
 def dealt(df: DataFrame, *columns: str, parts: int = 0) -> DataFrame:
     """df in the session's number of partitions or parts, if these are more, by columns or evenly; adaptive execution puts none together.
 

@@ -155,3 +155,17 @@ def test_files_of_one_partition_are_dealt_out(spark, monkeypatch):
     packs = packing.pack_chunks(found)
     assert packs.count() == 400
     assert any("pack" in line and "REPARTITION_BY_NUM" in line for line in packs._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_tables_that_grow_with_the_files_are_not_broadcast(spark, monkeypatch):
+    """Compressed files tell little of their rows' size in memory: a join of files, blocks or packs is none that the driver holds one side of."""
+    code = F.concat(F.lit("class A"), F.col("id"), F.lit(" {\n  m() {\n    return 1;\n  }\n}\n"))
+    files = spark.range(0, 40, 1, 1).select(F.concat("id", F.when(F.col("id") % 2 == 0, ".ts").otherwise(".js")).alias("filepath"), code.alias("code"))
+    written, kept = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: written.append(df) or kept(df, name))
+    found = blocks.extract_blocks(files)
+    packs = packing.pack_chunks(found)
+    assert sorted(r["token_count"] for r in packs.collect()) == [9] * 40
+    plans = [line for df in (found, *written, packs) for line in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    sent = [line for line in plans if "BroadcastHashJoin" in line and "part#" not in line]  # folds send a few rows a partition
+    assert not sent and any("SortMergeJoin [file_no#" in line for line in plans)
