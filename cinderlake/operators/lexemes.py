@@ -76,9 +76,10 @@ def lexeme_parts(files: DataFrame) -> int | None:
 
 
 def lexeme_table(files: DataFrame, parts: int | None = None) -> DataFrame:
-    """file_no, i, t, line, round (depth in parentheses), level (of a brace), last_line for the lexemes of files (file_no, code), without comments."""
-    raw = files.select("file_no", F.posexplode(F.regexp_extract_all("code", F.lit(LEXEME), F.lit(0))).alias("i", "raw"))
-    raw = raw.select("file_no", "i", F.rtrim("raw", F.lit(" \t\n\r\x0b\x0c")).alias("t"), (F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit("")))).alias("breaks"))
+    """file_no, i, t, line, round (depth in parentheses), level (of a brace), next_line (of its level's next brace), last_line and what else files (file_no, code) have, for their lexemes without comments."""
+    own = [c for c in files.columns if c != "code"]
+    raw = files.select(*own, F.posexplode(F.regexp_extract_all("code", F.lit(LEXEME), F.lit(0))).alias("i", "raw"))
+    raw = raw.select(*own, "i", F.rtrim("raw", F.lit(" \t\n\r\x0b\x0c")).alias("t"), (F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit("")))).alias("breaks"))
     raw = raw.repartition(*([parts] if parts else []), "file_no")  # all windows below are within files
     by_file = Window.partitionBy("file_no").orderBy("i")
     lined = raw.withColumn("line", (F.lit(1) + F.coalesce(F.sum("breaks").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"))
@@ -96,7 +97,7 @@ def lexeme_table(files: DataFrame, parts: int | None = None) -> DataFrame:
     opens = (t == "{") & (F.col("before").isin("extends", "<") | ((F.col("before") == ":") & (F.col("further") == ")")) | one_of)
     deep = deep.withColumn("opens", F.coalesce(opens, F.lit(False)))
     at_level = Window.partitionBy("file_no", "level").orderBy("i")
-    deep = deep.withColumn("closes", F.coalesce((t == "}") & F.lag("opens").over(at_level), F.lit(False)))
+    deep = deep.withColumns({"closes": F.coalesce((t == "}") & F.lag("opens").over(at_level), F.lit(False)), "next_line": F.lead("line").over(at_level)})
     depth = F.sum(F.col("opens").cast("int") - F.col("closes").cast("int")).over(by_file.rowsBetween(Window.unboundedPreceding, 0))
     typed = F.col("closes") | (depth > 0)
     quiet = F.when(typed & (t == "{"), F.lit("\u2039")).when(typed & (t == "}"), F.lit("\u203a")).when(typed & (t == ";"), F.lit(",")).otherwise(t)
@@ -104,30 +105,29 @@ def lexeme_table(files: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def _heads(lexemes: DataFrame) -> DataFrame:
-    """file_no, starts (i and line of the lexemes of a head), head, ends_with, end_line for what braces and semicolons end."""
+    """file_no, java, starts (i and line of the lexemes of a head), head, ends_with, end_line for what braces and semicolons end."""
     by_file = Window.partitionBy("file_no").orderBy("i")
-    at_level = Window.partitionBy("file_no", "level").orderBy("i")
     t, before = F.col("t"), F.lag("t").over(by_file)
     fresh = (F.col("line") != F.lag("line").over(by_file)) & ~t.isin(*_GOES_ON) & ~F.coalesce(before.isin(*_WANTS_MORE), F.lit(False))
-    closed = F.when(t == "{", F.coalesce(F.lead("line").over(at_level), F.col("last_line"))).otherwise(F.col("line"))
+    closed = F.when(t == "{", F.coalesce("next_line", "last_line")).otherwise(F.col("line"))
     rows = lexemes.withColumns({"fresh": F.coalesce(fresh, F.lit(False)), "closed": closed})
     # What was before, at this depth, ends with any of these; an opening parenthesis is at the depth of what it holds.
     same_depth = Window.partitionBy("file_no", "round").orderBy("i")
     ends = t.isin("{", "}", ";", "(")
     rows = rows.withColumns({"g": F.coalesce(F.sum(ends.cast("int")).over(same_depth.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "prev": F.lag("t").over(same_depth)})
     one = F.struct("i", "line", "t", "fresh", "closed", "prev")
-    groups = rows.groupBy("file_no", "round", "g").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    groups = rows.groupBy("file_no", "round", "g").agg(F.any_value("java").alias("java"), F.sort_array(F.collect_list(one)).alias("x"))
     last = F.element_at("x", -1)
     groups = groups.filter(last["t"].isin("{", ";") & (F.size("x") > 1) & F.coalesce(F.col("x")[0]["prev"] != "(", F.lit(True)))
     words = F.transform(F.slice("x", F.lit(1), F.size("x") - 1), lambda r: F.concat(F.when(r["fresh"], F.lit("\n")).otherwise(F.lit("")), r["t"], F.lit(" ")))
-    return groups.select("file_no", F.transform("x", lambda r: F.struct(r["i"].alias("i"), r["line"].alias("line"))).alias("starts"), F.array_join(words, "").alias("head"), last["t"].alias("ends_with"), last["closed"].alias("end_line"))
+    return groups.select("file_no", "java", F.transform("x", lambda r: F.struct(r["i"].alias("i"), r["line"].alias("line"))).alias("starts"), F.array_join(words, "").alias("head"), last["t"].alias("ends_with"), last["closed"].alias("end_line"))
 
 
 def lexeme_blocks(files: DataFrame, parts: int | None = None) -> DataFrame:
     """file_no, symbol_type, name, start_line, end_line, i (where it starts) of the blocks in files (file_no, path, code) of brace languages."""
     family = F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), text.file_extension(F.col("path")))
-    heads = _heads(lexeme_table(files, parts)).join(unsent(files.select("file_no", family.alias("family"))), "file_no")
-    java, body, head = F.col("family") == "java", F.col("ends_with") == "{", F.col("head")
+    heads = _heads(lexeme_table(files.select("file_no", (family == "java").alias("java"), "code"), parts))
+    java, body, head = F.col("java"), F.col("ends_with") == "{", F.col("head")
 
     def found(kind: str, where: Column, pattern: str) -> Column:
         # Blanks before the block count the lexemes in front of it.

@@ -62,8 +62,8 @@ def pack_chunks(blocks: DataFrame, config: ChunkingConfig = DEFAULT, tokenizer:
     appear, and its lines reach from its first block's first to its last block's last. What is left at
     the end of a file is stitched to the chunk before if both fit the ceiling; that chunk's header and
     type stay as they were. pos tells a file's blocks apart; a null code counts as empty, and a null path as ''.
-    Blocks are counted once, swept and folded without their code, and meet it again in one join. No step has
-    a whole file in a task.
+    Blocks are counted once, swept and folded without their code, and meet it again in one join. No task
+    holds a whole file: merged joins on a path read its rows without code in order, from disk where they are many.
     """
     code = F.coalesce("code", F.lit(""))
     blocks = blocks.withColumn("filepath", F.coalesce("filepath", F.lit("")))
